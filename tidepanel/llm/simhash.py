@@ -119,3 +119,117 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
 
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+#: Bits of the wide fingerprint, and the share of two texts' bits that may differ at the similarity asked for.
+WIDE, SLACK = 256, 0.18
+#: Neighbours in a bucket's order that each fingerprint is compared with, besides the bucket's first.
+NEAR = 4
+
+
+def wide_fingerprint(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """WIDE SimHash bits of a text's word shingles: further words of bits are mixed from each shingle's one hash."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(WIDE, bool)
+    parts = [words[i:] for i in range(shingle)] if len(words) >= shingle else [[w] for w in words]
+    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), map(b" ".join, zip(*parts, strict=False))), np.uint64)
+    sums = []
+    for i in range(WIDE // 64):
+        m = (h + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        m = (m ^ (m >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        m ^= m >> np.uint64(32)
+        sums.append(np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32))
+    return 2 * np.concatenate(sums) > len(h)
+
+
+def _tables(n: int, differing: float) -> np.ndarray:
+    """Bit positions of each table's key: long enough that chance meets stay rare among n, as many as find a pair nearly surely."""
+    width = max(16, n.bit_length() + 4)
+    tables = int(np.ceil(3 / (1 - differing) ** width))
+    return np.stack([np.random.default_rng(t).choice(WIDE, width, replace=False) for t in range(tables)])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of key and id: each id with its key's first and with the NEAR before it."""
+    key, ids, first = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        new = len(key)
+        key = np.concatenate((key, batch.column(0).to_numpy()))
+        ids = np.concatenate((ids, batch.column(1).to_numpy()))
+        start = np.concatenate(([True], key[1:] != key[:-1]))
+        begin = ids[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
+        if new:  # the first of a key that goes on from before
+            begin[key == key[0]] = first[0] if key[0] == first[1] else begin[0]
+        a, b = [], []
+        for step in range(1, NEAR + 1):
+            at = np.arange(max(new, step), len(key))
+            at = at[key[at] == key[at - step]]
+            a.append(ids[at])
+            b.append(ids[at - step])
+        at = np.arange(new, len(key))
+        a.append(ids[at])
+        b.append(begin[at])
+        a, b = np.concatenate(a), np.concatenate(b)
+        keep = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[keep]), pa.array(np.minimum(a, b)[keep])], names=["a", "b"])
+        if len(key):
+            tail = key[-NEAR:]
+            first = np.array([begin[len(key) - len(tail)], tail[0]])
+            if tail[0] != tail[-1]:  # only the last key can go on
+                own = tail == tail[-1]
+                first = np.array([begin[-1], tail[-1]])
+                key, ids = tail[own], ids[-NEAR:][own]
+            else:
+                key, ids = tail, ids[-NEAR:]
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, row, component of each row of docs: near copies by word shingles, component the least row among them.
+
+    Texts whose shingle sets have the Jaccard similarity asked for differ in about arccos(2s / (1 + s)) / pi of their
+    SimHash bits; SLACK bounds it from above. Tables of sampled bits stand for the blocks: their number follows the length
+    of their keys, which follows the number of texts, so that a pair at the similarity shares one with 95 % and random
+    pairs seldom. In a bucket a text meets the first and the NEAR before it, never all, in a distributed order, so a group
+    of any size takes linear work; the wide fingerprints of each pair are compared. Equal fingerprints count as one.
+    Texts without words are each other's copies.
+    """
+    differing = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bits = ", ".join(f"w{i} long" for i in range(WIDE // 64))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            words = np.packbits(np.stack(got), axis=1).view(">i8").astype(np.int64) if got else np.empty((0, WIDE // 64), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(words[:, i]) for i in range(WIDE // 64))], names=["doc_id", "row", *(f"w{i}" for i in range(WIDE // 64))])
+
+    names = [f"w{i}" for i in range(WIDE // 64)]
+    found = durable(numbered(docs.select("doc_id", "text"), "row").mapInArrow(prints, f"doc_id {kind}, row long, {bits}"))
+    distinct = durable(found.groupBy(*names).agg(F.min("row").alias("id")))
+    picks = _tables(distinct.count(), differing)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                words = np.stack([batch.column(i).to_numpy() for i in range(len(names))], axis=1)
+                own = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(len(words), -1), axis=1)
+                for t, pick in enumerate(picks):
+                    key = own[:, pick].astype(np.int64) @ (1 << np.arange(len(pick), dtype=np.int64)) | t << 48
+                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(len(names))], names=["key", "id"])
+
+    keyed = distinct.select(*names, "id").mapInArrow(keys, "key long, id long")
+    pairs = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_neighbours, "a long, b long").distinct()
+    side = lambda s: distinct.select(F.col("id").alias(s), *(F.col(n).alias(f"{s}_{n}") for n in names))
+    apart = sum((_apart(F.col(f"a_{n}"), F.col(f"b_{n}")) for n in names), F.lit(0))
+    edges = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= int(SLACK * WIDE)).select("a", "b")
+    root = roots(edges)
+    of = distinct.join(root, distinct["id"] == root["node"], "left").select(*names, F.coalesce("root", "id").alias("component"))
+    return found.join(of, names).select("doc_id", "row", "component")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each component the row of least doc_id, then of least scan place; all columns stay."""
+    groups = similar_documents(docs, shingle, similarity)
+    keep = groups.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("_row"))
+    return numbered(docs).join(keep, "_row", "left_semi").drop("_row")

@@ -210,3 +210,29 @@ def cut_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
 
     joined = docs.join(spans, "row", "left").select("doc_id", "row", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def without_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
+    """docs with text cut as by cut_repeats(), all columns kept; a null text stays null.
+
+    A character of which some bytes go, goes.
+    """
+    at = docs.columns.index("text")
+    rows = numbered(docs, "_row")
+    spans = repeated_spans(rows.select("doc_id", F.col("_row").alias("row"), text_of().alias("text")), span).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, cuts in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if text is not None and cuts:
+                    raw = text.encode("utf-8", "surrogatepass")
+                    edges = [0, *(x for c in merged(cuts) for x in c), len(raw)]
+                    text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
+                out.append(text)
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    joined = rows.join(spans, rows["_row"] == spans["row"], "left").select(*(rows[c] for c in docs.columns), "_spans")
+    return joined.mapInArrow(run, docs.schema)
