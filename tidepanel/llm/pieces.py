@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -11,7 +12,7 @@ import numpy as np
 WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 RUN = re.compile(f"[^{WHITE}]+")
 #: Entries kept for good and entries kept until as many are gathered: a bound on a worker's memory, not on its input.
-WARM, RECENT = 200_000, 200_000
+WARM, RECENT = 500_000, 250_000
 
 
 class Encoder(dict):
@@ -55,15 +56,20 @@ class Encoder(dict):
         if len(self.recent) > RECENT:
             self.recent.clear()
         new = [r for r in runs if r not in self and r not in self.recent]
-        letters = {c for r in new if (c := r[:-1] if r[-1] in ",." else r).isalpha() and c not in self and c not in self.recent}
-        words = list(letters)
+        letters = {c for r in new if (c := r[:-1] if r[-1] in ",." else r).lower().isalpha() and c not in self and c not in self.recent}
+        words = []
+        for w in letters:
+            if w.isascii():  # the normaliser only lower-cases it, and it is one pre-token whose bytes stand for themselves
+                self._keep(w, np.array([t.id for t in self.model.model.tokenize(w.lower())], "<u4").tobytes())
+            else:
+                words.append(w)
         for i in range(0, len(words), 512):
             part = words[i : i + 512]
             for w, ids in zip(part, self._plain(part), strict=True):
                 self._keep(w, ids)
         for r in new:
             if r not in self and r not in self.recent:
-                self._keep(r, self[r[:-1]] + self.mark(r[-1]) if r[-1] in ",." and r[:-1].isalpha() else self._any(r))
+                self._keep(r, self[r[:-1]] + self.mark(r[-1]) if r[-1] in ",." and r[:-1].lower().isalpha() else self._any(r))
 
     def mark(self, sign: str) -> bytes:
         """Ids of a sign that ends a run of letters: the pre-tokeniser parts it from them."""
@@ -75,3 +81,9 @@ class Encoder(dict):
         runs = [RUN.findall(t) for t in texts]
         self.fill(set().union(*runs))
         return [b"".join(map(self.__getitem__, r)) for r in runs]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """This process's encoder: what one task has learnt serves the next."""
+    return Encoder(path)
