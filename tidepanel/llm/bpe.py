@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import durable, text_of
+from tidepanel.llm.common import durable, session, text_of
 from tidepanel.llm.pieces import WHITE
 
 #: Pre-tokens that every worker holds with their ids; the rest are folded beside their document.
@@ -134,6 +134,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> Data
     own row; then its ids are put in order. No text is shuffled. A pre-token of n bytes takes n merges over at most n
     pieces. Null texts count as empty: no ids. Equal rows give equal rows; an empty table gives an empty one.
     """
+    session(docs.sparkSession)
     rank = rank_map(ranks)
     counts = durable(word_counts(docs).filter(F.octet_length("word") <= 64))
     often = counts.filter(F.col("uses") >= _fitting(counts, known)).repartition("word")

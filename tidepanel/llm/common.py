@@ -51,6 +51,7 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     The number is the row's place in the scan; df must come from files or a durable table, which Spark splits the
     same way each time.
     """
+    session(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

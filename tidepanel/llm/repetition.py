@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidepanel.llm.common import ASCII_SPACE
+from tidepanel.llm.common import ASCII_SPACE, session
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -134,6 +134,7 @@ def quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float =
             got = profile(batch.column(1).to_pylist(), min_repeat, max_covered, max_longest)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[f.name], f.type) for f in _ARROW)], names=["doc_id", *_ARROW.names])
 
+    session(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_COLUMNS}")
 
 
@@ -145,4 +146,5 @@ def keep_good(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float
         for batch in batches:
             yield batch.filter(pa.array(profile(batch.column(at).to_pylist(), min_repeat, max_covered, max_longest)["kept"], pa.bool_()))
 
+    session(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
