@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.plans import audits, calendars, labels, matching, metrics, models, panel, registry, resampling, scans, texts, vector_plans  # noqa: F401
+from tidepanel.plans import audits, calendars, matching, panel, registry, scans, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
