@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.windows import BY_TICKER
+from tidepanel.functions.windows import by_ticker
 
 
 def carried_closures(df: DataFrame, min_tickers: int = 20, min_share: float = 0.95, close: float = 1e-12) -> DataFrame:
     """date, comparable, unchanged, share, closed: dates on which nearly all tickers repeat the bar before."""
     parts = ("open", "high", "low", "close")
-    before = [F.lag(c).over(BY_TICKER) for c in parts]
+    before = [F.lag(c).over(by_ticker()) for c in parts]
     pairs = df.select("date", *parts, *(b.alias(f"_{c}") for b, c in zip(before, parts, strict=True)))
     comparable, same = F.lit(True), F.lit(True)
     for c in parts:

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import vectors
 from tidepanel.functions.scalar import EPS_FORECAST, EPS_RETURN, at_least, known, log_floored, log_of, log_shifted, ratio
-from tidepanel.functions.windows import BY_TICKER, demeaned, forward_mean, future_mean, rolling_mean, shifted, simple_return
+from tidepanel.functions.windows import by_ticker, demeaned, forward_mean, future_mean, rolling_mean, shifted, simple_return
 
 #: Fixed grid of MIDAS terms.
 MIDAS_LAGS, MIDAS_THETAS = (30, 50, 80), (1.0, 2.0, 4.0, 6.0, 8.0, 10.0)
 
 
-def close_variance(kind: str = "simple", by=BY_TICKER) -> Column:
+def close_variance(kind: str = "simple", by=None) -> Column:
     """Squared return of the close: simple, or log as labels take it."""
     return F.pow(simple_return("close", by), 2) if kind == "simple" else F.pow(log_of(ratio("close", shifted("close", 1, by))), 2)
 
 
-def har_features(df: DataFrame, variance: str, origin: str = "end_of_day", by=BY_TICKER) -> DataFrame:
+def har_features(df: DataFrame, variance: str, origin: str = "end_of_day", by=None) -> DataFrame:
     """df with har_d, har_w, har_m, target_h1 and target_h5 of a variance column.
 
     end_of_day knows today's value and aims at the next sessions; session_open knows yesterday's and aims from today on.
@@ -45,9 +45,9 @@ def market_controls(df: DataFrame, origin: str = "end_of_day") -> DataFrame:
     return df.select("*", F.abs(r).alias("x_abs_return"), F.when(r.isNotNull(), F.least(r, F.lit(0.0))).alias("x_negative_return"), momentum.alias("x_momentum20"), F.ln(volume).alias("x_log_volume")).drop("_r")
 
 
-def lag_array(x: str, k: int, by=BY_TICKER, skip: int = 0) -> Column:
+def lag_array(x: str, k: int, by=None, skip: int = 0) -> Column:
     """The last k values, newest first, nulls in place; null in front of the first row."""
-    boxed = F.collect_list(F.struct(F.col(x).alias("v"))).over(by.rowsBetween(-(k - 1) - skip, -skip))
+    boxed = F.collect_list(F.struct(F.col(x).alias("v"))).over((by or by_ticker()).rowsBetween(-(k - 1) - skip, -skip))
     held = F.transform(F.reverse(boxed), lambda s: s["v"])
     return F.concat(held, F.array_repeat(F.lit(None).cast("double"), F.lit(k) - F.size(held)))
 
@@ -69,7 +69,7 @@ def midas_term(lags: str, k: int, theta: float) -> Column:
     return F.when(~bad & (F.size(first) == k), log_of(vectors.dot(first, beta_weights(k, theta))))
 
 
-def pre_post(df: DataFrame, variance: str, pre: int = 20, post: int = 5, include_event: bool = False, post_start: int = 1, by=BY_TICKER) -> DataFrame:
+def pre_post(df: DataFrame, variance: str, pre: int = 20, post: int = 5, include_event: bool = False, post_start: int = 1, by=None) -> DataFrame:
     """df with strict pre and post means; the event session is in pre if include_event, post begins post_start on."""
     return df.select("*", rolling_mean(variance, pre, pre, by, 0 if include_event else 1).alias("pre"), forward_mean(variance, post_start, post, by).alias("post"))
 

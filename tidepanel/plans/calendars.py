@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import split_of
-from tidepanel.functions.windows import BY_TICKER
+from tidepanel.functions.windows import by_ticker
 from tidepanel.operators import calendar as cal
 from tidepanel.operators.audits import carried_closures
 from tidepanel.plans.registry import query
@@ -69,4 +69,4 @@ XS_CLOSED = "SELECT date FROM (SELECT date, sum(c) AS n, sum(u) AS same FROM (SE
 def b8(spark, sf):
     table = bars_xs(spark, sf)
     closed = carried_closures(table, 5, 0.95).filter("closed").select("date")
-    return table.join(closed, "date", "left_anti").select("ticker", "date", F.lead("date").over(BY_TICKER).alias("target"))
+    return table.join(closed, "date", "left_anti").select("ticker", "date", F.lead("date").over(by_ticker()).alias("target"))
