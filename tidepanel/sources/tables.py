@@ -60,7 +60,7 @@ def vectors(spark: SparkSession, sf_dir: str, layers: int = 4, width: int = 16)
     """A row for each item and layer: slices of an embedding as layers."""
     layer = F.explode(F.sequence(F.lit(1), F.lit(layers)))
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("grp"), layer.alias("layer"), F.col("embedding").cast("array<double>").alias("whole"))
-    return rows.select("item_id", "grp", "layer", F.slice("whole", (F.col("layer") - 1) * width + 1, F.lit(width)).alias("vec"))
+    return rows.select("item_id", "grp", F.col("layer").cast("long").alias("layer"), F.slice("whole", (F.col("layer") - 1) * width + 1, F.lit(width)).alias("vec"))
 
 
 def with_split(df: DataFrame) -> DataFrame:
