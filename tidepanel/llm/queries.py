@@ -63,5 +63,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_HOST = r"translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1)"
+
+
+def _judged() -> str:
+    """The url rules in DuckDB's SQL, from the same rule lists."""
+    scopes = sorted(url_rules.SCOPES, key=lambda s: (-len(s.host + s.path), s.host, s.path))
+    fits = lambda s: f"(host = '{s.host}' OR suffix(host, '.{s.host}')) AND starts_with(path, '{s.path}')"
+    rule = " ".join(f"WHEN {fits(s)} THEN '{s.host}{s.path}'" for s in scopes)
+    verdict = " ".join(f"WHEN {fits(s)} THEN '{s.verdict}'" for s in scopes)
+    n = " + ".join(f"CASE WHEN regexp_matches(u, '{p.regex}') THEN 1 ELSE 0 END" for p in url_rules.PATTERNS)
+    return f"SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN n_patterns > 0 THEN 'block' ELSE 'allow' END AS verdict, n_patterns FROM (SELECT page_id, {_HOST} AS host, {_PATH} AS path, CAST({n} AS BIGINT) AS n_patterns FROM (SELECT page_id, url, lower(coalesce(url, '')) AS u FROM pages))"
+
+
+_TOP_K = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(CAST(q.ints AS DOUBLE[]), CAST(c.ints AS DOUBLE[])) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)) WHERE rank <= 5"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; the others are tested by brute force."""
+    return {"op5_url_rules": _judged(), "op6_exact_top_k": _TOP_K}
