@@ -50,7 +50,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.92, days: int = 7) ->
 
     A document is a duplicate if an earlier kept one of its ticker, at most days back, has a token-set Jaccard of threshold.
     Candidates share one of their rarest tokens (prefix filter: exact for Jaccard); then rounds settle the order: a
-    document goes if an earlier neighbour is kept and stays if all of them are gone.
+    document goes if an earlier neighbour is kept and stays if all of them are gone. Of documents with one token set and
+    one date only the first can stay (what drops it drops the others too), so copies aren't expanded into pairs. A
+    document without tokens is never a duplicate.
     """
     tokens = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit("[a-z0-9]+"), 0))
     rows = checkpointed(docs.select("doc_id", "ticker", "date", tokens.alias("tokens"), F.xxhash64(F.array_sort(tokens)).alias("same")))
@@ -66,15 +68,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.92, days: int = 7) ->
     common = F.size(F.array_intersect("tx", "ty"))
     close = meet.join(side("x"), ["ticker", "x"]).join(side("y"), ["ticker", "y"]).filter(common / (F.size("tx") + F.size("ty") - common) >= threshold).select("ticker", "x", "y")
     alike = close.unionByName(close.select("ticker", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(sets.filter(F.size("tokens") > 0).select("ticker", F.col("same").alias("x"), F.col("same").alias("y")))
-    one = rows.select("ticker", "doc_id", "date", F.col("same").alias("x"))
-    other = rows.select("ticker", F.col("doc_id").alias("prior"), F.col("date").alias("prior_date"), F.col("same").alias("y"))
+    firsts = checkpointed(rows.filter(F.size("tokens") > 0).groupBy("ticker", "same", "date").agg(F.min("doc_id").alias("doc_id")))
+    one = firsts.select("ticker", "doc_id", "date", F.col("same").alias("x"))
+    other = firsts.select("ticker", F.col("doc_id").alias("prior"), F.col("date").alias("prior_date"), F.col("same").alias("y"))
     gap = F.datediff("date", "prior_date")
     earlier = (gap > 0) | ((gap == 0) & (F.col("prior") < F.col("doc_id")))
     edges = checkpointed(one.join(alike, ["ticker", "x"]).join(other, ["ticker", "y"]).filter(earlier & (gap <= days)).select("doc_id", "prior"))
-    state = rows.select("doc_id").join(edges.select("doc_id").distinct().withColumn("open", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(False)).cast("boolean").alias("gone"))
+    rest = rows.join(firsts.select("doc_id"), "doc_id", "left_anti").select("doc_id", (F.size("tokens") > 0).alias("duplicate"))
+    state = firsts.select("doc_id").join(edges.select("doc_id").distinct().withColumn("open", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(False)).cast("boolean").alias("gone"))
     while True:
         of = state.select(F.col("doc_id").alias("prior"), F.col("gone").alias("prior_gone"))
         told = edges.join(of, "prior").groupBy("doc_id").agg(F.bool_or(~F.col("prior_gone")).alias("hit"), F.bool_and(F.coalesce("prior_gone", F.lit(False))).alias("clear"))
         state = checkpointed(state.join(told, "doc_id", "left").select("doc_id", F.when(F.col("gone").isNotNull(), F.col("gone")).when(F.col("hit"), True).when(F.col("clear"), False).alias("gone")))
         if not state.filter("gone is null").limit(1).collect():
-            return state.select("doc_id", F.col("gone").alias("duplicate"))
+            return state.select("doc_id", F.col("gone").alias("duplicate")).unionByName(rest)
