@@ -94,9 +94,9 @@ def test_bpe_round_trip(docs, known):
     encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     short = docs.filter("text is null or length(text) < 1500")
     out = bpe.encode(short, ranks, known)
-    for text, r in each(short, out.withColumn("back", bpe.decoded(F.col("ids"), ranks))):
+    for text, r in each(short, bpe.decode(out, ranks)):
         want = encoder.encode_ordinary(text or "")
-        assert r.ids == want and r.ids_le == np.array(want, "<u4").tobytes() and bytes(r.back) == (text or "").encode()
+        assert r.ids == want and r.ids_le == np.array(want, "<u4").tobytes() and bytes(r.decoded) == (text or "").encode()
     assert bpe.encode(empty(docs), ranks, known).count() == 0
 
 

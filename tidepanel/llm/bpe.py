@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.llm.common import durable, session, text_of
 from tidepanel.llm.pieces import WHITE
@@ -26,6 +27,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PATTERN = f"(?U){PRE_TOKEN}"
 #: Stands for no rank; more places than a pre-token can have.
 _NO_RANK, _PLACES = 2**31 - 1, 2**31
+#: Ids from here on are marks of pre-tokens yet to be filled in.
+_MARK = 1 << 31
 #: White space and what follows it up to the next: no pre-token crosses such words, and each parts the same anywhere.
 WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
@@ -40,18 +43,21 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: pieces as strings with one character for each byte, in buckets by their CRC."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return _literal(buckets, "array<map<string,int>>")
+class Ranks:
+    """The rank file as literals: pieces are strings with one character for each byte.
 
+    of: ranks of all pieces, in buckets by their CRC; one: ids of single bytes; two: ranks of two bytes by their values,
+    so that a pre-token's first look costs no hashing.
+    """
 
-def piece_list(ranks: dict[bytes, int]) -> Column:
-    by = {rank: token.decode("latin-1") for token, rank in ranks.items()}
-    return _literal([by.get(i, "") for i in range(max(by) + 1)], "array<string>")
+    def __init__(self, ranks: dict[bytes, int]):
+        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+        for token, rank in ranks.items():
+            key = token.decode("latin-1")
+            buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+        self.of = _literal(buckets, "array<map<string,int>>")
+        self.one = _literal([ranks.get(bytes([a]), -1) for a in range(256)], "array<int>")
+        self.two = _literal([ranks.get(bytes([a, b]), _NO_RANK) for a in range(256) for b in range(256)], "array<int>")
 
 
 def _let(value: Column, body) -> Column:
@@ -59,32 +65,39 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def folded(word: Column, rank: Column) -> Column:
-    """Ids of one pre-token: as often as it has bytes, the adjacent pair of least rank (the leftmost) becomes one piece.
+def folded(words: Column, ranks: Ranks) -> Column:
+    """Ids of each of words, an array of pre-tokens: in each, as often as it has bytes, the adjacent pair of least rank
+    (the leftmost) becomes one piece.
 
-    The fold's state is an array of pieces p, each with the rank r of itself and the next as one piece.
+    The fold's state is an array of pieces: its bytes p, its id, and the rank r of it and the next as one piece.
     """
-    look = lambda p: F.coalesce(F.try_element_at(F.element_at(rank, (F.crc32(p.cast("binary")) % BUCKETS).cast("int") + 1), p), F.lit(_NO_RANK))
-    piece = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
-    with_next = lambda own, other: F.when(other.isNull(), _NO_RANK).otherwise(_let(F.concat(own, other), look))
 
-    def joined(acc: Column, at: Column) -> Column:
-        pair = F.concat(F.get(acc, at)["p"], F.get(acc, at + 1)["p"])
+    def one(word: Column, of: Column, byte: Column, two: Column) -> Column:
+        look = lambda p: F.coalesce(F.try_element_at(F.element_at(of, (F.crc32(p.cast("binary")) % BUCKETS).cast("int") + 1), p), F.lit(_NO_RANK))
+        piece = lambda p, i, r: F.struct(p.alias("p"), i.alias("i"), r.alias("r"))
+        with_next = lambda own, other: F.when(other.isNull(), _NO_RANK).otherwise(_let(F.concat(own, other), look))
+
+        def joined(acc: Column, at: Column) -> Column:
+            pair = F.concat(F.get(acc, at)["p"], F.get(acc, at + 1)["p"])
 
-        def new(pair: Column):
-            return lambda x, i: F.when(i == at, piece(pair, with_next(pair, F.get(acc, at + 2)["p"]))).when(i == at - 1, piece(x["p"], with_next(x["p"], pair))).when(i != at + 1, x)
+            def new(pair: Column):
+                return lambda x, i: F.when(i == at, piece(pair, x["r"], with_next(pair, F.get(acc, at + 2)["p"]))).when(i == at - 1, piece(x["p"], x["i"], with_next(x["p"], pair))).when(i != at + 1, x)
 
-        return F.filter(_let(pair, lambda pair: F.transform(acc, new(pair))), lambda x: x.isNotNull())
+            return F.filter(_let(pair, lambda pair: F.transform(acc, new(pair))), lambda x: x.isNotNull())
 
-    def merge(acc: Column, _: Column) -> Column:
-        least = F.array_min(F.transform(acc, lambda x, i: x["r"].cast("long") * _PLACES + i))
-        return _let(least, lambda m: F.when(m >= _NO_RANK * _PLACES, acc).otherwise(_let((m % _PLACES).cast("int"), lambda at: joined(acc, at))))
+        def merge(acc: Column, _: Column) -> Column:
+            least = F.array_min(F.transform(acc, lambda x, i: x["r"].cast("long") * _PLACES + i))
+            return _let(least, lambda m: F.when(m >= _NO_RANK * _PLACES, acc).otherwise(_let((m % _PLACES).cast("int"), lambda at: joined(acc, at))))
 
-    def all_merges(signs: Column) -> Column:
-        start = _let(F.split(signs, "(?s)(?!^)(?=.)"), lambda p: F.transform(p, lambda x, i: piece(x, with_next(x, F.get(p, i + 1)))))
-        return F.aggregate(F.sequence(F.lit(1), F.length(signs)), start, merge, lambda acc: F.transform(acc, lambda x: x["p"]))
+        def all_merges(signs: Column) -> Column:
+            values = F.transform(F.split(signs, "(?s)(?!^)(?=.)"), lambda c: F.struct(c.alias("c"), F.ascii(c).alias("v")))
+            start = _let(values, lambda p: F.transform(p, lambda x, i: piece(x["c"], F.get(byte, x["v"]), F.coalesce(F.get(two, x["v"] * 256 + F.get(p, i + 1)["v"]), F.lit(_NO_RANK)))))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(signs), F.lit(2))), start, merge, lambda acc: F.transform(acc, lambda x: x["i"]))
 
-    return F.transform(_let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), all_merges), look)
+        return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), all_merges)
+
+    # each table is named once: its literal stands once in the plan
+    return _let(ranks.of, lambda of: _let(ranks.one, lambda byte: _let(ranks.two, lambda two: F.transform(words, lambda w: one(w, of, byte, two)))))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -103,27 +116,40 @@ def _fitting(counts: DataFrame, known: int) -> int:
     return least
 
 
-class _Known:
-    """Ids of texts' words by a dictionary of pre-tokens; words of several pre-tokens are kept for a while."""
+class _Known(dict):
+    """Ids of texts' words (WORD) by a dictionary of pre-tokens; those that it lacks are marked and listed."""
 
     def __init__(self, own: dict[str, bytes]):
-        self.own, self.seen, self.parts = own, {}, regex.compile(PRE_TOKEN)
+        super().__init__(own)
+        self.most, self.parts, self.rare = len(own) + 200_000, regex.compile(PRE_TOKEN), {}
 
-    def missing(self, word: str) -> list[str]:
-        """The pre-tokens of word that the dictionary lacks."""
-        if word in self.own or word in self.seen:
-            return []
+    def __missing__(self, word: str) -> bytes:
         parts = self.parts.findall(word)
-        lacks = [p for p in parts if p not in self.own]
-        if not lacks:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[word] = b"".join(map(self.own.__getitem__, parts))
-        return lacks
-
-    def ids(self, word: str, more: dict[str, bytes]) -> bytes:
-        got = self.own.get(word) or self.seen.get(word)
-        return got or b"".join([self.own.get(p) or more[p] for p in self.parts.findall(word)])
+        if all(p in self for p in parts):
+            got = b"".join([self[p] for p in parts])
+            if len(self) < self.most:
+                self[word] = got
+            return got
+        return b"".join([self[p] if p in self else (_MARK + self.rare.setdefault(p, len(self.rare))).to_bytes(4, "little") for p in parts])
+
+    def text(self, text: str) -> tuple[bytes, list[str]]:
+        """The ids in order, a mark and a number for each pre-token that is missing, and those by number."""
+        self.rare = {}
+        return b"".join(map(self.__getitem__, WORD.findall(text))), list(self.rare)
+
+
+def filled(marked: bytes, rare: list) -> np.ndarray:
+    """marked with the ids of rare in place of their marks."""
+    ids = np.frombuffer(marked, "<u4")
+    if not len(rare):
+        return ids
+    own = [np.asarray(r, "<u4") for r in rare]
+    at = np.flatnonzero(ids >= _MARK)
+    parts, last = [], 0
+    for k in at.tolist():
+        parts += [ids[last:k], own[int(ids[k]) - _MARK]]
+        last = k + 1
+    return np.concatenate([*parts, ids[last:]])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> DataFrame:
@@ -131,43 +157,44 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> Data
 
     The pre-tokens of the corpus are counted; the most frequent (`known` at most, of 64 bytes at most) are folded once
     each and sent to all workers, a dictionary of fixed size. A document's other pre-tokens, each once, are folded in its
-    own row; then its ids are put in order. No text is shuffled. A pre-token of n bytes takes n merges over at most n
-    pieces. Null texts count as empty: no ids. Equal rows give equal rows; an empty table gives an empty one.
+    own row and put in their places. No text is shuffled. A pre-token of n bytes takes n merges over at most n pieces.
+    Null texts count as empty: no ids. Equal rows give equal rows; an empty table gives an empty one.
     """
     session(docs.sparkSession)
-    rank = rank_map(ranks)
+    tables = Ranks(ranks)
     counts = durable(word_counts(docs).filter(F.octet_length("word") <= 64))
     often = counts.filter(F.col("uses") >= _fitting(counts, known)).repartition("word")
-    folds = often.select("word", _let(rank, lambda r: folded(F.col("word"), r)).alias("ids"))
+    folds = durable(often.select("word", F.element_at(folded(F.array("word"), tables), 1).alias("ids")))
     held = docs.sparkSession.sparkContext.broadcast({r["word"]: np.array(r["ids"], "<u4").tobytes() for r in folds.toLocalIterator()})
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Known(held.value)
         for batch in batches:
-            rare = [list({p for w in set(WORD.findall(t)) for p in own.missing(w)}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "text", "rare"])
+            got = [own.text(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["doc_id", "marked", "rare"])
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Known(held.value)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, rare, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                more = {w: np.array(x, "<u4").tobytes() for w, x in zip(rare, ids, strict=True)}
-                words = WORD.findall(text)
-                for w in set(words):
-                    own.missing(w)
-                out.append(b"".join([own.ids(w, more) for w in words]))
-            sizes = np.cumsum([0, *(len(x) // 4 for x in out)])
-            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.binary())], names=["doc_id", "ids", "ids_le"])
+            out = [filled(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            sizes = np.cumsum([0, *map(len, out)])
+            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, "<u4"), *out]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "ids", "ids_le"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parted = docs.select("doc_id", text_of().alias("text")).mapInArrow(rest, f"doc_id {kind}, text string, rare array<string>")
-    folded_rest = _let(rank, lambda r: F.transform("rare", lambda w: folded(w, r)))
-    return parted.select("doc_id", "text", "rare", folded_rest.alias("ids")).mapInArrow(ordered, f"doc_id {kind}, ids array<int>, ids_le binary")
+    marked = docs.select("doc_id", text_of().alias("text")).mapInArrow(mark, f"doc_id {kind}, marked binary, rare array<string>")
+    return marked.select("doc_id", "marked", F.when(F.size("rare") > 0, folded(F.col("rare"), tables)).otherwise(F.expr("cast(array() as array<array<int>>)")).alias("rare")).mapInArrow(fill, f"doc_id {kind}, ids array<int>, ids_le binary")
+
 
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """encoded (with ids_le) and the bytes that the ids stand for: their pieces joined, as column decoded."""
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    at = encoded.columns.index("ids_le")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes that ids stand for: their pieces joined."""
-    pieces = piece_list(ranks)
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""), "ISO-8859-1")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
