@@ -76,7 +76,7 @@ def select_midas(df: DataFrame, candidates: list[str], target: str) -> tuple[str
         one = rows.filter("split = 'val'").agg(F.lit(c).alias("candidate"), F.count("*").alias("n"), F.avg(qlike(target, "prediction")).alias("qlike"))
         out = one if out is None else out.unionByName(one)
     best = out.filter("n > 0").orderBy("qlike", "candidate").first()
-    return best["candidate"], out
+    return best["candidate"] if best else None, out
 
 
 def ridge(df: DataFrame, features: str, target: str, alpha: float) -> np.ndarray:
