@@ -16,7 +16,7 @@ from tidepanel.llm.common import ASCII_SPACE, session
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 #: Words of a repeat at least; largest covered share of a text's words; largest share of one repeat.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 5, 0.5, 0.3
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 5, 0.4, 0.3
 
 
 def _pointers(ids: np.ndarray) -> np.ndarray:
