@@ -124,7 +124,7 @@ def hexadecimal(fp: Column) -> Column:
 #: Bits of the wide fingerprint, and the share of two texts' bits that may differ at the similarity asked for.
 WIDE, SLACK = 256, 0.18
 #: Neighbours in a bucket's order that each fingerprint is compared with, besides the bucket's first.
-NEAR = 4
+NEAR = 1
 
 
 def wide_fingerprint(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
