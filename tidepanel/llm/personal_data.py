@@ -163,7 +163,7 @@ def fitted(candidates: DataFrame, column: str) -> list[float]:
     return logistic([(features(k, v, s), post[k, v], float(n)) for k, v, s, n in votes])
 
 
-def accepted(weights: list[float]) -> "callable":
+def accepted(weights: list[float]):
     """A test on a span: base kinds stay, others where the classifier says one half at least."""
     base = sum(k.base for k in KINDS)
 
