@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,6 +206,3 @@ def fit_metrics(actual: str, predicted: str) -> list[Column]:
     r2 = lambda y, f: 1 - F.try_divide(F.sum(F.pow(y - f, 2)), F.count(F.lit(1)) * F.var_pop(y))
     return [F.count("*").alias("n"), F.avg(qlike(a, p)).alias("qlike"), F.avg(F.pow(la - lp, 2)).alias("log_mse"), r2(la, lp).alias("log_r2"), F.avg(F.pow(a - p, 2)).alias("mse"), r2(a, p).alias("r2"), F.sqrt(F.avg(F.pow(a - p, 2))).alias("rmse"), pearson(a, p).alias("corr")]
 
-
-def vector_array(v: str) -> Column:
-    return vector_to_array(v)
