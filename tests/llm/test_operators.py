@@ -285,6 +285,45 @@ def test_near_copies_go_and_others_stay(spark):
     assert simhash.one_of_each(empty(docs)).count() == 0
 
 
+def family(rng: random.Random, n: int, changed: int, words: int = 300) -> list[list[str]]:
+    """Texts of one source with that many of its words replaced, each with a copy of its own, and pairs about the cut."""
+    source = [f"s{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        own = source.copy()
+        for k in rng.sample(range(words), changed):
+            own[k] = f"o{i}x{k}"
+        other = own.copy()
+        for k in rng.sample(range(words), rng.randint(2, 14)):
+            other[k] = f"c{i}x{k}"
+        out += [own, other]
+    return out
+
+
+def components_at(sets: list[set], similarity: float) -> tuple[dict[int, int], set[tuple[int, int]]]:
+    label, pairs = {i: i for i in range(len(sets))}, set()
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                pairs.add((j, i))
+                x, y = sorted((label[i], label[j]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    return label, pairs
+
+
+def test_near_copies_of_a_hot_source_are_found(spark):
+    """All links of brute force, in families whose strangers fill the buckets."""
+    rng = random.Random(4)
+    texts = family(rng, 150, 14) + family(rng, 100, 28)
+    rng.shuffle(texts)
+    docs = simhash.durable(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    pairs = components_at([{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts], 0.8)[1]
+    got = {r.doc_id: r.component for r in simhash.similar_documents(docs).collect()}
+    assert len(pairs) > 90
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
+
+
 def test_token_counts(docs):
     library = Tokenizer.from_file(WORD_BPE)
     for hot in (1, 10**6):  # all words rare; all words broadcast

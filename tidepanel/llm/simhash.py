@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import durable, numbered
+from tidepanel.llm.common import durable, numbered, session
 
 #: Fingerprints that share a block are compared pair by pair up to this many; beyond, they meet one flipped bit away.
 PAIRED = 24
@@ -121,111 +121,115 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Bits of the wide fingerprint, and the share of two texts' bits that may differ at the similarity asked for.
-WIDE, SLACK = 256, 0.18
-#: Neighbours in a bucket's order that each fingerprint is compared with, besides the bucket's first.
-NEAR = 1
+#: Min-hashes of a text; they make BANDS keys of ROWS each.
+BANDS, ROWS = 32, 8
+HASHES = BANDS * ROWS
+#: Multipliers and addends of the min-hashes.
+_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) | np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """WIDE SimHash bits of a text's word shingles: further words of bits are mixed from each shingle's one hash."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes, in order, of a text's word shingles; a text of fewer words has its words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(WIDE, bool)
     parts = [words[i:] for i in range(shingle)] if len(words) >= shingle else [[w] for w in words]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), map(b" ".join, zip(*parts, strict=False))), np.uint64)
-    sums = []
-    for i in range(WIDE // 64):
-        m = (h + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        m = (m ^ (m >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        m ^= m >> np.uint64(32)
-        sums.append(np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32))
-    return 2 * np.concatenate(sums) > len(h)
-
-
-def _tables(n: int, differing: float) -> np.ndarray:
-    """Bit positions of each table's key: long enough that chance meets stay rare among n, as many as find a pair nearly surely."""
-    width = max(16, n.bit_length() + 4)
-    tables = int(np.ceil(3 / (1 - differing) ** width))
-    return np.stack([np.random.default_rng(t).choice(WIDE, width, replace=False) for t in range(tables)])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of key and id: each id with its key's first and with the NEAR before it."""
-    key, ids, first = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), map(b" ".join, zip(*parts, strict=False))), np.uint64))
+
+
+def min_hashes(own: np.ndarray) -> np.ndarray:
+    """HASHES min-hashes of distinct shingle hashes: two sets agree in each with their Jaccard similarity as probability."""
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(own), 256):
+        mixed = own[i : i + 256, None] * _MIX[0] + _MIX[1]
+        np.minimum(least, (mixed >> np.uint64(32)).min(axis=0).astype(np.uint32), out=least)
+    return least
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, same, sketch, keys = [], [], [], []
+        for text in batch.column(1).to_pylist():
+            own = shingle_hashes(text, shingle)
+            least = min_hashes(own)
+            n.append(len(own))
+            same.append(xxhash.xxh128_digest(own.tobytes()))
+            sketch.append((least & np.uint32(255)).astype(np.uint8).tobytes())
+            keys.append([xxhash.xxh64_intdigest(least[t * ROWS : (t + 1) * ROWS].tobytes(), seed=t) - (1 << 63) for t in range(BANDS)])
+        arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n", "same", "sketch", "keys"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, a_sketch, b_sketch) the a, b whose sketches agree in that share of their bytes."""
     for batch in batches:
-        new = len(key)
-        key = np.concatenate((key, batch.column(0).to_numpy()))
-        ids = np.concatenate((ids, batch.column(1).to_numpy()))
-        start = np.concatenate(([True], key[1:] != key[:-1]))
-        begin = ids[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-        if new:  # the first of a key that goes on from before
-            begin[key == key[0]] = first[0] if key[0] == first[1] else begin[0]
-        a, b = [], []
-        for step in range(1, NEAR + 1):
-            at = np.arange(max(new, step), len(key))
-            at = at[key[at] == key[at - step]]
-            a.append(ids[at])
-            b.append(ids[at - step])
-        at = np.arange(new, len(key))
-        a.append(ids[at])
-        b.append(begin[at])
-        a, b = np.concatenate(a), np.concatenate(b)
-        keep = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[keep]), pa.array(np.minimum(a, b)[keep])], names=["a", "b"])
-        if len(key):
-            tail = key[-NEAR:]
-            first = np.array([begin[len(key) - len(tail)], tail[0]])
-            if tail[0] != tail[-1]:  # only the last key can go on
-                own = tail == tail[-1]
-                first = np.array([begin[-1], tail[-1]])
-                key, ids = tail[own], ids[-NEAR:][own]
-            else:
-                key, ids = tail, ids[-NEAR:]
+        sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3)]
+        keep = pa.array((sides[0] == sides[1]).mean(axis=1) >= least)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, a_text, b_text) the a, b whose shingle sets have that Jaccard similarity or more."""
+    of, other = None, np.empty(0, np.uint64)
+    for batch in batches:
+        keep = []
+        for b, one, two in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            if b != of:
+                of, other = b, shingle_hashes(two, shingle)
+            own = shingle_hashes(one, shingle)
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            keep.append(common >= similarity * (len(own) + len(other) - common) - 1e-9)
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of texts (id, text) whose shingle sets have the Jaccard similarity asked for, by the sets themselves."""
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"{s}_text"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+    return both.mapInArrow(partial(_similar, shingle=shingle, similarity=similarity), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, row, component of each row of docs: near copies by word shingles, component the least row among them.
 
-    Texts whose shingle sets have the Jaccard similarity asked for differ in about arccos(2s / (1 + s)) / pi of their
-    SimHash bits; SLACK bounds it from above. Tables of sampled bits stand for the blocks: their number follows the length
-    of their keys, which follows the number of texts, so that a pair at the similarity shares one with 95 % and random
-    pairs seldom. In a bucket a text meets the first and the NEAR before it, never all, in a distributed order, so a group
-    of any size takes linear work; the wide fingerprints of each pair are compared. Equal fingerprints count as one.
-    Texts without words are each other's copies.
+    Two texts are linked if the Jaccard similarity of their shingle sets, counted out from the texts, is at least the one
+    asked for. Candidates share a bucket, a key of ROWS min-hashes: a pair at 0.8 shares one of BANDS with a probability
+    of 0.997, a more similar one more surely. First each text meets the bucket's first that it shares most buckets with;
+    then all pairs of all buckets whose texts are not in one component yet, whatever a bucket's size. A group of near
+    copies so takes linear work, and only texts that share buckets without being linked meet all with all. A pair of
+    the second step goes to the count only if set sizes allow the similarity and if the sketches agree to five standard
+    deviations below it. Equal shingle sets count as one. Texts without words are each other's copies.
     """
-    differing = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bits = ", ".join(f"w{i} long" for i in range(WIDE // 64))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            words = np.packbits(np.stack(got), axis=1).view(">i8").astype(np.int64) if got else np.empty((0, WIDE // 64), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(words[:, i]) for i in range(WIDE // 64))], names=["doc_id", "row", *(f"w{i}" for i in range(WIDE // 64))])
-
-    names = [f"w{i}" for i in range(WIDE // 64)]
-    found = durable(numbered(docs.select("doc_id", "text"), "row").mapInArrow(prints, f"doc_id {kind}, row long, {bits}"))
-    distinct = durable(found.groupBy(*names).agg(F.min("row").alias("id")))
-    picks = _tables(distinct.count(), differing)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                words = np.stack([batch.column(i).to_numpy() for i in range(len(names))], axis=1)
-                own = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(len(words), -1), axis=1)
-                for t, pick in enumerate(picks):
-                    key = own[:, pick].astype(np.int64) @ (1 << np.arange(len(pick), dtype=np.int64)) | t << 48
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(len(names))], names=["key", "id"])
-
-    keyed = distinct.select(*names, "id").mapInArrow(keys, "key long, id long")
-    pairs = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_neighbours, "a long, b long").distinct()
-    side = lambda s: distinct.select(F.col("id").alias(s), *(F.col(n).alias(f"{s}_{n}") for n in names))
-    apart = sum((_apart(F.col(f"a_{n}"), F.col(f"b_{n}")) for n in names), F.lit(0))
-    edges = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= int(SLACK * WIDE)).select("a", "b")
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    found = durable(rows.mapInArrow(partial(_sketches, shingle=shingle), f"doc_id {kind}, row long, n long, same binary, sketch binary, keys array<long>"))
+    least = found.groupBy("same").agg(F.min("row").alias("id"))
+    distinct = durable(found.join(least.select(F.col("id").alias("row")), "row", "left_semi").filter("n > 0").select(F.col("row").alias("id"), "n", "sketch", "keys"))
+    keyed = distinct.select("id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    members = durable(keyed.join(shared, "key"))
+    texts = durable(rows.select(F.col("row").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi"))
+
+    often = members.filter("id > first").groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("times"))
+    tried = durable(often.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b")))
+    edges = durable(similar_pairs(texts, tried, shingle, similarity))
     root = roots(edges)
-    of = distinct.join(root, distinct["id"] == root["node"], "left").select(*names, F.coalesce("root", "id").alias("component"))
-    return found.join(of, names).select("doc_id", "row", "component")
+    placed = members.join(root, members["id"] == root["node"], "left").select("key", "id", F.coalesce("root", "id").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+    sizes = distinct.select("id", "n")
+    open_ = durable(placed.join(mixed, "key", "left_semi").join(sizes, "id"))
+    side = lambda s: open_.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "part", "n")))
+    fits = (F.col("a_part") != F.col("b_part")) & (F.col("a_id") > F.col("b_id")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+    pairs = side("a").join(side("b"), "key").filter(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    sketch = lambda s: distinct.select(F.col("id").alias(s), F.col("sketch").alias(f"{s}_sketch"))
+    sketched = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "a_sketch", "b_sketch")
+    loose = similarity - 5 * (similarity * (1 - similarity) / HASHES) ** 0.5
+    more = similar_pairs(texts, durable(sketched.mapInArrow(partial(_likely, least=loose), "a long, b long")), shingle, similarity)
+    root = roots(edges.unionByName(more))
+    of = least.join(root, least["id"] == root["node"], "left").select("same", F.coalesce("root", "id").alias("component"))
+    return found.select("doc_id", "row", "same").join(of, "same").select("doc_id", "row", "component")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
