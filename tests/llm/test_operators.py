@@ -324,6 +324,23 @@ def test_near_copies_of_a_hot_source_are_found(spark):
     assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
 
 
+def test_near_copies_are_linked_at_the_similarity_alone(spark):
+    """Pairs just above 0.8 are joined and pairs from 0.65 to just below aren't, as brute force over the shingle sets says."""
+    texts = []
+    for i in range(150):
+        own = [f"p{i}w{k}" for k in range(304)]
+        other = own.copy()
+        for k in range(2, 2 + 7 * (5 + i % 8), 7):
+            other[k] = f"q{i}w{k}"
+        texts += [own, other]
+    docs = simhash.durable(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    pairs = components_at([{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts], 0.8)[1]
+    got = {r.doc_id: r.component for r in simhash.similar_documents(docs).collect()}
+    joined = {(i, i + 1) for i in range(0, len(texts), 2) if got[i] == got[i + 1]}
+    assert 30 < len(pairs) < 120
+    assert joined <= pairs and len(joined) >= 0.98 * len(pairs)
+
+
 def test_token_counts(docs):
     library = Tokenizer.from_file(WORD_BPE)
     for hot in (1, 10**6):  # all words rare; all words broadcast
