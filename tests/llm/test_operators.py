@@ -163,6 +163,42 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.filter("false")).count() == 0
 
 
+def written(rng: random.Random, tree) -> str:
+    """A text that a parsed regular expression matches."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "ANY":
+            out += rng.choice("abz/&")
+        elif name == "BRANCH":
+            out += written(rng, rng.choice(arg[1]))
+        elif name == "SUBPATTERN":
+            out += written(rng, arg[3])
+        elif name == "MAX_REPEAT":
+            out += "".join(written(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif name == "IN":
+            sign = str(arg[0][0]) == "NEGATE"
+            held = {chr(c) for kind, x in arg if str(kind) != "NEGATE" for c in (range(x[0], x[1] + 1) if str(kind) == "RANGE" else [x])}
+            out += rng.choice([c for c in "abcxyz019-_./?&#=" if (c in held) != sign])
+        else:
+            assert name == "AT"
+    return out
+
+
+def test_url_index_fetches_what_all_patterns_match(spark):
+    """Urls written from each pattern: as many patterns by the index as by running all."""
+    rng = random.Random(6)
+    own = [written(rng, re._parser.parse(p.regex)) for p in url_rules.PATTERNS for _ in range(40)]
+    urls = ["http://onlinecasino.net/", "http://xxx.org/", "http://h.org/ONLINE-casino?x", *(f"http://h.org{x}" for x in own), *(f"http://h.org/q{x.upper()}" for x in own)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.n_patterns for r in url_rules.judge(pages).collect()}
+    want = {i: sum(re.search(p.regex, u.lower()) is not None for p in url_rules.PATTERNS) for i, u in enumerate(urls)}
+    assert got == want and want[0] == 1 and want[1] == 2
+    assert {r.page_id: r.verdict for r in url_rules.judge(pages).filter("page_id < 2").collect()} == {0: "block", 1: "block"}
+
+
 @pytest.mark.parametrize("blocks", [(1024, 16384), (3, 20)])
 def test_top_k(spark, blocks):
     rng = np.random.default_rng(1)

@@ -12,10 +12,10 @@ from tidepanel.llm.common import durable
 
 @dataclass(frozen=True)
 class Pattern:
-    """A blocking rule: a regular expression on the lower-cased url, and whole tokens ([a-z0-9]+) that any match has."""
+    """A blocking rule: a regular expression on the lower-cased url, and alternatives of whole tokens ([a-z0-9]+): any match has all of one."""
 
     regex: str
-    tokens: tuple[str, ...]
+    tokens: tuple[tuple[str, ...], ...]
 
 
 @dataclass(frozen=True)
@@ -37,17 +37,17 @@ SCOPES = (
 )
 #: The library's own patterns: adult, gambling, trackers, link shops, and session or search pages.
 PATTERNS = (
-    Pattern(r"(^|[^a-z0-9])(porn|xxx)([^a-z0-9]|$)", ("porn",)),
-    Pattern(r"(^|[^a-z0-9])xxx([^a-z0-9]|$)", ("xxx",)),
-    Pattern(r"(^|[^a-z0-9])casino([^a-z0-9]|$)", ("casino",)),
-    Pattern(r"(^|[^a-z0-9])online[-_/.]?casino([^a-z0-9]|$)", ("casino",)),
-    Pattern(r"(^|[^a-z0-9])sports?[-_]betting([^a-z0-9]|$)", ("betting",)),
-    Pattern(r"(^|[^a-z0-9])buy[-_]backlinks([^a-z0-9]|$)", ("buy", "backlinks")),
-    Pattern(r"[?&]utm_source=(feed|ads?|mail)([&#]|$)", ("utm", "source")),
+    Pattern(r"(^|[^a-z0-9])(porn|xxx)([^a-z0-9]|$)", (("porn",), ("xxx",))),
+    Pattern(r"(^|[^a-z0-9])xxx([^a-z0-9]|$)", (("xxx",),)),
+    Pattern(r"(^|[^a-z0-9])casino([^a-z0-9]|$)", (("casino",),)),
+    Pattern(r"(^|[^a-z0-9])online[-_/.]?casino([^a-z0-9]|$)", (("online", "casino"), ("onlinecasino",))),
+    Pattern(r"(^|[^a-z0-9])sports?[-_]betting([^a-z0-9]|$)", (("betting",),)),
+    Pattern(r"(^|[^a-z0-9])buy[-_]backlinks([^a-z0-9]|$)", (("buy", "backlinks"),)),
+    Pattern(r"[?&]utm_source=(feed|ads?|mail)([&#]|$)", (("utm", "source"),)),
     Pattern(r"[?&]session[-_]?id=[a-z0-9]+", ()),
-    Pattern(r"[?&]page=[0-9]+&(.*&)?ref=[a-z]", ("page", "ref")),
-    Pattern(r"/wp-login\.php([?#]|$)", ("wp", "login", "php")),
-    Pattern(r"/tag/[^/?#]+/feed/?([?#]|$)", ("tag", "feed")),
+    Pattern(r"[?&]page=[0-9]+&(.*&)?ref=[a-z]", (("page", "ref"),)),
+    Pattern(r"/wp-login\.php([?#]|$)", (("wp", "login", "php"),)),
+    Pattern(r"/tag/[^/?#]+/feed/?([?#]|$)", (("tag", "feed"),)),
 )
 
 
@@ -79,17 +79,17 @@ def tokens_of(url: Column) -> Column:
 def blocked_urls(urls: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """The distinct rows of urls (url) that a pattern matches, each with its number of matching patterns.
 
-    Every pattern is filed under that one of its tokens that the fewest urls have, counted over all of them; patterns
-    without a token are filed under none and meet every url. The index has a row for each pattern and is broadcast: it is
+    Every alternative of a pattern is filed under that one of its tokens that the fewest urls have, counted over all of
+    them, and any of a pattern's alternatives fetches it; patterns without a token are filed under none and meet every url. The index has a row for each alternative and is broadcast: it is
     as large as the rule list, not as the corpus.
     """
     spark = urls.sparkSession
     distinct = durable(urls.select("url").filter("url is not null").distinct())
-    filed = spark.createDataFrame([(i, p.regex, t) for i, p in enumerate(patterns) for t in p.tokens] or [(-1, "", "")], "rule long, regex string, token string")
+    filed = spark.createDataFrame([(i, p.regex, k, t) for i, p in enumerate(patterns) for k, own in enumerate(p.tokens) for t in own] or [(-1, "", 0, "")], "rule long, regex string, way int, token string")
     tokens = distinct.select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
     uses = tokens.join(F.broadcast(filed.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("uses"))
-    rarest = filed.join(uses, "token", "left").groupBy("rule", "regex").agg(F.min_by("token", F.struct(F.coalesce("uses", F.lit(0)), "token")).alias("token"))
-    index = F.broadcast(rarest)
+    rarest = filed.join(uses, "token", "left").groupBy("rule", "regex", "way").agg(F.min_by("token", F.struct(F.coalesce("uses", F.lit(0)), "token")).alias("token"))
+    index = F.broadcast(rarest.select("rule", "regex", "token").distinct())
     hits = tokens.join(index, "token").filter(F.expr("rlike(lower(url), regex)")).select("url", "rule")
     for i, p in enumerate(patterns):
         if not p.tokens:
