@@ -148,6 +148,18 @@ def test_suffix_dedup_of_repeated_rows(docs):
     assert suffix_dedup.without_repeats(docs).schema == docs.schema
 
 
+def test_wrapped_licence_notices_are_found(spark):
+    """Each notice on lines of five words, with comment signs, after and before other words."""
+    rows = []
+    for i, t in enumerate(licenses.TEMPLATES):
+        w = t.text.split()
+        wrapped = "\n".join("# " + " ".join(w[k : k + 5]) for k in range(0, len(w), 5))
+        rows.append((i, f"{'other words here ' * (11 + 7 * i)}\n{wrapped}\n{'and more ' * 30}"))
+    docs = simhash.durable(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs).collect()}
+    assert all(t.label in got[i] for i, t in enumerate(licenses.TEMPLATES))
+
+
 def test_url_rules(spark):
     rows = [(1, "https://www.example.com/en/1?utm_source=feed"), (2, "http://a.EXAMPLE.com/en/x"), (3, "http://b.com"), (4, "http://b.com/x"), (5, None), (6, "no scheme"), (7, "ftp://x.net/es/"), (8, "http://x.org/a?page=2&ref=x"), (9, "http://x.org/a?PAGE=2"), (10, "http://h.org/sessionid"), (11, "http://h.org/?session_id=4"), (12, "http://notexample.com/en/"), (1, "http://x.net/fr/q#z"), (13, "http://host?x=/en/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", F.lit("?"))

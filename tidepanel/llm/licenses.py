@@ -66,7 +66,11 @@ def phrase_places(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """row, block, label, score: blocks (lines) of docs (row, text) that hold at least threshold of a template's words.
+    """row, block, label, score: blocks of docs (row, text) that hold at least threshold of a template's words.
+
+    Blocks are the lines, from 0, and for each template windows of words, -1 - k for the k-th: twice as wide as the template
+    and overlapping by half, so that a notice that is wrapped over lines lies whole in one. Only documents that hold enough
+    of a template's words at all are cut into its windows.
 
     Distinct words of a template are ordered by the number of documents that have them, rarest first, counted over all
     documents. A block meets a template only through the template's prefix, the first n - need + 1 words, by a join on the
@@ -95,7 +99,19 @@ def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, thresh
     met = held.select("row", "block", "held", F.posexplode("held").alias("j", "word")).join(index, "word")
     met = met.filter((F.size("held") >= F.col("need")) & (F.least("i", "j") + F.least(F.col("size") - F.col("i"), F.size("held") - F.col("j")) >= F.col("need")))
     overlap = F.size(F.array_intersect("tokens", "held"))
-    return met.select("row", "block", "label", (overlap / F.col("size")).alias("score"), overlap.alias("n"), "need").filter("n >= need").select("row", "block", "label", "score").distinct()
+    return met.select("row", "block", "label", (overlap / F.col("size")).alias("score"), overlap.alias("n"), "need").filter("n >= need").select("row", "block", "label", "score").distinct().unionByName(_windowed(hot, [(t.label, len(t.text.split()), own, need) for label, own, need in tokens for t in templates if t.label == label]))
+
+
+def _windowed(docs: DataFrame, wanted: list[tuple[str, int, list[str], int]]) -> DataFrame:
+    """row, block, label, score: windows of docs (row, text) that hold as many distinct words as needed of (label, length, words, need)."""
+    struct = lambda label, step, own, need: F.struct(F.lit(label).alias("label"), F.lit(step).alias("step"), F.array(*map(F.lit, own)).alias("tokens"), F.lit(need).alias("need"))
+    words = docs.select("row", words_of(F.col("text")).alias("words"))
+    held = words.withColumn("held", F.array_intersect("words", F.array(*map(F.lit, sorted({w for *_, own, _ in wanted for w in own})))))
+    may = held.select("row", "words", F.filter(F.array(*(struct(*w) for w in wanted)), lambda t: F.size(F.array_intersect(t["tokens"], F.col("held"))) >= t["need"]).alias("may")).filter(F.size("may") > 0)
+    each = may.select("row", "words", F.explode("may").alias("t")).select("row", "words", "t.*")
+    cut = F.transform(F.sequence(F.lit(0), F.expr("(size(words) - 1) div step").cast("int")), lambda k: F.size(F.array_intersect("tokens", F.slice("words", k * F.col("step") + 1, 2 * F.col("step")))))
+    found = each.select("row", "label", "need", F.size("tokens").alias("size"), F.posexplode(cut).alias("k", "n")).filter("n >= need")
+    return found.select("row", (-1 - F.col("k")).alias("block"), "label", (F.col("n") / F.col("size")).alias("score"))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
