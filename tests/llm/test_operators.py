@@ -434,6 +434,12 @@ def test_personal_data(spark):
     assert personal_data.redacted(one).first().text == "to <EMAIL> or <IP>."
 
 
+def test_masked_addresses_in_capitals_are_candidates(spark):
+    docs = spark.createDataFrame([(1, "JOE [AT] MAIL [DOT] COM"), (2, "joe [at] mail [dot] com")], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in personal_data.with_candidates(docs, "text", "spans").select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     rng = random.Random(13)
     counts = collections.Counter()

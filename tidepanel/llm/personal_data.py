@@ -80,7 +80,7 @@ def with_candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
     for i, k in enumerate(KINDS):
         has = F.lit(True)
         for part in k.needs:
-            has = has & F.contains(text, F.lit(part))
+            has = has & F.contains(F.lower(text) if k.regex.startswith("(?i)") else F.col(text), F.lit(part))
         docs = docs.withColumn(f"_m{i}", F.when(has, F.regexp_extract_all(text, F.lit(k.regex), 0)))
     for i, k in enumerate(KINDS):
         docs = docs.withColumn(f"_p{i}", F.when(F.size(f"_m{i}") > 0, F.split(text, k.regex, -1)))
