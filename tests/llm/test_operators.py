@@ -92,14 +92,22 @@ def test_keep_good_keeps_columns(docs):
 def test_bpe_round_trip(docs, known):
     ranks = bpe.read_ranks(BYTE_BPE)
     encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    short = docs.filter("text is null or length(text) < 1500")
-    out = bpe.encode(short, ranks, known)
-    for text, r in each(short, bpe.decode(out, ranks)):
+    out = bpe.encode(docs, ranks, known)
+    for text, r in each(docs, bpe.decode(out, ranks)):
         want = encoder.encode_ordinary(text or "")
         assert r.ids == want and r.ids_le == np.array(want, "<u4").tobytes() and bytes(r.decoded) == (text or "").encode()
     assert bpe.encode(empty(docs), ranks, known).count() == 0
 
 
+def test_bpe_of_very_long_pretokens(spark):
+    """100,000 letters without a gap, and pre-tokens about the length from which a heap merges them."""
+    ranks, rng = bpe.read_ranks(BYTE_BPE), random.Random(8)
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = ["".join(rng.choice("abcdeéß同") for _ in range(n)) for n in (1, 2, 63, 64, 65, 200, 300, 500, 511, 512, 513, 2000, 100_000)]
+    docs = simhash.durable(spark.createDataFrame([(i, f"{t} {t}") for i, t in enumerate(own)], "doc_id long, text string"))
+    assert {r.doc_id: r.ids for r in bpe.encode(docs, ranks).collect()} == {i: encoder.encode_ordinary(f"{t} {t}") for i, t in enumerate(own)}
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[0].text
     words = mit.split()

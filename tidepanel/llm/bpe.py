@@ -5,12 +5,13 @@ from __future__ import annotations
 import base64
 import json
 import re
-import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,17 +19,19 @@ from pyspark.sql import types as T
 from tidepanel.llm.common import durable, session, text_of
 from tidepanel.llm.pieces import WHITE
 
-#: Pre-tokens that every worker holds with their ids; the rest are folded beside their document.
-KNOWN = 600_000
+#: Pre-tokens of at most SHORT bytes that every worker holds with their ids, some 40 bytes each; the rest are folded beside
+#: their document, but for those over LONG bytes, where a fold's work would be the square of them.
+KNOWN, SHORT, LONG = 2_000_000, 64, 512
+#: Words that a worker keeps for good, and until as many are gathered: a bound on its memory, not on its input.
+WARM, RECENT = 150_000, 100_000
 #: Buckets of the literal rank map: a lookup compares a few keys.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 #: Fixed pattern of pre-tokens; Java's \s is all Unicode white space under (?U).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN = f"(?U){PRE_TOKEN}"
-#: Stands for no rank; more places than a pre-token can have.
-_NO_RANK, _PLACES = 2**31 - 1, 2**31
 #: Ids from here on are marks of pre-tokens yet to be filled in.
 _MARK = 1 << 31
+PARTS = regex.compile(PRE_TOKEN)
 #: White space and what follows it up to the next: no pre-token crosses such words, and each parts the same anywhere.
 WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
@@ -44,20 +47,27 @@ def _literal(value, kind: str) -> Column:
 
 
 class Ranks:
-    """The rank file as literals: pieces are strings with one character for each byte.
+    """The rank file as literals. A piece's id is its rank, so two neighbours make the map's key by their ids.
 
-    of: ranks of all pieces, in buckets by their CRC; one: ids of single bytes; two: ranks of two bytes by their values,
-    so that a pre-token's first look costs no hashing.
+    of: ranks of all pairs of pieces that make a piece, in buckets by the key, which is the left id * 2^bits + the right
+    one; one: ids of single bytes; two: ranks of two bytes by their values, so that a pre-token's first look costs no
+    lookup. Ids and places of a piece are packed into one long: at most 2^places bytes are a pre-token.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.bits = max(ranks.values()).bit_length()
+        self.none = 1 << self.bits
+        self.places = 62 - 2 * self.bits
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         for token, rank in ranks.items():
-            key = token.decode("latin-1")
-            buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-        self.of = _literal(buckets, "array<map<string,int>>")
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    key = left << self.bits | right
+                    buckets[key % BUCKETS][str(key)] = rank
+        self.of = _literal(buckets, "array<map<string,int>>").cast("array<map<bigint,bigint>>")
         self.one = _literal([ranks.get(bytes([a]), -1) for a in range(256)], "array<int>")
-        self.two = _literal([ranks.get(bytes([a, b]), _NO_RANK) for a in range(256) for b in range(256)], "array<int>")
+        self.two = _literal([ranks.get(bytes([a, b]), self.none) for a in range(256) for b in range(256)], "array<int>")
 
 
 def _let(value: Column, body) -> Column:
@@ -69,30 +79,36 @@ def folded(words: Column, ranks: Ranks) -> Column:
     """Ids of each of words, an array of pre-tokens: in each, as often as it has bytes, the adjacent pair of least rank
     (the leftmost) becomes one piece.
 
-    The fold's state is an array of pieces: its bytes p, its id, and the rank r of it and the next as one piece.
+    The fold's state is an array of pieces, a long for each: the rank of it and the next as one piece, its place and its
+    id, from high bits to low. The least long so is the pair to merge next, and a merge is a few slices around it.
     """
+    bits, above = ranks.bits, ranks.bits + ranks.places
+    own, low = (1 << bits) - 1, (1 << above) - 1
 
     def one(word: Column, of: Column, byte: Column, two: Column) -> Column:
-        look = lambda p: F.coalesce(F.try_element_at(F.element_at(of, (F.crc32(p.cast("binary")) % BUCKETS).cast("int") + 1), p), F.lit(_NO_RANK))
-        piece = lambda p, i, r: F.struct(p.alias("p"), i.alias("i"), r.alias("r"))
-        with_next = lambda own, other: F.when(other.isNull(), _NO_RANK).otherwise(_let(F.concat(own, other), look))
+        def look(key: Column) -> Column:
+            return F.coalesce(F.try_element_at(F.get(of, (key % BUCKETS).cast("int")), key), F.lit(ranks.none).cast("long"))
 
-        def joined(acc: Column, at: Column) -> Column:
-            pair = F.concat(F.get(acc, at)["p"], F.get(acc, at + 1)["p"])
+        def rank(left: Column, right: Column) -> Column:
+            return F.shiftleft(F.when(left.isNotNull() & right.isNotNull(), _let(F.shiftleft(left, bits) + right, look)).otherwise(F.lit(ranks.none).cast("long")), above)
 
-            def new(pair: Column):
-                return lambda x, i: F.when(i == at, piece(pair, x["r"], with_next(pair, F.get(acc, at + 2)["p"]))).when(i == at - 1, piece(x["p"], x["i"], with_next(x["p"], pair))).when(i != at + 1, x)
+        def place(acc: Column, m: Column) -> Column:
+            return F.size(F.filter(acc, lambda x: x.bitwiseAND(F.lit(low)) <= m.bitwiseAND(F.lit(low))))
 
-            return F.filter(_let(pair, lambda pair: F.transform(acc, new(pair))), lambda x: x.isNotNull())
+        def joined(acc: Column, m: Column, at: Column) -> Column:
+            new, left, after = F.shiftright(m, above), F.get(acc, at - 2), F.get(acc, at + 1)
+            piece = rank(new, after.bitwiseAND(F.lit(own))) + m.bitwiseAND(F.lit(low - own)) + new
+            rest = F.slice(acc, at + 2, F.size(acc))
+            before = rank(left.bitwiseAND(F.lit(own)), new) + left.bitwiseAND(F.lit(low))
+            return F.when(at > 1, F.flatten(F.array(F.slice(acc, F.lit(1), at - 2), F.array(before, piece), rest))).otherwise(F.flatten(F.array(F.array(piece), rest)))
 
         def merge(acc: Column, _: Column) -> Column:
-            least = F.array_min(F.transform(acc, lambda x, i: x["r"].cast("long") * _PLACES + i))
-            return _let(least, lambda m: F.when(m >= _NO_RANK * _PLACES, acc).otherwise(_let((m % _PLACES).cast("int"), lambda at: joined(acc, at))))
+            return _let(F.array_min(acc), lambda m: F.when(m >= ranks.none << above, acc).otherwise(_let(place(acc, m), lambda at: joined(acc, m, at))))
 
         def all_merges(signs: Column) -> Column:
-            values = F.transform(F.split(signs, "(?s)(?!^)(?=.)"), lambda c: F.struct(c.alias("c"), F.ascii(c).alias("v")))
-            start = _let(values, lambda p: F.transform(p, lambda x, i: piece(x["c"], F.get(byte, x["v"]), F.coalesce(F.get(two, x["v"] * 256 + F.get(p, i + 1)["v"]), F.lit(_NO_RANK)))))
-            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(signs), F.lit(2))), start, merge, lambda acc: F.transform(acc, lambda x: x["i"]))
+            values = F.transform(F.split(signs, ""), F.ascii)
+            start = _let(values, lambda p: F.transform(p, lambda v, i: F.shiftleft(F.coalesce(F.get(two, v * 256 + F.get(p, i + 1)), F.lit(ranks.none)).cast("long"), above) + F.shiftleft(i.cast("long"), bits) + F.get(byte, v)))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(signs), F.lit(2))), start, merge, lambda acc: F.transform(acc, lambda x: x.bitwiseAND(F.lit(own)).cast("int")))
 
         return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), all_merges)
 
@@ -116,26 +132,112 @@ def _fitting(counts: DataFrame, known: int) -> int:
     return least
 
 
-class _Known(dict):
-    """Ids of texts' words (WORD) by a dictionary of pre-tokens; those that it lacks are marked and listed."""
+def merged(raw: bytes, ranks: dict[bytes, int]) -> bytes:
+    """Ids of one long pre-token: the same merges by a heap of pairs, n log n of its bytes."""
+    n = len(raw)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, at, end = heappop(heap)
+        mid = after[at]
+        if mid is None or mid == n or after[mid] != end:  # one of the two has become another piece since
+            continue
+        after[at], after[mid] = end, None
+        if end < n:
+            before[end] = at
+            if (r := ranks.get(raw[at : after[end]])) is not None:
+                heappush(heap, (r, at, after[end]))
+        if at and (r := ranks.get(raw[before[at] : end])) is not None:
+            heappush(heap, (r, before[at], end))
+    at, ids = 0, []
+    while at < n:
+        ids.append(ranks[raw[at : after[at]]])
+        at = after[at]
+    return np.array(ids, "<u4").tobytes()
+
+
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (word, ids) one row for each batch: hashes, words and their sizes, ids and their sizes, each end to end."""
+    for batch in batches:
+        if batch.num_rows:
+            words = [w.encode() for w in batch.column(0).to_pylist()]
+            ids = [np.array(i, "<u4").tobytes() for i in batch.column(1).to_pylist()]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).tobytes()
+            sizes = (np.array([*map(len, x)], np.uint32).tobytes() for x in (words, ids))
+            row = (hashes, b"".join(words), b"".join(ids), *sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["hashes", "words", "ids", "word_sizes", "id_sizes"])
+
+
+class Known(dict):
+    """Ids of texts' words (WORD), found in a table of pre-tokens; those that it lacks are marked and listed.
+
+    The table is a few flat arrays, sorted by hash; what has been found is kept for a while.
+    """
 
-    def __init__(self, own: dict[str, bytes]):
-        super().__init__(own)
-        self.most, self.parts, self.rare = len(own) + 200_000, regex.compile(PRE_TOKEN), {}
+    def __init__(self, parts: list, ranks: dict[bytes, int]):
+        joined = [b"".join(bytes(p[i]) for p in parts) for i in range(5)]
+        hashes = np.frombuffer(joined[0], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.words, self.ids, self.ranks = hashes[order], joined[1], joined[2], ranks
+        sizes = [np.frombuffer(x, np.uint32) for x in joined[3:]]
+        self.spans = [np.stack([np.cumsum(x, dtype=np.uint32) - x, x])[:, order] for x in sizes]
+        self.recent: dict[str, bytes] = {}
+        self.open: dict[str, list[str]] = {}
+        self.found: dict[str, bytes] = {}
+        self.rare: dict[str, int] = {}
+
+    def __reduce__(self):
+        return _restored, (self.__dict__ | {"recent": {}, "open": {}, "found": {}, "rare": {}},)
+
+    def look(self, parts: list[str]) -> dict[str, bytes]:
+        """Those of parts that the table holds, and long ones, with their ids."""
+        raw = [p.encode() for p in parts]
+        out = {p: merged(x, self.ranks) for p, x in zip(parts, raw, strict=True) if len(x) > LONG}
+        if len(self.hashes):
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            for k, w, wn, i, n in zip(hit.tolist(), *(s[j, at[hit]].tolist() for s in self.spans for j in (0, 1)), strict=True):
+                if self.words[w : w + wn] == raw[k]:
+                    out[parts[k]] = self.ids[i : i + n]
+        return out
+
+    def texts(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
+        """Of each text the ids in order, with a mark and a number for each pre-token that is missing, and those by number."""
+        if len(self.recent) > RECENT:
+            self.recent.clear()
+        words = [WORD.findall(t) for t in texts]
+        parts = {w: PARTS.findall(w) for w in set().union(*words) if w not in self and w not in self.recent}
+        self.found = self.look(list({p for ps in parts.values() for p in ps}))
+        self.open = {}
+        for w, ps in parts.items():
+            try:
+                got = b"".join([self.found[p] for p in ps])
+            except KeyError:
+                self.open[w] = ps
+            else:
+                if len(self) < WARM:
+                    self[w] = got
+                else:
+                    self.recent[w] = got
+        out = []
+        for own in words:
+            self.rare = {}
+            out.append((b"".join(map(self.__getitem__, own)), list(self.rare)))
+        return out
 
     def __missing__(self, word: str) -> bytes:
-        parts = self.parts.findall(word)
-        if all(p in self for p in parts):
-            got = b"".join([self[p] for p in parts])
-            if len(self) < self.most:
-                self[word] = got
+        if (got := self.recent.get(word)) is not None:
             return got
-        return b"".join([self[p] if p in self else (_MARK + self.rare.setdefault(p, len(self.rare))).to_bytes(4, "little") for p in parts])
+        found, rare = self.found, self.rare
+        return b"".join([found[p] if p in found else (_MARK + rare.setdefault(p, len(rare))).to_bytes(4, "little") for p in self.open[word]])
+
 
-    def text(self, text: str) -> tuple[bytes, list[str]]:
-        """The ids in order, a mark and a number for each pre-token that is missing, and those by number."""
-        self.rare = {}
-        return b"".join(map(self.__getitem__, WORD.findall(text))), list(self.rare)
+def _restored(state: dict) -> Known:
+    out = Known.__new__(Known)
+    out.__dict__.update(state)
+    return out
 
 
 def filled(marked: bytes, rare: list) -> np.ndarray:
@@ -155,22 +257,23 @@ def filled(marked: bytes, rare: list) -> np.ndarray:
 def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> DataFrame:
     """doc_id, ids (array) and ids_le (the same, little-endian 32-bit) of each row of docs (doc_id, text).
 
-    The pre-tokens of the corpus are counted; the most frequent (`known` at most, of 64 bytes at most) are folded once
-    each and sent to all workers, a dictionary of fixed size. A document's other pre-tokens, each once, are folded in its
-    own row and put in their places. No text is shuffled. A pre-token of n bytes takes n merges over at most n pieces.
-    Null texts count as empty: no ids. Equal rows give equal rows; an empty table gives an empty one.
+    The pre-tokens of the corpus are counted; the most frequent (`known` at most, of SHORT bytes at most) are folded once
+    each and sent to all workers, a table of bounded size. A document's other pre-tokens, each once, are folded in its
+    own row and put in their places. No text is shuffled. A pre-token of n bytes takes n merges over at most n pieces;
+    one of over LONG bytes is merged by a heap instead. Null texts count as empty: no ids. Equal rows give equal rows; an
+    empty table gives an empty one.
     """
     session(docs.sparkSession)
     tables = Ranks(ranks)
-    counts = durable(word_counts(docs).filter(F.octet_length("word") <= 64))
-    often = counts.filter(F.col("uses") >= _fitting(counts, known)).repartition("word")
-    folds = durable(often.select("word", F.element_at(folded(F.array("word"), tables), 1).alias("ids")))
-    held = docs.sparkSession.sparkContext.broadcast({r["word"]: np.array(r["ids"], "<u4").tobytes() for r in folds.toLocalIterator()})
+    counts = durable(word_counts(docs).filter(F.octet_length("word") <= SHORT))
+    often = counts.filter(F.col("uses") >= F.greatest(F.lit(_fitting(counts, known)), F.lit(2))).repartition("word")
+    folds = often.select("word", F.element_at(folded(F.array("word"), tables), 1).alias("ids"))
+    parts = folds.mapInArrow(_compact, "hashes binary, words binary, ids binary, word_sizes binary, id_sizes binary").collect()
+    held = docs.sparkSession.sparkContext.broadcast(Known(parts, ranks))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Known(held.value)
         for batch in batches:
-            got = [own.text(t) for t in batch.column(1).to_pylist()]
+            got = held.value.texts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["doc_id", "marked", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
