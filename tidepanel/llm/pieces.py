@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -15,8 +16,14 @@ RUN = re.compile(f"[^{WHITE}]+")
 WARM, RECENT = 350_000, 200_000
 
 
-class Encoder(dict):
-    """Maps runs without white space to their ids (little-endian unsigned 32-bit); fill() before looking up."""
+#: What str.split() takes for white space and WHITE doesn't.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Fixed pattern of pre-tokens, of printable ASCII in small letters.
+ASCII_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+class Encoder:
+    """Ids (little-endian unsigned 32-bit) of runs without white space: kept for good, or until as many are gathered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,10 +35,19 @@ class Encoder(dict):
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.warm: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
 
-    def __missing__(self, run: str) -> bytes:
-        return self.recent[run]
+    def _known(self, run: str) -> bytes | None:
+        return self.warm.get(run) or self.recent.get(run)
+
+    def _keep(self, run: str, ids: bytes) -> bytes:
+        (self.warm if len(self.warm) < WARM else self.recent)[run] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a pre-token of printable ASCII in small letters: its bytes stand for themselves."""
+        return self._known(part) or self._keep(part, _packed([t.id for t in self.model.model.tokenize(part)]))
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of runs of letters: one text for all, cut where words end; one by one if a letter's small form isn't one."""
@@ -43,44 +59,42 @@ class Encoder(dict):
         return [raw[s:e] for s, e in zip(at, at[1:], strict=False)]
 
     def _any(self, run: str) -> bytes:
-        return np.array(self.model.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _keep(self, run: str, ids: bytes) -> None:
-        if len(self) < WARM:
-            self[run] = ids
-        else:
-            self.recent[run] = ids
+        return _packed(self.model.encode(run, add_special_tokens=False).ids)
 
     def fill(self, runs: set[str]) -> None:
         """Makes each of runs known."""
         if len(self.recent) > RECENT:
             self.recent.clear()
-        new = [r for r in runs if r not in self and r not in self.recent]
-        letters = {c for r in new if (c := r[:-1] if r[-1] in ",." else r).lower().isalpha() and c not in self and c not in self.recent}
-        words = []
-        for w in letters:
-            if w.isascii():  # the normaliser only lower-cases it, and it is one pre-token whose bytes stand for themselves
-                self._keep(w, np.array([t.id for t in self.model.model.tokenize(w.lower())], "<u4").tobytes())
+        others = []
+        for r in runs.difference(self.warm).difference(self.recent):
+            if not r.isascii():
+                others.append(r)
+            elif r.isalpha():  # the normaliser only lower-cases it, and it is one pre-token
+                self._keep(r, self._part(r.lower()))
+            elif r.isprintable() and "<|" not in r:
+                self._keep(r, b"".join(map(self._part, ASCII_PART.findall(r.lower()))))
             else:
-                words.append(w)
+                self._keep(r, self._any(r))
+        letters = {c for r in others if (c := r[:-1] if r[-1] in ",." else r).lower().isalpha() and self._known(c) is None}
+        words = list(letters)
         for i in range(0, len(words), 512):
             part = words[i : i + 512]
             for w, ids in zip(part, self._plain(part), strict=True):
                 self._keep(w, ids)
-        for r in new:
-            if r not in self and r not in self.recent:
-                self._keep(r, self[r[:-1]] + self.mark(r[-1]) if r[-1] in ",." and r[:-1].lower().isalpha() else self._any(r))
-
-    def mark(self, sign: str) -> bytes:
-        """Ids of a sign that ends a run of letters: the pre-tokeniser parts it from them."""
-        if sign not in self and sign not in self.recent:
-            self._keep(sign, self._any(sign))
-        return self[sign]
+        for r in others:
+            if self._known(r) is None:  # the pre-tokeniser parts a sign from the letters before it
+                self._keep(r, self._known(r[:-1]) + self._part(r[-1]) if r[-1] in ",." and r[:-1].lower().isalpha() else self._any(r))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        runs = [RUN.findall(t) for t in texts]
-        self.fill(set().union(*runs))
-        return [b"".join(map(self.__getitem__, r)) for r in runs]
+        runs = [RUN.findall(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
+        distinct = set().union(*runs)
+        self.fill(distinct)
+        own = {r: self._known(r) for r in distinct}
+        return [b"".join(map(own.__getitem__, r)) for r in runs]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=1)
