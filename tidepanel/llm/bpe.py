@@ -23,9 +23,9 @@ from tidepanel.llm.pieces import WHITE
 #: their document, but for those over LONG bytes, where a fold's work would be the square of them.
 KNOWN, SHORT, LONG = 2_000_000, 64, 512
 #: Words that a worker keeps for good, and until as many are gathered: a bound on its memory, not on its input.
-WARM, RECENT = 150_000, 100_000
-#: Buckets of the literal rank map: a lookup compares a few keys.
-BUCKETS = 1 << 16
+WARM, RECENT = 250_000, 150_000
+#: Multipliers that pick the two places of a key in the literal rank map.
+PLACES = (0x9E3779B1, 0x85EBCA77)
 #: Fixed pattern of pre-tokens; Java's \s is all Unicode white space under (?U).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN = f"(?U){PRE_TOKEN}"
@@ -49,26 +49,47 @@ def _literal(value, kind: str) -> Column:
 class Ranks:
     """The rank file as literals. A piece's id is its rank, so two neighbours make the map's key by their ids.
 
-    of: ranks of all pairs of pieces that make a piece, in buckets by the key, which is the left id * 2^bits + the right
-    one; one: ids of single bytes; two: ranks of two bytes by their values, so that a pre-token's first look costs no
-    lookup. Ids and places of a piece are packed into one long: at most 2^places bytes are a pre-token.
+    of: ranks of all pairs of pieces that make a piece, a hash table in one array: the key, which is the left id * 2^bits
+    + the right one + 1, and the rank in one long, at one of two places that the key gives (slot), 0 where there is none; one:
+    ids of single bytes; two: ranks of two bytes by their values, so that a pre-token's first look costs no lookup. Ids and
+    places of a piece are packed into one long: at most 2^places bytes are a pre-token.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bits = max(ranks.values()).bit_length()
+        if self.bits > 20:
+            raise ValueError("ids of more than 20 bits")
         self.none = 1 << self.bits
         self.places = 62 - 2 * self.bits
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+        pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    key = left << self.bits | right
-                    buckets[key % BUCKETS][str(key)] = rank
-        self.of = _literal(buckets, "array<map<string,int>>").cast("array<map<bigint,bigint>>")
+                    pairs[(left << self.bits | right) + 1] = rank
+        self.size = 1 << max(4, (2 * len(pairs)).bit_length())
+        table = [0] * self.size
+        for entry in (key << self.bits | rank for key, rank in pairs.items()):
+            way = 0
+            for _ in range(500):  # who comes takes the place, and who stood there goes to the other of its two
+                at = self.slot(entry >> self.bits, way)
+                table[at], entry = entry, table[at]
+                if not entry:
+                    break
+                way = int(self.slot(entry >> self.bits, 0) == at)
+            else:
+                raise ValueError("no places for all pairs")
+        self.of = _literal(table, "array<bigint>")
         self.one = _literal([ranks.get(bytes([a]), -1) for a in range(256)], "array<int>")
         self.two = _literal([ranks.get(bytes([a, b]), self.none) for a in range(256) for b in range(256)], "array<int>")
 
+    def slot(self, key, way: int):
+        """A place of a key, a number or a column of up to 40 bits: the middle of a product."""
+        if isinstance(key, Column):
+            mixed = F.shiftrightunsigned(key, 20).bitwiseXOR(key).bitwiseAND(F.lit((1 << 30) - 1)) * PLACES[way]
+            return F.shiftright(mixed, 20).bitwiseAND(F.lit(self.size - 1)).cast("int")
+        return (((key >> 20 ^ key) & (1 << 30) - 1) * PLACES[way] >> 20) & (self.size - 1)
+
 
 def _let(value: Column, body) -> Column:
     """body of a value that is computed once, however often body names it."""
@@ -87,10 +108,12 @@ def folded(words: Column, ranks: Ranks) -> Column:
 
     def one(word: Column, of: Column, byte: Column, two: Column) -> Column:
         def look(key: Column) -> Column:
-            return F.coalesce(F.try_element_at(F.get(of, (key % BUCKETS).cast("int")), key), F.lit(ranks.none).cast("long"))
+            at = [F.get(of, ranks.slot(key, way)) for way in (0, 1)]
+            hits = (F.when(F.shiftright(x, bits) == key, x.bitwiseAND(F.lit(own))) for x in at)
+            return F.coalesce(*hits, F.lit(ranks.none).cast("long"))
 
         def rank(left: Column, right: Column) -> Column:
-            return F.shiftleft(F.when(left.isNotNull() & right.isNotNull(), _let(F.shiftleft(left, bits) + right, look)).otherwise(F.lit(ranks.none).cast("long")), above)
+            return F.shiftleft(F.when(left.isNotNull() & right.isNotNull(), _let(F.shiftleft(left, bits) + right + 1, look)).otherwise(F.lit(ranks.none).cast("long")), above)
 
         def place(acc: Column, m: Column) -> Column:
             return F.size(F.filter(acc, lambda x: x.bitwiseAND(F.lit(low)) <= m.bitwiseAND(F.lit(low))))
@@ -169,7 +192,7 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["hashes", "words", "ids", "word_sizes", "id_sizes"])
 
 
-class Known(dict):
+class Known:
     """Ids of texts' words (WORD), found in a table of pre-tokens; those that it lacks are marked and listed.
 
     The table is a few flat arrays, sorted by hash; what has been found is kept for a while.
@@ -182,13 +205,8 @@ class Known(dict):
         self.hashes, self.words, self.ids, self.ranks = hashes[order], joined[1], joined[2], ranks
         sizes = [np.frombuffer(x, np.uint32) for x in joined[3:]]
         self.spans = [np.stack([np.cumsum(x, dtype=np.uint32) - x, x])[:, order] for x in sizes]
+        self.warm: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
-        self.open: dict[str, list[str]] = {}
-        self.found: dict[str, bytes] = {}
-        self.rare: dict[str, int] = {}
-
-    def __reduce__(self):
-        return _restored, (self.__dict__ | {"recent": {}, "open": {}, "found": {}, "rare": {}},)
 
     def look(self, parts: list[str]) -> dict[str, bytes]:
         """Those of parts that the table holds, and long ones, with their ids."""
@@ -208,36 +226,41 @@ class Known(dict):
         if len(self.recent) > RECENT:
             self.recent.clear()
         words = [WORD.findall(t) for t in texts]
-        parts = {w: PARTS.findall(w) for w in set().union(*words) if w not in self and w not in self.recent}
-        self.found = self.look(list({p for ps in parts.values() for p in ps}))
-        self.open = {}
+        distinct = set().union(*words)
+        parts = {w: _parts(w) for w in distinct.difference(self.warm).difference(self.recent)}
+        found = self.look(list({p for ps in parts.values() for p in ps}))
+        unknown = {}
         for w, ps in parts.items():
-            try:
-                got = b"".join([self.found[p] for p in ps])
-            except KeyError:
-                self.open[w] = ps
+            got = [found.get(p) for p in ps]
+            if None in got:
+                unknown[w] = ps
             else:
-                if len(self) < WARM:
-                    self[w] = got
-                else:
-                    self.recent[w] = got
+                (self.warm if len(self.warm) < WARM else self.recent)[w] = got[0] if len(got) == 1 else b"".join(got)
+        batch = _Batch({w: self.warm.get(w) or self.recent.get(w) for w in distinct.difference(unknown)})
+        batch.found, batch.unknown = found, unknown
         out = []
         for own in words:
-            self.rare = {}
-            out.append((b"".join(map(self.__getitem__, own)), list(self.rare)))
+            batch.rare = {}
+            out.append((b"".join(map(batch.__getitem__, own)), list(batch.rare)))
         return out
 
+
+class _Batch(dict):
+    """Ids of a batch's words; of one with unknown pre-tokens they are put together anew in each text."""
+
     def __missing__(self, word: str) -> bytes:
-        if (got := self.recent.get(word)) is not None:
-            return got
         found, rare = self.found, self.rare
-        return b"".join([found[p] if p in found else (_MARK + rare.setdefault(p, len(rare))).to_bytes(4, "little") for p in self.open[word]])
+        return b"".join([found[p] if p in found else (_MARK + rare.setdefault(p, len(rare))).to_bytes(4, "little") for p in self.unknown[word]])
 
 
-def _restored(state: dict) -> Known:
-    out = Known.__new__(Known)
-    out.__dict__.update(state)
-    return out
+def _parts(word: str) -> list[str]:
+    """The pre-tokens of one of a text's words."""
+    if word.isascii() and word[0] == " ":  # mostly letters after a blank, or those and a sign
+        if word[1:].isalpha():
+            return [word]
+        if word[-1] in ",.;:!?" and word[1:-1].isalpha():
+            return [word[:-1], word[-1]]
+    return PARTS.findall(word)
 
 
 def filled(marked: bytes, rare: list) -> np.ndarray:
@@ -268,8 +291,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> Data
     counts = durable(word_counts(docs).filter(F.octet_length("word") <= SHORT))
     often = counts.filter(F.col("uses") >= F.greatest(F.lit(_fitting(counts, known)), F.lit(2))).repartition("word")
     folds = often.select("word", F.element_at(folded(F.array("word"), tables), 1).alias("ids"))
-    parts = folds.mapInArrow(_compact, "hashes binary, words binary, ids binary, word_sizes binary, id_sizes binary").collect()
-    held = docs.sparkSession.sparkContext.broadcast(Known(parts, ranks))
+    table = Known(folds.mapInArrow(_compact, "hashes binary, words binary, ids binary, word_sizes binary, id_sizes binary").collect(), ranks)
+    held = docs.sparkSession.sparkContext.broadcast(table)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
