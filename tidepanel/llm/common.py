@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -29,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a new local one only where that is unset and Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None))
     return spark.sparkContext.getCheckpointDir()
@@ -45,14 +48,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df as a scan that gives the same rows in the same places each time: itself if it only reads files, else durable."""
+    session(df.sparkSession)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = set(re.findall(r"^[ :|+-]*(\w+)", plan.toString(), re.MULTILINE))
+    return df if plan.deterministic() and nodes <= {"Project", "Filter", "Relation", "LocalRelation"} else durable(df)
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """df with a number for each row, so that repeated rows and repeated or null ids keep results of their own.
 
-    The number is the row's place in the scan; df must come from files or a durable table, which Spark splits the
-    same way each time.
+    The number is the row's place in the scan; what isn't a scan of files is written to a table first (pinned), so that
+    each evaluation numbers alike.
     """
-    session(df.sparkSession)
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return pinned(df).withColumn(name, F.monotonically_increasing_id())
 
 
 def text_of(name: str = "text"):

@@ -19,13 +19,13 @@ SYMBOLS = "#*$%&|<>"
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 5, 0.4, 0.3
 
 
-def _pointers(ids: np.ndarray) -> np.ndarray:
+def pointers(ids: np.ndarray) -> np.ndarray:
     """Each position's bucket pointer after sorting by one id: the start of its bucket."""
     sizes = np.bincount(ids)
     return (np.cumsum(sizes) - sizes)[ids]
 
 
-def _refined(rank: np.ndarray, active: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def refined(rank: np.ndarray, active: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket pointers after sorting each active bucket by the pointers in follow, and the positions that still share one."""
     key = rank[active] * np.int64(len(rank) + 1) + follow
     order = np.argsort(key)
@@ -56,15 +56,15 @@ def repeats(docs: list[np.ndarray], min_repeat: int = MIN_REPEAT) -> list[tuple[
     for d, s, e in zip(docs, starts, ends, strict=True):
         ids[s : e - 1] = d + s  # at most e - s - 1 different ids
         ids[e - 1] = e - 1
-    level = [_pointers(ids)]
+    level = [pointers(ids)]
     active = np.flatnonzero(np.bincount(ids, minlength=n)[ids] > 1)
     threes, found, h = np.zeros(n + 1, np.int64), np.empty(0, np.int64), 1
     while len(active):
-        rank, active = _refined(level[-1], active, level[-1][active + h])
+        rank, active = refined(level[-1], active, level[-1][active + h])
         level.append(rank)
         h *= 2
         if h == 2 and len(active):
-            same = _refined(rank, active, level[0][active + 2])[1]
+            same = refined(rank, active, level[0][active + 2])[1]
             np.add.at(threes, same, 1)
             np.add.at(threes, same + 3, -1)
         if h <= min_repeat:

@@ -1,4 +1,11 @@
-"""Suffix-array deduplication of long repeats: bucket-pointer refinement from q-gram buckets, exact at byte level."""
+"""Suffix-array deduplication of long repeats: q-gram buckets, refined by sorting on the buckets of later offsets.
+
+Corpus-wide buckets are those of a 32-gram that a window's own bytes pick (its least), so that two of some 70 offsets are
+shuffled and not all. What shares a bucket and a hash of all bytes around it is one class. Buckets with several classes
+are refined from their bytes: buckets of 8-grams, sorted again on the bucket of the offset 8 on, 16 on and so forth up to
+the span, each round on the last one's buckets. Only a bucket of more classes than one task holds compares its windows
+by a hash of 128 bits instead.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +17,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import durable, numbered, text_of
+from tidepanel.llm.common import durable, numbered, pinned, text_of
+from tidepanel.llm.repetition import refined
 
-#: Bytes of the first bucket's q-gram; contexts of one bucket refined in a task.
-Q, BUCKET = 32, 4096
+#: Bytes of the first bucket's q-gram; contexts of one bucket refined in a task; bits of a stretch's width.
+Q, BUCKET, WIDTH = 32, 4096, 20
+#: Bytes of the buckets that a refinement starts from.
+START = 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def grams(raw: np.ndarray, q: int, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of the q bytes from each offset on, from hashes of half the length, as buckets are refined."""
+    """A 64-bit hash of the q bytes from each offset on, from hashes of half the length."""
     h, k = (raw.astype(np.uint64) + np.uint64(seed)) * _B, 1
     while 2 * k <= q:
         h = h[:-k] * _A + h[k:]
@@ -33,12 +43,13 @@ def grams(raw: np.ndarray, q: int, seed: int = 1) -> np.ndarray:
     return h
 
 
-def stretches(raw: bytes, span: int, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(raw: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First start, last start and bucket of each stretch of windows (span bytes) with their leftmost least q-gram in one place.
 
     A window's bucket is its least q-gram hash, which its bytes alone decide: equal windows share a bucket wherever they
     stand, though only about two of span - q offsets are kept.
     """
+    q = min(Q, span)
     if len(raw) < span:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
     gram, k, wide = grams(np.frombuffer(raw, np.uint8), q), 1, span - q + 1
@@ -63,7 +74,7 @@ def _stretch_rows(docs: DataFrame, span: int) -> DataFrame:
                 first, last, bucket = stretches(raw, span)
                 of.append(np.full(len(first), i))
                 buckets.append(bucket.view(np.int64))
-                at.append(first << 7 | (last - first))
+                at.append(first << WIDTH | (last - first))
                 contexts.append(np.fromiter((xxhash.xxh64_intdigest(raw[a : b + span]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)).view(np.int64))
             if of:
                 own = pa.array(np.concatenate(of))
@@ -81,8 +92,8 @@ def _contexts(docs: DataFrame, span: int) -> DataFrame:
             for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
-                    first = w["at"] >> 7
-                    for k, v in (("of", i), ("bucket", w["bucket"]), ("first", first), ("bytes", raw[first : first + (w["at"] & 127) + span])):
+                    first = w["at"] >> WIDTH
+                    for k, v in (("of", i), ("bucket", w["bucket"]), ("first", first), ("bytes", raw[first : first + (w["at"] & (1 << WIDTH) - 1) + span])):
                         out[k].append(v)
             own = pa.array(out["of"], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), batch.column(0).take(own), batch.column(1).take(own), pa.array(out["first"], pa.int64()), pa.array(out["bytes"], pa.binary())], names=["bucket", "doc_id", "row", "first", "bytes"])
@@ -101,14 +112,44 @@ def _windows(parts: list[bytes], span: int, seed: int = 1) -> tuple[np.ndarray,
     return hashes[inside[: len(hashes)]], sizes - span + 1
 
 
+def window_buckets(parts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each window of each part (equal for equal bytes alone), and each part's number of windows.
+
+    Buckets of the first START bytes are sorted, those of several windows again by the bucket START bytes on, and so on in
+    doubled steps; the last step looks ahead as far as the span leaves. A bucket's identifier is its place in the order.
+    """
+    sizes = np.array([len(p) for p in parts], np.int64)
+    raw = np.frombuffer(b"".join([*parts, bytes(span + START)]), np.uint8)
+    n, h = int(sizes.sum()), min(START, span)
+    gram = np.zeros(n + span, np.uint64)
+    for k in range(h):
+        gram = gram << np.uint64(8) | raw[k : k + n + span]
+    order = np.argsort(gram, kind="stable")
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[order[1:]] != gram[order[:-1]]
+    bucket = np.empty(len(gram), np.int64)
+    bucket[order] = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
+    alone = new & np.append(new[1:], True)
+    active = np.sort(order[~alone])
+    while h < span and len(active):
+        step = min(h, span - h)
+        active = active[active + step < len(gram)]
+        bucket, active = refined(bucket, active, bucket[active + step])
+        h += step
+    ends = np.cumsum(sizes)
+    inside = np.ones(n, bool)
+    for k in range(1, span):  # the last starts of a part would run into the next
+        inside[ends - k] = False
+    return bucket[:n][inside], sizes - span + 1
+
+
 def _refine(span: int):
     """A mapInArrow function on contexts sorted by bucket, doc_id, row, first: runs of windows that stand earlier too."""
 
     def resolve(rows: list[tuple]) -> pa.RecordBatch:
-        hashes, sizes = _windows([r[3] for r in rows], span)
-        again = np.ones(len(hashes), bool)
-        mixed = hashes ^ np.repeat(np.array([r[0] for r in rows], np.int64).view(np.uint64) * _A, sizes)
-        again[np.unique(mixed, return_index=True)[1]] = False
+        buckets, sizes = window_buckets([r[3] for r in rows], span)
+        again = np.ones(len(buckets), bool)
+        again[np.unique(buckets, return_index=True)[1]] = False
         begin = np.cumsum(sizes) - sizes
         part = np.repeat(np.arange(len(rows)), sizes)
         joined = np.zeros(len(again), bool)
@@ -123,7 +164,7 @@ def _refine(span: int):
         held: list[tuple] = []
         for batch in batches:
             for r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if len(held) >= 4 * BUCKET and r[0] != held[-1][0]:
+                if len(held) >= BUCKET and r[0] != held[-1][0]:
                     yield resolve(held)
                     held = []
                 held.append(r)
@@ -152,24 +193,26 @@ def repeated_spans(docs: DataFrame, span: int = 100) -> DataFrame:
 
     Earlier: smaller doc_id, then row, then start; null ids come first. Buckets by q-gram are counted; those of one
     offset are left. What shares a bucket and all bytes around it is settled by one hash; only the first of each such
-    class, in buckets with several classes, is refined window by window, in groups of at most BUCKET classes or, in a
-    larger bucket, as rows summed before they are dealt. No pairs are made and no bucket is dropped.
+    class, in buckets with several classes, is refined (_refine), in groups of at most BUCKET classes or, in a
+    larger bucket, as rows of windows summed before they are dealt. No pairs are made and no bucket is dropped. What is
+    joined to the rows of a bucket is a table of its own, so that a hot bucket is a skewed join, which Spark splits.
     """
+    if not 0 < span <= 1 << WIDTH:
+        raise ValueError(f"span must lie between 1 and {1 << WIDTH}")
     rows = _stretch_rows(docs, span)
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = durable(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
     rows = durable(rows.join(shared, "bucket"))
-    classes = rows.groupBy("bucket", "context").agg(F.min(F.struct("doc_id", "row", "at")).alias("f"), F.count("*").alias("n"))
-    classes = durable(classes)
-    range_of = lambda at: (F.shiftright(at, 7).alias("lo"), (F.shiftright(at, 7) + at.bitwiseAND(F.lit(127)) + span).alias("hi"))
+    classes = durable(rows.groupBy("bucket", "context").agg(F.min(F.struct("doc_id", "row", "at")).alias("f"), F.count("*").alias("n")))
+    range_of = lambda at: (F.shiftright(at, WIDTH).alias("lo"), (F.shiftright(at, WIDTH) + at.bitwiseAND(F.lit((1 << WIDTH) - 1)) + span).alias("hi"))
     later = rows.join(classes.filter("n > 1").select("bucket", "context", "f"), ["bucket", "context"]).filter((F.col("row") != F.col("f.row")) | (F.col("at") != F.col("f.at"))).select("row", *range_of(F.col("at")))
-    several = classes.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = durable(classes.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     open_ = classes.join(several, "bucket").select(F.col("f.row").alias("row"), F.struct("bucket", F.col("f.at").alias("at")).alias("w"), "kinds")
     wanted = lambda which: open_.filter(which).groupBy("row").agg(F.collect_list("w").alias("wanted"))
     contexts = lambda which: _contexts(docs.join(wanted(which), "row").select("doc_id", "row", "text", "wanted"), span)
     few = contexts(F.col("kinds") <= BUCKET).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "row", "first")
     refined = few.select("bucket", "row", "first", "bytes").mapInArrow(_refine(span), "row long, lo long, hi long")
     windows = contexts(F.col("kinds") > BUCKET).select("doc_id", "row", "first", "bytes").mapInArrow(_window_rows(span), f"a long, b long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, lo long")
-    twice = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "lo")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    twice = durable(windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "lo")).alias("f"), F.count("*").alias("n")).filter("n > 1"))
     common = windows.join(twice, ["a", "b"]).filter((F.col("row") != F.col("f.row")) | (F.col("lo") != F.col("f.lo"))).select("row", "lo", (F.col("lo") + span).alias("hi"))
     return later.unionByName(refined).unionByName(common)
 
@@ -192,7 +235,7 @@ def cut_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
     earlier in the same one; judged on the input. Null texts count as empty; shorter texts than span stay whole; equal
     rows: the first in scan order keeps its bytes.
     """
-    docs = numbered(docs.select("doc_id", text_of().alias("text")), "row").select("doc_id", "row", "text")
+    docs = numbered(pinned(docs.select("doc_id", text_of().alias("text"))), "row").select("doc_id", "row", "text")
     spans = repeated_spans(docs, span).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +258,10 @@ def cut_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
 def without_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
     """docs with text cut as by cut_repeats(), all columns kept; a null text stays null.
 
-    A character of which some bytes go, goes.
+    A character of which some bytes go, goes. Of repeated rows the first in scan order keeps its text; an empty table
+    gives an empty one.
     """
+    docs = pinned(docs)
     at = docs.columns.index("text")
     rows = numbered(docs, "_row")
     spans = repeated_spans(rows.select("doc_id", F.col("_row").alias("row"), text_of().alias("text")), span).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
