@@ -86,13 +86,18 @@ class Encoder:
                 self._keep(r, self._known(r[:-1]) + self._part(r[-1]) if r[-1] in ",." and r[:-1].lower().isalpha() else self._any(r))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        runs = [RUN.findall(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
+        runs = [runs_of(t) for t in texts]
         distinct = set().union(*runs)
         self.fill(distinct)
         own = {r: self._known(r) for r in distinct}
         return [b"".join(map(own.__getitem__, r)) for r in runs]
 
 
+def runs_of(text: str) -> list[str]:
+    """The runs of a text between white space."""
+    return RUN.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
+
+
 def _packed(ids: list[int]) -> bytes:
     return pack(f"<{len(ids)}I", *ids)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,16 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import durable, numbered, text_of
+from tidepanel.llm.pieces import runs_of
 
-#: White space to any tokenizer of the word-end kind; no piece crosses it. Java's escapes.
-SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: A pre-token that is at least this share of all is joined by broadcast: at most HOT of them can exist, of HOT_BYTES each.
-HOT, HOT_BYTES = 1_000_000, 48
-
-
-def pretokens(text) -> F.Column:
-    """The runs between white space."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+#: A pre-token is joined by broadcast if it is at least 1 / HOT of all and, with its length, 1 / HOT_BYTES of all bytes: at
+#: most so many rows and so many bytes can be that, whatever the corpus.
+HOT, HOT_BYTES = 1_000_000, 32_000_000
 
 
 def counter(tokenizer: str):
@@ -40,25 +36,54 @@ def counter(tokenizer: str):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, hot: int = HOT) -> DataFrame:
+def _word_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pre-token of a batch of texts with its uses there."""
+    for batch in batches:
+        uses: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            uses.update(runs_of(text))
+        yield pa.RecordBatch.from_arrays([pa.array(uses.keys(), pa.string()), pa.array(uses.values(), pa.int64())], names=["word", "uses"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pre-token of each text with its times there, and a row without one for the document itself."""
+    for batch in batches:
+        of, words, times = [], [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            own = Counter(runs_of(text))
+            of += [i] * (len(own) + 1)
+            words += [None, *own]
+            times += [0, *own.values()]
+        at = pa.array(of, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["_row", "doc_id", "n_bytes", "word", "times"])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, uses: each distinct pre-token of docs (text)."""
+    return docs.select("text").mapInArrow(_word_uses, "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each row of docs (doc_id, text).
 
     For tokenizers files whose normaliser and pre-tokeniser keep nothing across white space. Each distinct pre-token is
-    counted once. Those with at least 1/hot of all occurrences (so hot rows at most, whatever the corpus) meet the
-    documents by a broadcast join and are summed before any shuffle; the rest are shuffled as one row for each document
-    and pre-token. Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and null ids keep rows of their own.
+    counted once. The frequent ones meet the documents' frequencies by a broadcast join and are summed before any
+    shuffle; the rest are shuffled as one row for each document and pre-token, none of which is frequent enough to fill a
+    task. Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and null ids keep rows of their own; an empty table
+    gives an empty one.
     """
-    rows = numbered(docs.select("doc_id", text_of().alias("text")))
-    words = rows.select("_row", F.explode(pretokens(F.col("text"))).alias("word"))
-    distinct = words.groupBy("word").agg(F.count("*").alias("uses"))
-    pieces = durable(distinct.select("word", "uses").mapInArrow(counter(tokenizer), "word string, uses long, n long"))
-    total = pieces.agg(F.sum("uses")).first()[0] or 0
-    is_hot = (F.col("uses") * hot >= F.lit(total)) & (F.octet_length("word") <= HOT_BYTES)
-    often = F.broadcast(pieces.filter(is_hot).select("word", "n"))
-    hot_sums = words.join(often, "word").groupBy("_row").agg(F.sum("n").alias("n"))
-    rare = words.join(often.select("word"), "word", "left_anti").repartition("word").groupBy("word", "_row").agg(F.count("*").alias("times"))
+    rows = numbered(docs.select("doc_id", text_of().alias("text"))).select("_row", "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
+    pieces = durable(word_counts(rows).mapInArrow(counter(tokenizer), "word string, uses long, n long"))
+    size = F.octet_length("word").cast("long")
+    total, bytes_ = pieces.agg(F.sum("uses"), F.sum(F.col("uses") * size)).first()
+    is_hot = (F.col("uses") * hot >= F.lit(total or 0)) & (F.col("uses") * hot_bytes >= F.lit(bytes_ or 0))
+    often = F.broadcast(pieces.filter(is_hot).select("word", F.col("n").alias("_n")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = rows.mapInArrow(_frequencies, f"_row long, doc_id {kind}, n_bytes long, word string, times long")
+    doc = F.struct("doc_id", "n_bytes").alias("doc")
+    hot_sums = held.join(often, "word", "left").filter("word is null or _n is not null").select("_row", F.when(F.col("word").isNull(), doc).alias("doc"), (F.coalesce("_n", F.lit(0)) * F.col("times")).alias("n"))
+    rare = held.filter("word is not null").select("word", "_row", "times").join(often.select("word"), "word", "left_anti").repartition("word")
     rare_sums = rare.join(pieces.filter(~is_hot).select("word", "n"), "word").groupBy("_row").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    none = rows.select("_row", F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).alias("doc"), F.lit(0).cast("long").alias("n"))
-    sums = none.unionByName(hot_sums, allowMissingColumns=True).unionByName(rare_sums, allowMissingColumns=True)
+    sums = hot_sums.groupBy("_row").agg(F.max("doc").alias("doc"), F.sum("n").alias("n")).unionByName(rare_sums, allowMissingColumns=True)
     out = sums.groupBy("_row").agg(F.max("doc").alias("doc"), F.sum("n").alias("n_tokens"))
     return out.select("doc.doc_id", "doc.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
