@@ -151,8 +151,33 @@ def test_suffix_dedup(spark, texts, bucket, monkeypatch):
     assert cut[0] is None and all(cut[i] == want[i][2].decode("utf-8", "ignore") for i in cut if i)
 
 
+@pytest.mark.parametrize("span", [1, 5, 8, 20, 33, 160, 300])
+def test_suffix_dedup_of_other_spans(spark, span):
+    rng = random.Random(span)
+    source = bytes(rng.choice(b"abcd ") for _ in range(3000)).decode()
+    own = ["".join(source[k : k + span + 20] for k in (rng.randrange(2500) for _ in range(3))) for _ in range(30)] + ["q" * 700, "q" * 650, ""]
+    docs = simhash.durable(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"))
+    want = reference_cut([(i, t.encode()) for i, t in enumerate(own)], span)
+    assert {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.cut_repeats(docs, span).collect()} == want
+    with pytest.raises(ValueError):
+        suffix_dedup.cut_repeats(docs, 0)
+
+
+def test_window_buckets_are_equal_for_equal_bytes_alone():
+    rng = random.Random(2)
+    parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(12, 40))) for _ in range(60)]
+    buckets, sizes = suffix_dedup.window_buckets(parts, 12)
+    windows = [p[i : i + 12] for p in parts for i in range(len(p) - 11)]
+    assert sizes.tolist() == [len(p) - 11 for p in parts] and len(buckets) == len(windows)
+    assert len({*zip(buckets.tolist(), windows, strict=True)}) == len(set(windows)) == len(set(buckets.tolist()))
+
+
 def test_suffix_dedup_of_repeated_rows(docs):
-    assert suffix_dedup.cut_repeats(docs).count() == docs.count()
+    """Rows in order of id (null first) and scan place keep what stands first, by content."""
+    rows = sorted(enumerate(r.asDict() for r in docs.collect()), key=lambda r: (r[1]["doc_id"] is not None, r[1]["doc_id"] or 0, r[0]))
+    want = reference_cut([(k, (r["text"] or "").encode()) for k, (_, r) in enumerate(rows)], 100)
+    expected = collections.Counter((r["doc_id"], *want[k]) for k, (_, r) in enumerate(rows))
+    assert collections.Counter((r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.cut_repeats(docs).collect()) == expected
     assert suffix_dedup.without_repeats(docs).schema == docs.schema
 
 
@@ -380,6 +405,24 @@ def test_near_copies_of_a_hot_source_are_found(spark):
     assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_likely_pairs_of_any_block(spark, block):
+    """Blocks give the pairs that brute force over the buckets gives."""
+    rng = np.random.default_rng(block)
+    base = rng.integers(0, 256, (4, simhash.HASHES), dtype=np.uint8)
+    rows = []
+    for i in range(60):
+        own = base[i % 4].copy()
+        at = rng.choice(simhash.HASHES, 12 + 2 * (i % 9), replace=False)
+        own[at] = rng.integers(0, 256, len(at))
+        rows += [(key, 60, i, i // 3, 100 + i % 7, own.tobytes()) for key in (i % 2, 7)]
+    members = spark.createDataFrame(rows, "key long, size long, id long, part long, n long, sketch binary")
+    got = {tuple(r) for r in simhash.likely_pairs(members, 0.8, block).collect()}
+    sketch, loose = {r[2]: np.frombuffer(r[5], np.uint8) for r in rows}, 0.8 - 5 * (0.16 / simhash.HASHES) ** 0.5
+    want = {(a, b) for a in range(60) for b in range(a) if a // 3 != b // 3 and (sketch[a] == sketch[b]).mean() >= loose}
+    assert got == want and want
+
+
 def test_near_copies_are_linked_at_the_similarity_alone(spark):
     """Pairs just above 0.8 are joined and pairs from 0.65 to just below aren't, as brute force over the shingle sets says."""
     texts = []

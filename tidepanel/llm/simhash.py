@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import durable, numbered, session
+from tidepanel.llm.common import durable, numbered, pinned
 
 #: Fingerprints that share a block are compared pair by pair up to this many; beyond, they meet one flipped bit away.
 PAIRED = 24
@@ -85,14 +85,14 @@ def roots(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component of edges (a > b), for all nodes but the roots.
 
     Large and small stars in turn until nothing changes; each step is a minimum for each node and a join, written to
-    the shared folder.
+    the shared folder. Minima are tables of their own, so that a hub's edges are a skewed join, which Spark splits.
     """
     edges, mark = durable(edges.select("a", "b")), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = durable(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a > b").distinct()
         edges = durable(small)
         seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -160,12 +160,45 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n", "same", "sketch", "keys"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, a_sketch, b_sketch) the a, b whose sketches agree in that share of their bytes."""
-    for batch in batches:
-        sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3)]
-        keep = pa.array((sides[0] == sides[1]).mean(axis=1) >= least)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+#: Texts of a bucket whose pairs one task tries at once.
+BLOCK = 1024
+
+
+def _within_cells(batches: Iterator[pa.RecordBatch], similarity: float, least: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, x, y, own, id, part, n, sketch), sorted by key, x and y, the pairs of a cell that may be similar.
+
+    They are in different parts, their sizes allow the similarity, and their sketches agree in a share of `least`. A
+    cell of two blocks has the pairs across them, a cell of one block all of its pairs.
+    """
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for (_, x, y), held in groupby(rows, key=lambda r: r[:3]):
+        own, ids, part, n, sketch = zip(*(r[3:] for r in held), strict=True)
+        own, ids, part, n = (np.array(v, np.int64) for v in (own, ids, part, n))
+        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, HASHES)
+        out: list[np.ndarray] = []
+        for i in range(len(ids) - 1):
+            fits = (part[i + 1 :] != part[i]) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]) - 1e-9)
+            at = np.flatnonzero(fits if x == y else fits & (own[i + 1 :] != own[i])) + i + 1
+            at = at[(sketch[at] == sketch[i]).mean(axis=1) >= least] if len(at) else at
+            out.append(np.stack([np.maximum(ids[at], ids[i]), np.minimum(ids[at], ids[i])]))
+        a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def likely_pairs(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a > b, distinct: pairs of members (key, size, id, part, n, sketch) that share a bucket (key) and may be similar.
+
+    Pairs are tried where the bucket's rows are, and only likely ones leave the task. A bucket of more than `block` is
+    dealt into blocks, and each two of them are a task's work, so no group is unbounded and no pair is left out.
+    """
+    loose = similarity - 5 * (similarity * (1 - similarity) / HASHES) ** 0.5
+    deals = F.ceil(F.col("size") / block)
+    dealt = members.withColumn("deals", deals).withColumn("own", F.pmod(F.xxhash64("id"), "deals"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "part", "n", "sketch")
+    sorted_ = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return sorted_.mapInArrow(partial(_within_cells, similarity=similarity, least=loose), "a long, b long").distinct()
 
 
 def _similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -196,12 +229,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Two texts are linked if the Jaccard similarity of their shingle sets, counted out from the texts, is at least the one
     asked for. Candidates share a bucket, a key of ROWS min-hashes: a pair at 0.8 shares one of BANDS with a probability
     of 0.997, a more similar one more surely. First each text meets the bucket's first that it shares most buckets with;
-    then all pairs of all buckets whose texts are not in one component yet, whatever a bucket's size. A group of near
-    copies so takes linear work, and only texts that share buckets without being linked meet all with all. A pair of
-    the second step goes to the count only if set sizes allow the similarity and if the sketches agree to five standard
-    deviations below it. Equal shingle sets count as one. Texts without words are each other's copies.
+    then all pairs of all buckets whose texts are not in one component yet are tried where the bucket is, whatever its size
+    (likely_pairs). A group of near copies so takes linear work, and only texts that share buckets without being linked
+    meet all with all. A pair of the second step goes to the count only if set sizes allow the similarity and if the
+    sketches agree to five standard deviations below it. Equal shingle sets count as one. Null and empty texts and those
+    without words are each other's copies; repeated rows and ids are told apart; an empty table gives an empty one.
     """
-    session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = numbered(docs.select("doc_id", "text"), "row")
     found = durable(rows.mapInArrow(partial(_sketches, shingle=shingle), f"doc_id {kind}, row long, n long, same binary, sketch binary, keys array<long>"))
@@ -217,23 +250,21 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     edges = durable(similar_pairs(texts, tried, shingle, similarity))
     root = roots(edges)
     placed = members.join(root, members["id"] == root["node"], "left").select("key", "id", F.coalesce("root", "id").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    sizes = distinct.select("id", "n")
-    open_ = durable(placed.join(mixed, "key", "left_semi").join(sizes, "id"))
-    side = lambda s: open_.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "part", "n")))
-    fits = (F.col("a_part") != F.col("b_part")) & (F.col("a_id") > F.col("b_id")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
-    pairs = side("a").join(side("b"), "key").filter(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    sketch = lambda s: distinct.select(F.col("id").alias(s), F.col("sketch").alias(f"{s}_sketch"))
-    sketched = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "a_sketch", "b_sketch")
-    loose = similarity - 5 * (similarity * (1 - similarity) / HASHES) ** 0.5
-    more = similar_pairs(texts, durable(sketched.mapInArrow(partial(_likely, least=loose), "a long, b long")), shingle, similarity)
+    mixed = durable(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size"))
+    open_ = placed.join(mixed, "key").join(distinct.select("id", "n", "sketch"), "id")
+    pairs = durable(likely_pairs(open_, similarity).join(tried, ["a", "b"], "left_anti"))
+    more = similar_pairs(texts, pairs, shingle, similarity)
     root = roots(edges.unionByName(more))
-    of = least.join(root, least["id"] == root["node"], "left").select("same", F.coalesce("root", "id").alias("component"))
+    of = durable(least.join(root, least["id"] == root["node"], "left").select("same", F.coalesce("root", "id").alias("component")))
     return found.select("doc_id", "row", "same").join(of, "same").select("doc_id", "row", "component")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each component the row of least doc_id, then of least scan place; all columns stay."""
+    """docs without near copies: of each component the row of least doc_id, then of least scan place; all columns stay.
+
+    A null doc_id counts as least. Of all rows without words one stays. An empty table gives an empty one.
+    """
+    docs = pinned(docs)
     groups = similar_documents(docs, shingle, similarity)
     keep = groups.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("_row"))
     return numbered(docs).join(keep, "_row", "left_semi").drop("_row")
