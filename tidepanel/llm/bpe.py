@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tidepanel.llm.common import durable, session, text_of
 from tidepanel.llm.pieces import WHITE
 
-#: Pre-tokens of at most SHORT bytes that every worker holds with their ids, some 40 bytes each; the rest are folded beside
+#: Pre-tokens of at most SHORT bytes that every worker holds with their ids, some 25 bytes each, 50 once unpacked; the rest are folded beside
 #: their document, but for those over LONG bytes, where a fold's work would be the square of them.
 KNOWN, SHORT, LONG = 2_000_000, 64, 512
 #: Words that a worker keeps for good, and until as many are gathered: a bound on its memory, not on its input.
@@ -181,29 +181,35 @@ def merged(raw: bytes, ranks: dict[bytes, int]) -> bytes:
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (word, ids) one row for each batch: hashes, words and their sizes, ids and their sizes, each end to end."""
+    """Of rows (word, ids) one row for each batch: hashes, words and their sizes, ids and their numbers, each end to end."""
     for batch in batches:
         if batch.num_rows:
             words = [w.encode() for w in batch.column(0).to_pylist()]
-            ids = [np.array(i, "<u4").tobytes() for i in batch.column(1).to_pylist()]
+            ids = batch.column(1).to_pylist()
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).tobytes()
-            sizes = (np.array([*map(len, x)], np.uint32).tobytes() for x in (words, ids))
-            row = (hashes, b"".join(words), b"".join(ids), *sizes)
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["hashes", "words", "ids", "word_sizes", "id_sizes"])
+            flat = np.array([x for i in ids for x in i], "<u4")
+            sizes = (np.array([*map(len, x)], np.uint8).tobytes() for x in (words, ids))  # SHORT bytes at most
+            row = (hashes, b"".join(words), *sizes, (flat.astype("<u2") if (small := not len(flat) or flat.max() < 1 << 16) else flat).tobytes())
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in row), pa.array([2 if small else 4])], names=["hashes", "words", "word_sizes", "id_sizes", "ids", "width"])
 
 
 class Known:
     """Ids of texts' words (WORD), found in a table of pre-tokens; those that it lacks are marked and listed.
 
-    The table is a few flat arrays, sorted by hash; what has been found is kept for a while.
+    The driver only strings parts of the table together; each worker makes a few flat arrays of them, sorted by hash.
+    What has been found is kept for a while.
     """
 
-    def __init__(self, parts: list, ranks: dict[bytes, int]):
-        joined = [b"".join(bytes(p[i]) for p in parts) for i in range(5)]
-        hashes = np.frombuffer(joined[0], np.uint64)
+    def __init__(self, parts: list[tuple], ranks: dict[bytes, int]):
+        self.parts, self.ranks = parts, ranks
+
+    def __setstate__(self, state: dict) -> None:
+        parts, self.ranks = state["parts"], state["ranks"]
+        hashes = np.frombuffer(b"".join(p[0] for p in parts), np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.words, self.ids, self.ranks = hashes[order], joined[1], joined[2], ranks
-        sizes = [np.frombuffer(x, np.uint32) for x in joined[3:]]
+        self.hashes, self.words = hashes[order], b"".join(p[1] for p in parts)
+        self.ids = b"".join(np.frombuffer(p[4], f"<u{p[5]}").astype("<u4").tobytes() for p in parts)
+        sizes = [np.frombuffer(b"".join(p[k] for p in parts), np.uint8).astype(np.uint32) * unit for k, unit in ((2, 1), (3, 4))]
         self.spans = [np.stack([np.cumsum(x, dtype=np.uint32) - x, x])[:, order] for x in sizes]
         self.warm: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
@@ -291,8 +297,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> Data
     counts = durable(word_counts(docs).filter(F.octet_length("word") <= SHORT))
     often = counts.filter(F.col("uses") >= F.greatest(F.lit(_fitting(counts, known)), F.lit(2))).repartition("word")
     folds = often.select("word", F.element_at(folded(F.array("word"), tables), 1).alias("ids"))
-    table = Known(folds.mapInArrow(_compact, "hashes binary, words binary, ids binary, word_sizes binary, id_sizes binary").collect(), ranks)
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    parts = folds.mapInArrow(_compact, "hashes binary, words binary, word_sizes binary, id_sizes binary, ids binary, width long")
+    held = docs.sparkSession.sparkContext.broadcast(Known([tuple(bytes(x) if isinstance(x, bytearray) else x for x in p) for p in parts.toLocalIterator()], ranks))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
