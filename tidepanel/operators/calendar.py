@@ -28,14 +28,14 @@ def each_day(start, end) -> Column:
 def forward_session(events: DataFrame, sessions: DataFrame, key: str, date: str = "date", session: str = "session") -> DataFrame:
     """events with the first session of their key at or after their date; null if none follows.
 
-    Both sides are stacked and a window looks ahead, so no range join is made. sessions: key, session; other columns of it
-    come along as a struct named at.
+    Both sides are stacked, latest first, and a running window holds the last session met, so no range join is made and the
+    work is linear in a key's rows. sessions: key, session; other columns of it come along as a struct named at.
     """
     rest = [c for c in sessions.columns if c != key]
     a = events.select("*", F.lit(0).alias("_is"), F.lit(None).cast(sessions.select(F.struct(*rest).alias("s")).schema["s"].dataType).alias("at"), F.col(date).alias("_when"))
     b = sessions.select(key, *(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns if c != key), F.lit(1).alias("_is"), F.struct(*rest).alias("at"), F.col(session).alias("_when"))
-    ahead = Window.partitionBy(key).orderBy("_when", "_is").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = a.unionByName(b).withColumn("at", F.first("at", ignorenulls=True).over(ahead))
+    back = Window.partitionBy(key).orderBy(F.desc("_when"), F.desc("_is")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b).withColumn("at", F.last("at", ignorenulls=True).over(back))
     return both.filter("_is = 0").drop("_is", "_when")
 
 

@@ -57,9 +57,9 @@ def log_lags(lags) -> Column:
 
 
 def beta_weights(k: int, theta: float) -> Column:
-    """(1 - j / (k + 1)) ^ (theta - 1) for j of 1 to k, summing to one."""
-    raw = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.pow(1 - j / F.lit(float(k + 1)), F.lit(theta - 1)))
-    return F.transform(raw, lambda w: w / F.aggregate(raw, F.lit(0.0), lambda a, x: a + x))
+    """(1 - j / (k + 1)) ^ (theta - 1) for j of 1 to k, summing to one: constants, so a literal array."""
+    raw = [(1 - j / (k + 1)) ** (theta - 1) for j in range(1, k + 1)]
+    return F.array(*(F.lit(w / sum(raw)) for w in raw))
 
 
 def midas_term(lags: str, k: int, theta: float) -> Column:
