@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import estimators as est
@@ -16,7 +17,7 @@ from tidepanel.functions import texts as tx
 from tidepanel.functions import vectors as vec
 from tidepanel.functions.scalar import at_least, known
 from tidepanel.operators import calendar as cal
-from tidepanel.operators import chunks, evaluation, matching, models, panels
+from tidepanel.operators import audits, chunks, matching, models, panels, ranking
 from tidepanel.operators.labels import expansion_of
 
 
@@ -120,9 +121,81 @@ def test_two_way_demeaning_leaves_no_means(spark):
         assert all(abs(r.m) < 1e-8 for r in out.groupBy(key).agg(F.avg("v").alias("m")).collect())
 
 
-def test_student_p():
-    for t, d, p in ((0.0, 5, 1.0), (2.570582, 5, 0.05), (1.959964, 10**6, 0.05), (12.7062, 1, 0.05)):
-        assert abs(evaluation.student_p(t, d) - p) < 1e-4
+def test_student_p(spark):
+    """Against closed forms: one degree is Cauchy's, two have a root, many are close to normal; and points of the tables."""
+    cases = [(t, d) for t in (0.0, 0.3, 1.0, 2.5, 12.0) for d in (1, 2)] + [(1.96, 10**7), (2.228, 10), (2.571, 5), (3.0, 30)]
+    df = spark.createDataFrame([(t, d) for t, d in cases], "t double, d long").select("t", "d", st.student_p("t", F.col("d")).alias("p"))
+    want = {1: lambda t: 1 - 2 / math.pi * math.atan(t), 2: lambda t: 1 - t / math.sqrt(2 + t * t), 10**7: lambda t: math.erfc(t / math.sqrt(2)), 10: lambda t: 0.05, 5: lambda t: 0.05, 30: lambda t: 0.0054}
+    for r in df.collect():
+        assert abs(r.p - want[r.d](r.t)) < (1e-6 if r.d <= 2 or r.d > 100 else 1e-4), r
+    r = one(spark, a=st.spearman_p(F.lit(1.0), F.lit(9)), b=st.spearman_p(F.lit(0.0), F.lit(9)), c=st.spearman_p(F.lit(0.5), F.lit(2)))
+    assert r.a == 0 and abs(r.b - 1) < 1e-9 and r.c is None
+
+
+def test_ranks_quantiles_and_ids_of_whole_tables(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(20)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, x int, i int").repartition(7)
+    values = sorted(x for _, x, _ in rows if x is not None)
+    want = {v: 1 + sum(u < v for u in values) + (values.count(v) - 1) / 2 for v in values}
+    assert {r.x: r["rank"] for r in ranking.average_ranks(df, "x").collect()} == want
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    for r in ranking.quantiles(df, "x", shares, "k").collect():
+        assert np.allclose(r.q, np.quantile([x for k, x, _ in rows if x is not None and k == r.k], shares))
+    assert np.allclose(ranking.quantiles(df, "x", shares).first().q, np.quantile(values, shares))
+    ids = {(r.k, r.x, r.i): r.dense_id for r in ranking.dense_ids(df, ["k", "x", "i"]).collect()}
+    order = sorted(ids, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2]))
+    assert [ids[r] for r in order] == list(range(500))
+    assert ranking.quantiles(df.filter("false"), "x", shares).first().q is None and st.spearman(df.filter("false"), "x", "i").first().n == 0
+
+
+def test_shards_that_are_missing_or_not_whole_are_named(spark):
+    whole = spark.range(40).withColumnRenamed("id", "k")
+    shards = whole.select("k", F.pmod("k", F.lit(4)).alias("shard"))
+    assert audits.require_covered(whole, shards, "k", 4) is shards
+    got = {r.shard: (r.n, r.uncovered, r.missing) for r in audits.shard_report(whole, shards.filter("shard <> 2 and k <> 5"), "k", 4).collect()}
+    assert got == {0: (10, 0, False), 1: (9, 1, False), 2: (0, 10, True), 3: (10, 0, False)}
+    with pytest.raises(ValueError, match="'shard': 2"):
+        audits.require_covered(whole, shards.filter("shard <> 2"), "k", 4)
+
+
+def test_nearest_dates_are_the_matched_pairs_of_days(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(40)), rng.randrange(30)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, ticker string, date date, y int")
+    by_pairs = matching.matched_pairs(df, "y", ["ticker"], lambda h, low: F.abs(F.datediff(f"{h}_date", f"{low}_date")))
+    near = sorted(map(tuple, matching.nearest_dates(df, "y", ["ticker"]).collect()))
+    assert near == sorted(map(tuple, by_pairs.collect())) and len(near) > 40
+
+
+def test_midas_selection_is_the_fit_of_each_candidate(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        x = rng.normal(size=3)
+        split = "train" if i % 3 else "val"
+        rows.append((f"t{i % 4}", split, *(float(v) if rng.random() > 0.1 else None for v in x), float(np.exp(0.7 * x[1] + 0.2 * rng.normal() + i % 4))))
+    df = spark.createDataFrame(rows, "ticker string, split string, a double, b double, c double, y double")
+    best, table = models.select_midas(df, ["a", "b", "c"], "y")
+    got = {r.candidate: (r.n, r.qlike) for r in table.collect()}
+    for c in "abc":
+        own = models.panel_forecast(models.complete(df, [c], "y"), [c], "y", ("train",)).filter("split = 'val'")
+        n, loss = own.agg(F.count("*"), F.avg(st.qlike("y", "prediction"))).first()
+        assert got[c][0] == n and math.isclose(got[c][1], loss, rel_tol=1e-9)
+    assert best == "b"
+
+
+def test_midas_terms_weigh_recent_lags_most(spark):
+    w = one(spark, w=panels.beta_weights(30, 4.0)).w
+    assert math.isclose(sum(w), 1) and w == sorted(w, reverse=True)
+
+
+def test_forward_session_of_a_large_key_is_linear(spark):
+    """A key of 120,000 rows: a frame that is rebuilt for each row would take hours."""
+    events = spark.range(60_000).select(F.lit("a").alias("ticker"), (F.col("id") * 2).alias("date"))
+    sessions = spark.range(60_000).select(F.lit("a").alias("ticker"), (F.col("id") * 2 + 1).alias("session"))
+    got = cal.forward_session(events, sessions, "ticker")
+    assert got.filter(F.col("at.session") != F.col("date") + 1).count() == 0 and got.count() == 60_000
 
 
 def test_near_duplicates_by_brute_force(spark):

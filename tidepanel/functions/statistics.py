@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import EPS_FORECAST, col
+from tidepanel.operators.ranking import average_ranks
 
 
 def pearson(x, y) -> Column:
@@ -22,12 +25,45 @@ def average_rank(x, *keys: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 3) -> DataFrame:
-    """keys, n, rho of rows where both are known; rho is null under `least` rows or for a constant."""
+    """keys, n, rho of rows where both are known; rho is null under `least` rows or for a constant.
+
+    Ranks within keys are windows; those of a whole table are counted by ranges, in no single task.
+    """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    ranked = rows.select(*keys, average_rank("_x", *keys).alias("_x"), average_rank("_y", *keys).alias("_y"))
+    if keys:
+        ranked = rows.select(*keys, average_rank("_x", *keys).alias("_x"), average_rank("_y", *keys).alias("_y"))
+    else:
+        own = lambda v: average_ranks(rows, v).withColumnRenamed("rank", f"{v}_rank")
+        ranked = rows.join(own("_x"), "_x").join(own("_y"), "_y").select(F.col("_x_rank").alias("_x"), F.col("_y_rank").alias("_y"))
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("_x", "_y")).alias("rho"))
 
 
+#: Places of the rule by which Student's t is integrated, and where its tail is cut.
+NODES, FAR = 1000, 12.0
+
+
+def student_p(t, degrees) -> Column:
+    """Two-sided p of Student's t: its tail over its whole, with t = sqrt(degrees) * tan(u / sqrt(degrees)), by Simpson's rule."""
+    t, degrees = col(t), col(degrees).cast("double")
+    root = F.sqrt(degrees)
+    end = F.least(root * (math.pi / 2), F.lit(FAR))
+
+    def mass(low: Column) -> Column:
+        step = (end - low) / NODES
+        weight = lambda i: F.when((i == 0) | (i == NODES), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        height = lambda i: F.exp((degrees - 1) * F.ln(F.greatest(F.cos((low + i * step) / root), F.lit(1e-300))))
+        return step / 3 * F.aggregate(F.sequence(F.lit(0), F.lit(NODES)), F.lit(0.0), lambda acc, i: acc + weight(i) * height(i))
+
+    return mass(F.least(F.atan(F.abs(t) / root) * root, end)) / mass(F.lit(0.0))
+
+
+def spearman_p(rho, n) -> Column:
+    """Two-sided p of a rank correlation of n rows, by the t approximation; 0 for a perfect one."""
+    rho, n = col(rho), col(n)
+    left = 1 - rho * rho
+    return F.when(n < 3, None).when(left <= 1e-15, 0.0).otherwise(student_p(rho * F.sqrt((n - 2) / F.greatest(left, F.lit(1e-15))), n - 2))
+
+
 def qlike(actual, predicted) -> Column:
     r = F.greatest(col(actual), F.lit(EPS_FORECAST)) / F.greatest(col(predicted), F.lit(EPS_FORECAST))
     return r - F.ln(r) - 1

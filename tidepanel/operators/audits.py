@@ -36,6 +36,23 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
+def shard_report(whole: DataFrame, shards: DataFrame, key: str, n: int) -> DataFrame:
+    """shard, n, uncovered, missing: of each shard that should be there, 0 to n - 1, the rows of whole that the union of
+    shards (key, shard) holds, those it doesn't, and whether it holds none at all."""
+    planned = whole.select(key, F.pmod(key, F.lit(n)).alias("shard"))
+    met = planned.join(shards.select(key, "shard").withColumn("_held", F.lit(True)), [key, "shard"], "left")
+    all_ = met.groupBy("shard").agg(F.count("_held").alias("n"), F.count_if(F.col("_held").isNull()).alias("uncovered"))
+    return all_.withColumn("missing", F.col("n") == 0)
+
+
+def require_covered(whole: DataFrame, shards: DataFrame, key: str, n: int) -> DataFrame:
+    """shards, or an error that names the shards which are missing or don't cover their rows."""
+    bad = [r.asDict() for r in shard_report(whole, shards, key, n).filter("missing or uncovered > 0").collect()]  # n rows at most
+    if bad:
+        raise ValueError(f"shards not whole: {bad}")
+    return shards
+
+
 def top_one(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key by order; order must end in a unique column."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

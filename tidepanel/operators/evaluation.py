@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.statistics import draw, pearson, rank_decile, spearman
+from tidepanel.functions.statistics import draw, pearson, rank_decile, spearman, student_p
 from tidepanel.functions.windows import demeaned
 
 
@@ -23,29 +21,8 @@ def within_rho_averaged(df: DataFrame, x: str, y: str, key: str = "ticker", leas
     return own.agg(F.count("*").alias("groups"), F.avg("rho").alias("rho"))
 
 
-def student_p(t: float, degrees: int) -> float:
-    """Two-sided p of Student's t by the incomplete beta function's continued fraction."""
-    x, a, b = degrees / (degrees + t * t), degrees / 2, 0.5
-
-    def fraction(x: float, a: float, b: float) -> float:
-        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 300):
-            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + top * d
-                d = 1 / (d if abs(d) > tiny else tiny)
-                c = 1 + top / c
-                c = c if abs(c) > tiny else tiny
-                h *= c * d
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
-
-
 def clustered_slope(df: DataFrame, y: str, x: str, a: str = "ticker", b: str = "date") -> DataFrame:
-    """beta, se, t, groups_a, groups_b of the standardised slope with errors clustered by a, by b and less by both."""
+    """beta, se, t, p, groups_a, groups_b of the standardised slope with errors clustered by a, by b and less by both."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     whole = rows.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"), F.covar_pop(x, y).alias("cxy"), F.count("*").alias("n"))
     z = rows.join(F.broadcast(whole)).select(a, b, "n", ((F.col(x) - F.col("mx")) / F.greatest("sx", F.lit(1e-12))).alias("z"), ((F.col(y) - F.col("my")) / F.greatest("sy", F.lit(1e-12))).alias("w"), (F.col("cxy") / F.greatest("sx", F.lit(1e-12)) / F.greatest("sy", F.lit(1e-12))).alias("beta"))
@@ -60,7 +37,9 @@ def clustered_slope(df: DataFrame, y: str, x: str, a: str = "ticker", b: str = "
     # x is standardised, so the slope's bread is 1 / n and the constant is orthogonal
     all_ = meat("a", a).join(F.broadcast(meat("b", b))).join(F.broadcast(meat("c", a, b)))
     se = F.sqrt(F.greatest(F.col("m_a") + F.col("m_b") - F.col("m_c"), F.lit(0.0))) / F.col("n_a")
-    return all_.select(F.col("b_a").alias("beta"), se.alias("se"), (F.col("b_a") / F.greatest(se, F.lit(1e-12))).alias("t"), F.col("g_a").alias("groups_a"), F.col("g_b").alias("groups_b"))
+    out = all_.select(F.col("b_a").alias("beta"), se.alias("se"), (F.col("b_a") / F.greatest(se, F.lit(1e-12))).alias("t"), F.col("g_a").alias("groups_a"), F.col("g_b").alias("groups_b"))
+    degrees = F.greatest(F.least("groups_a", "groups_b") - 1, F.lit(1))
+    return out.select("beta", "se", "t", student_p("t", degrees).alias("p"), "groups_a", "groups_b")
 
 
 def decile_report(df: DataFrame, score: str, label: str, id_: str, *keys: str) -> DataFrame:
@@ -71,24 +50,40 @@ def decile_report(df: DataFrame, score: str, label: str, id_: str, *keys: str) -
 
 
 def ranking(df: DataFrame, score: str, label: str, id_: str, *keys: str) -> DataFrame:
-    """keys, spread of the top over the bottom decile's mean, rises between neighbours, rank correlation of decile means."""
+    """keys, spread of the top over the bottom decile's mean (of logs) and its exponential, rises between neighbours, rank
+    correlation of decile means, and the share of the top decile by score that is in the top decile by label."""
     deciles = decile_report(df, score, label, id_, *keys)
     w = Window.partitionBy(*keys).orderBy("decile")
     steps = deciles.withColumn("_prev", F.lag("mean_label").over(w))
     shape = steps.groupBy(*keys).agg((F.max_by("mean_label", "decile") - F.min_by("mean_label", "decile")).alias("spread"), F.sum(F.when(F.col("mean_label") > F.col("_prev"), 1).otherwise(0)).alias("rises"))
-    return shape.join(spearman(deciles, "decile", "mean_label", *keys).drop("n").withColumnRenamed("rho", "decile_rho"), list(keys))
-
-
-def block_bootstrap(losses: DataFrame, value: str, order: str, block: int, reps: int, seed: int = 7) -> DataFrame:
-    """mean, low, high, p of moving-block resamples of a short series (one row a date): 2.5 and 97.5 %, and (1 + #(<= 0)) / (reps + 1)."""
-    series = losses.select((F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("i"), F.col(value).alias("_v"))
-    n = series.agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    all_ = Window.partitionBy(*keys)
+    place = lambda x: rank_decile(F.row_number().over(all_.orderBy(x, id_)), F.count("*").over(all_))
+    both = df.select(*keys, place(score).alias("_s"), place(label).alias("_l"))
+    hits = both.filter("_s = 10").groupBy(*keys).agg(F.avg((F.col("_l") == 10).cast("double")).alias("precision"))
+    out = shape.withColumn("multiple", F.exp("spread")).join(spearman(deciles, "decile", "mean_label", *keys).drop("n").withColumnRenamed("rho", "decile_rho"), list(keys))
+    return out.join(hits, list(keys), "left")
+
+
+def evaluate_axis(df: DataFrame, score: str, label: str, domain: str, key: str = "ticker") -> DataFrame:
+    """domain, rho, within_rho (after each key's mean within the domain is taken off both), and the mean of each over domains."""
+    own = spearman(df, score, label, domain).select(domain, "rho")
+    rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(domain, F.round(demeaned(score, domain, key), 10).alias("_s"), F.round(demeaned(label, domain, key), 10).alias("_l"))
+    within = spearman(rows, "_s", "_l", domain).select(domain, F.col("rho").alias("within_rho"))
+    both = own.join(within, domain)
+    return both.join(F.broadcast(both.agg(F.avg("rho").alias("macro"), F.avg("within_rho").alias("macro_within"))))
+
+
+def block_bootstrap(losses: DataFrame, value: str, order: str, block: int, reps: int, seed: int = 7, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, mean, low, high, p of moving-block resamples of short series (one row a date): 2.5 and 97.5 %, and (1 + #(<= 0)) / (reps + 1)."""
+    series = losses.select(*keys, (F.row_number().over(Window.partitionBy(*(F.col(k) for k in keys)).orderBy(order)) - 1).cast("long").alias("i"), F.col(value).alias("_v"))
+    n = series.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
     plan = series.sparkSession.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(n))
-    starts = plan.select("rep", "n", "mean", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("slot"))
+    starts = plan.select(*keys, "rep", "n", "mean", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("slot"))
     starts = starts.withColumn("start", draw(seed, "rep", "slot", size=F.greatest(F.col("n") - block + 1, F.lit(1))))
-    picks = starts.select("rep", "n", "mean", "slot", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k"), "start").filter(F.col("slot") * block + F.col("k") < F.col("n"))
-    means = picks.select("rep", "mean", (F.col("start") + F.col("k")).alias("i")).join(F.broadcast(series), "i").groupBy("rep").agg(F.avg("_v").alias("m"), F.first("mean").alias("mean"))
-    return means.agg(F.first("mean").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), ((1 + F.sum(F.when(F.round("m", 10) <= 0, 1).otherwise(0))) / (reps + 1)).alias("p"))
+    picks = starts.select(*keys, "rep", "n", "mean", "slot", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k"), "start").filter(F.col("slot") * block + F.col("k") < F.col("n"))
+    drawn = picks.select(*keys, "rep", "mean", (F.col("start") + F.col("k")).alias("i")).join(F.broadcast(series), [*keys, "i"])
+    means = drawn.groupBy(*keys, "rep").agg(F.avg("_v").alias("m"), F.first("mean").alias("mean"))
+    return means.groupBy(*keys).agg(F.first("mean").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), ((1 + F.sum(F.when(F.round("m", 10) <= 0, 1).otherwise(0))) / (reps + 1)).alias("p"))
 
 
 def resampled(df: DataFrame, unit: str, reps: int, seed: int = 7) -> DataFrame:
@@ -110,13 +105,29 @@ def bootstrap_rho(df: DataFrame, x: str, y: str, unit: str, reps: int, seed: int
     return rho.agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"), F.count("*").alias("reps"))
 
 
+def _resampled_pearsons(df: DataFrame, a: str, b: str, y: str, unit: str, reps: int, seed: int) -> DataFrame:
+    """rep, _a, _b: correlations of a and of b with y over resamples, from each unit's moments, which a draw only adds up."""
+    rows = df.agg(*(F.avg(c).alias(f"_m{c}") for c in (a, b, y)))  # sums about the means keep their digits
+    less = lambda c: F.col(c) - F.col(f"_m{c}")
+    centred = df.join(F.broadcast(rows)).select(unit, less(a).alias("_p"), less(b).alias("_q"), less(y).alias("_y"))
+    terms = {"_n": F.lit(1.0), **{f"_{s}": F.col(f"_{s}") for s in "pqy"}, **{f"_{s}{t}": F.col(f"_{s}") * F.col(f"_{t}") for s, t in ("pp", "qq", "yy", "py", "qy")}}
+    moments = centred.dropna().groupBy(unit).agg(*(F.sum(e).alias(n) for n, e in terms.items()))
+    all_ = resampled(moments, unit, reps, seed).groupBy("rep").agg(*(F.sum(n).alias(n) for n in terms))
+
+    def r(s: str):
+        own = lambda u, v, w: F.col("_n") * F.col(w) - F.col(u) * F.col(v)
+        return F.try_divide(own(f"_{s}", "_y", f"_{s}y"), F.sqrt(F.greatest(own(f"_{s}", f"_{s}", f"_{s}{s}"), F.lit(0.0)) * F.greatest(own("_y", "_y", "_yy"), F.lit(0.0))))
+
+    return all_.select("rep", r("p").alias("_a"), r("q").alias("_b"))
+
+
 def bootstrap_difference(df: DataFrame, a: str, b: str, y: str, unit: str, reps: int, kind: str = "spearman", seed: int = 7) -> DataFrame:
     """mean, low, high, p of the correlation of a with y less that of b, over resamples of units."""
-    rows = resampled(df.select(unit, a, b, y), unit, reps, seed)
     if kind == "spearman":
+        rows = resampled(df.select(unit, a, b, y), unit, reps, seed)
         one = lambda s, n: spearman(rows, s, y, "rep").select("rep", F.col("rho").alias(n))
         both = one(a, "_a").join(one(b, "_b"), "rep")
     else:
-        both = rows.groupBy("rep").agg(pearson(a, y).alias("_a"), pearson(b, y).alias("_b"))
+        both = _resampled_pearsons(df, a, b, y, unit, reps, seed)
     d = both.select(F.round(F.col("_a") - F.col("_b"), 10).alias("d")).filter("d is not null")
     return d.agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), ((1 + F.sum(F.when(F.col("d") <= 0, 1).otherwise(0))) / (F.count("*") + 1)).alias("p"))

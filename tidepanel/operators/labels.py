@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.estimators import LABEL_ESTIMATORS
 from tidepanel.functions.scalar import EPS_FORECAST, EPS_LABEL, EPS_RETURN, at_least, col, log_of, log_shifted, ratio
 from tidepanel.operators.audits import train_standardised
+from tidepanel.operators.ranking import quantiles
 from tidepanel.operators.panels import close_variance, market_pre_post, pre_post
 
 
@@ -44,7 +45,7 @@ def composite(df: DataFrame, parts: list[str], key: str) -> DataFrame:
 
 def high_impact(df: DataFrame, x: str, q: float = 0.75, margin: float = 0.0) -> DataFrame:
     """df with high: x at or over its training quantile (plus a margin that keeps rounding from deciding)."""
-    cut = df.filter("split = 'train'").agg(F.percentile(x, q).alias("_cut"))
+    cut = quantiles(df.filter("split = 'train'"), x, [q]).select(F.get("q", F.lit(0)).alias("_cut"))
     return df.join(F.broadcast(cut)).withColumn("high", F.col(x) >= F.col("_cut") + margin).drop("_cut")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.estimators import parkinson
 from tidepanel.functions.scalar import log_shifted
 from tidepanel.operators.calendar import forward_session
+from tidepanel.operators.ranking import quantiles
 from tidepanel.sources.sinks import checkpointed
 
 
@@ -31,20 +32,40 @@ def market_adjusted(df: DataFrame, value: str, date: str = "date", exclude: tupl
     return out.withColumn("log_abs", log_shifted(F.abs("adjusted"), 1e-6))
 
 
+def _sides(df: DataFrame, score: str, high: float, low: float) -> tuple[DataFrame, DataFrame]:
+    """Rows at or over the high quantile of score, and those at or under the low one."""
+    rows = df.join(F.broadcast(quantiles(df, score, [low, high])))
+    return rows.filter(F.col(score) >= F.col("q")[1]).drop("q"), rows.filter(F.col(score) <= F.col("q")[0]).drop("q")
+
+
 def matched_pairs(df: DataFrame, score: str, keys: list[str], distance, id_: str = "id", high: float = 0.75, low: float = 0.25) -> DataFrame:
     """high_id, low_id, distance: each row at or over the high quantile with the nearest at or under the low one.
 
-    distance is a function of two prefixes giving a column; ties go to the smaller low id. Rows meet within keys only.
+    distance is a function of two prefixes giving a column; ties go to the smaller low id. Rows meet within keys only,
+    each high one with each low one, as an unknown distance asks; nearest_dates() needs no pairs.
     """
-    cuts = df.agg(F.percentile(score, F.array(F.lit(low), F.lit(high))).alias("q"))
-    rows = df.join(F.broadcast(cuts))
-    side = lambda p, keep: rows.filter(keep).select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys))
-    pairs = side("h", F.col(score) >= F.col("q")[1]).join(side("l", F.col(score) <= F.col("q")[0]), keys)
+    highs, lows = _sides(df, score, high, low)
+    side = lambda p, rows: rows.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys))
+    pairs = side("h", highs).join(side("l", lows), keys)
     pairs = pairs.select(F.col(f"h_{id_}").alias("high_id"), F.col(f"l_{id_}").alias("low_id"), distance("h", "l").alias("distance"))
     best = pairs.groupBy("high_id").agg(F.min(F.struct("distance", "low_id")).alias("b"))
     return best.select("high_id", F.col("b.low_id").alias("low_id"), F.col("b.distance").alias("distance"))
 
 
+def nearest_dates(df: DataFrame, score: str, keys: list[str], date: str = "date", id_: str = "id", high: float = 0.75, low: float = 0.25) -> DataFrame:
+    """As matched_pairs() for the distance in days alone: the low rows next before and after in a sorted window, no pairs."""
+    highs, lows = _sides(df, score, high, low)
+    first = lows.groupBy(*keys, date).agg(F.min(id_).alias("_l")).select(*keys, F.col(date).alias("_when"), F.lit(None).cast(df.schema[id_].dataType).alias("high_id"), F.struct(F.col(date).alias("d"), F.col("_l").alias("l")).alias("at"))
+    ask = highs.select(*keys, F.col(date).alias("_when"), F.col(id_).alias("high_id"), F.lit(None).cast(first.schema["at"].dataType).alias("at"))
+    w = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_high = F.col("high_id").isNotNull().cast("int")
+    both = first.unionByName(ask).withColumn("_high", is_high)
+    both = both.withColumn("before", F.last("at", ignorenulls=True).over(w.orderBy("_when", "_high"))).withColumn("after", F.last("at", ignorenulls=True).over(w.orderBy(F.desc("_when"), "_high")))
+    gap = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.datediff(F.col(f"{s}.d"), "_when")).alias("distance"), F.col(f"{s}.l").alias("low_id")))
+    found = both.filter("_high = 1").select("high_id", F.array_min(F.array_compact(F.array(gap("before"), gap("after")))).alias("b"))
+    return found.filter("b is not null").select("high_id", F.col("b.low_id").alias("low_id"), F.col("b.distance").alias("distance"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.92, days: int = 7) -> DataFrame:
     """doc_id, duplicate for docs (doc_id, ticker, date, text), in order of date and doc_id.
 

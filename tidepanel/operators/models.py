@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import vectors
 from tidepanel.functions.statistics import pearson, qlike, spearman
+from tidepanel.operators.audits import or_all, top_one
+from tidepanel.operators.ranking import quantiles
 
 #: Column lists of forecast models; variance terms carry their own names.
 FEATURE_SETS = {
@@ -21,6 +24,11 @@ FEATURE_SETS = {
 }
 
 
+def feature_sets(midas: str | None) -> dict[str, list[str]]:
+    """The models with their columns: the fixed ones and, if one was selected, the MIDAS term."""
+    return FEATURE_SETS | ({"midas": [midas]} if midas else {})
+
+
 def moments(df: DataFrame, features: list[str], target: str, *keys: str) -> DataFrame:
     """keys, n, sx (k sums), sy, syy, sxy (k), sxx (k x k by rows): all that a linear fit needs, in one aggregate."""
     x, y = [F.col(f).cast("double") for f in features], F.col(target).cast("double")
@@ -68,13 +76,31 @@ def complete(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return df.dropna(subset=[*columns, target]).filter(F.col(target) > 0)
 
 
-def select_midas(df: DataFrame, candidates: list[str], target: str) -> tuple[str, DataFrame]:
-    """The candidate term of least validation QLIKE (each on its own complete sample), and the table of all."""
-    out = None
-    for c in candidates:
-        rows = panel_forecast(complete(df, [c], target), [c], target, ("train",))
-        one = rows.filter("split = 'val'").agg(F.lit(c).alias("candidate"), F.count("*").alias("n"), F.avg(qlike(target, "prediction")).alias("qlike"))
-        out = one if out is None else out.unionByName(one)
+def select_midas(df: DataFrame, candidates: list[str], target: str, clip: tuple[float, float] = (-30.0, 5.0), group: str = "ticker") -> tuple[str | None, DataFrame]:
+    """The candidate term of least validation QLIKE (each on its own complete sample), and the table of all.
+
+    Sums of all candidates are columns of one aggregate by group over the training rows, and their losses of another over
+    the validation rows.
+    """
+    y = F.ln(target)
+    sums = []
+    for i, c in enumerate(candidates):
+        x = F.when(F.col(target) > 0, F.col(c).cast("double"))
+        known = F.when(x.isNotNull(), y)
+        sums += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"x{i}"), F.sum(known).alias(f"y{i}"), F.sum(x * x).alias(f"xx{i}"), F.sum(x * known).alias(f"xy{i}")]
+    by = df.filter("split = 'train'").groupBy(group).agg(*sums)
+    part = lambda i, a, b: F.sum(F.col(f"{a}{b}{i}") - F.try_divide(F.col(f"{a}{i}") * F.col(f"{b}{i}"), F.col(f"n{i}")))
+    row = by.agg(*(F.try_divide(part(i, "x", "y"), part(i, "x", "x")).alias(f"w{i}") for i in range(len(candidates)))).first()
+    slopes = [float(w or 0.0) for w in row]
+    levels = by.select(group, *(F.try_divide(F.col(f"y{i}") - w * F.col(f"x{i}"), F.col(f"n{i}")).alias(f"_l{i}") for i, w in enumerate(slopes)))
+    unseen = [float(v or 0.0) for v in levels.agg(*(F.avg(f"_l{i}") for i in range(len(candidates)))).first()]
+    rows = df.filter("split = 'val'").join(levels, group, "left")
+    losses = []
+    for i, (c, w) in enumerate(zip(candidates, slopes, strict=True)):
+        log = F.col(c) * w + F.coalesce(f"_l{i}", F.lit(unseen[i]))
+        loss = F.when((F.col(target) > 0) & F.col(c).isNotNull(), qlike(target, F.exp(F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), log)))))
+        losses.append(F.struct(F.lit(c).alias("candidate"), F.count(loss).alias("n"), F.avg(loss).alias("qlike")))
+    out = rows.agg(F.array(*losses).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     best = out.filter("n > 0").orderBy("qlike", "candidate").first()
     return best["candidate"] if best else None, out
 
@@ -105,7 +131,7 @@ def score(df: DataFrame, vec: str, w: np.ndarray, alias: str = "score") -> DataF
 def contrast_axis(df: DataFrame, vec: str, target: str, group: str | None = None) -> np.ndarray:
     """Mean vector of the top quarter less that of the bottom quarter, by group and averaged if one is named."""
     keys = [group] if group else []
-    cut = df.groupBy(*keys).agg(F.percentile(target, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    cut = quantiles(df, target, [0.25, 0.75], *keys).withColumnRenamed("q", "_q")
     rows = df.join(F.broadcast(cut), keys) if keys else df.join(F.broadcast(cut))
     side = F.when(F.col(target) >= F.col("_q")[1], "high").when(F.col(target) <= F.col("_q")[0], "low")
     means = vectors.mean_vector(rows.withColumn("_side", side).filter("_side is not null"), vec, *keys, "_side").collect()  # two for each group
@@ -117,51 +143,80 @@ def contrast_axis(df: DataFrame, vec: str, target: str, group: str | None = None
 
 def logistic_axis(df: DataFrame, vec: str, target: str, penalty: float = 1e-4, weight: str | None = None) -> np.ndarray:
     """Direction that parts the top from the bottom quarter, by Spark's logistic regression."""
-    low, high = df.agg(F.percentile(target, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    low, high = quantiles(df, target, [0.25, 0.75]).first()["q"]
     rows = df.filter((F.col(target) >= high) | (F.col(target) <= low)).select(array_to_vector(vec).alias("features"), (F.col(target) >= high).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
     model = LogisticRegression(regParam=penalty, elasticNetParam=0.0, standardization=False, weightCol="w", maxIter=100).fit(rows)
     return unit_axis(np.array(model.coefficients.toArray()))
 
 
+def products(df: DataFrame, vec: Column) -> np.ndarray:
+    """The sum over rows of a vector's outer product with itself: summed up in each task first, k x k numbers come back."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                total = rows.T @ rows + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "row"])
+
+    parts = df.select(vec.cast("array<double>").alias("v")).mapInArrow(run, "i int, row array<double>")
+    cells = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    k = 1 + max((c["i"] for c in cells), default=-1)
+    out = np.zeros((k, k))
+    for c in cells:
+        out[c["i"], c["j"]] = c["x"]
+    return out
+
+
 def gram(df: DataFrame, vec: str, targets: list[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """n, centred Gram matrix of vec, and centred products with each target: one distributed pass for all alphas."""
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = df.select(F.concat(F.col(vec), F.array(*(F.col(t).cast("double") for t in targets)), F.array(F.lit(1.0))).alias("v"))
-    whole = RowMatrix(rows.rdd.map(lambda r: Old.dense(r["v"]))).computeGramianMatrix().toArray()
+    whole = products(df, F.concat(F.col(vec), F.array(*(F.col(t).cast("double") for t in targets)), F.array(F.lit(1.0))))
     n = whole[-1, -1]
     centred = whole[:-1, :-1] - np.outer(whole[-1, :-1], whole[-1, :-1]) / n
     k = centred.shape[0] - len(targets)
     return int(n), centred[:k, :k], centred[:k, k:], whole[-1, :-1] / n
 
 
-def sweep(df: DataFrame, vec: str, layer: str, targets: list[str], alphas: list[float]) -> DataFrame:
-    """layer, target, alpha, split, n, rho of ridge axes fitted on training rows: a Gram pass for each layer serves all.
-
-    All candidate axes of a layer are scored in one pass, then ranked together.
+def sweep(df: DataFrame, vec: str, layer: str, targets: list[str], alphas: list[float], domain: str) -> DataFrame:
+    """layer, method, target, alpha, split, domain, n, rho of axes fitted on training rows, by mean contrast (alpha null) and
+    by ridge: a Gram pass for each layer serves all targets and alphas, and all its axes are scored in one pass.
     """
     spark, out = df.sparkSession, None
     for r in sorted(x[layer] for x in df.select(layer).distinct().collect()):
         own = df.filter(F.col(layer) == r)
-        _, g, c, _ = gram(own.filter("split = 'train'"), vec, targets)
-        axes = [(t, a, [float(v) for v in unit_axis(np.linalg.solve(g + a * np.eye(len(g)), c[:, i]))]) for i, t in enumerate(targets) for a in alphas]
-        cand = F.broadcast(spark.createDataFrame(axes, "target string, alpha double, axis array<double>"))
+        train = own.filter("split = 'train'")
+        _, g, c, _ = gram(train, vec, targets)
+        axes = [("ridge", t, a, [float(v) for v in unit_axis(np.linalg.solve(g + a * np.eye(len(g)), c[:, i]))]) for i, t in enumerate(targets) for a in alphas]
+        axes += [("contrast", t, None, [float(v) for v in contrast_axis(train, vec, t)]) for t in targets]
+        cand = F.broadcast(spark.createDataFrame(axes, "method string, target string, alpha double, axis array<double>"))
         label = F.when(F.lit(False), F.lit(0.0))
         for t in targets:
             label = label.when(F.col("target") == t, F.col(t).cast("double"))
-        scored = own.join(cand).select(F.lit(r).alias(layer), "target", "alpha", "split", vectors.dot(vec, "axis").alias("s"), label.alias("y"))
-        one = spearman(scored, "s", "y", layer, "target", "alpha", "split")
+        keys = ["method", "target", "alpha", "split", domain]
+        scored = own.join(cand).select(F.lit(r).alias(layer), *keys, vectors.dot(vec, "axis").alias("s"), label.alias("y"))
+        one = spearman(scored, "s", "y", layer, *keys)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def first_direction(df: DataFrame, vec: str) -> np.ndarray:
-    """First right singular vector of the rows, uncentred, signed by their mean."""
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def select_axes(sweep_: DataFrame, layer: str, domain: str, names: tuple[str, str], least: tuple[float, float] = (0.05, 0.075)) -> DataFrame:
+    """The axis of best mean validation rho for each target, of those that rise in both domains if any does.
 
-    v = RowMatrix(df.select(vec).rdd.map(lambda r: Old.dense(r[0]))).computeSVD(1).V.toArray()[:, 0]
+    gate: both domains' rho are at least the first number, and their mean the second.
+    """
+    val = sweep_.filter("split = 'val'").groupBy("target", layer, "method", "alpha").agg(*(F.max(F.when(F.col(domain) == d, F.col("rho"))).alias(f"rho_{d}") for d in names))
+    both = [F.coalesce(f"rho_{d}", F.lit(-1.0)) for d in names]
+    val = val.withColumn("macro", (both[0] + both[1]) / 2)
+    eligible = or_all(val, (both[0] > 0) & (both[1] > 0), "target")
+    best = top_one(eligible, ["target"], F.desc("macro"), layer, "method", "alpha")
+    return best.withColumn("gate", (both[0] >= least[0]) & (both[1] >= least[0]) & (F.col("macro") >= least[1]))
+
+
+def first_direction(df: DataFrame, vec: str) -> np.ndarray:
+    """First right singular vector of the rows, uncentred, signed by their mean: the products' first eigenvector."""
+    v = np.linalg.eigh(products(df, F.col(vec)))[1][:, -1]
     mean = np.array(vectors.mean_vector(df, vec).first()["mean"])
     return unit_axis(v if v @ mean >= 0 else -v)
 

@@ -65,7 +65,7 @@ def _expansion(name: str, estimator: str, post: int):
 _expansion("h3_market_adjusted_expansion", "parkinson", 1)
 for _e in ("garman_klass", "rogers_satchell", "ohlc_mean", "close"):
     _expansion(f"h3_market_adjusted_expansion_{_e}", _e, 1)
-for _e in ("parkinson", "garman_klass", "close"):
+for _e in ("parkinson", "garman_klass", "rogers_satchell", "ohlc_mean", "close"):
     _expansion(f"h4_filing_expansion_{_e}", _e, 0)
 
 
@@ -104,11 +104,11 @@ def h8(spark, sf):
     return lab.high_impact(composite(spark, sf), "composite", margin=1e-9).select("doc_id", "high")
 
 
-@query("h9_filing_raw_labels", f"SELECT e.event_id, ln(abs(e.value - m.m) + 1e-6) AS raw_absar1, ln(e.value * e.value / 5 + 1e-10) AS raw_rv5, CASE WHEN s.value + 1e-10 > 0 THEN ln(s.value + 1e-10) END AS raw_range5 FROM (SELECT event_id, event_type, ts, value FROM events WHERE user_id % 10 = 0) e ASOF LEFT JOIN ({FORWARD}) s ON e.event_type = s.ticker AND e.ts <= s.date LEFT JOIN (SELECT CAST(ts AS DATE) AS d, avg(value) AS m FROM events GROUP BY 1) m ON CAST(e.ts AS DATE) = m.d", "valid", doubles="raw_absar1 raw_rv5 raw_range5", digits=6)
+@query("h9_filing_raw_labels", f"SELECT e.event_id, ln(abs(e.value - m.m) + 1e-6) AS raw_absar1, ln(e.value * e.value / 5 + 1e-10) AS raw_rv5, CASE WHEN s.value + 1e-10 > 0 THEN ln(s.value + 1e-10) END AS raw_range5 FROM events e ASOF LEFT JOIN ({FORWARD}) s ON e.event_type = s.ticker AND e.ts <= s.date LEFT JOIN (SELECT CAST(ts AS DATE) AS d, avg(value) AS m FROM events GROUP BY 1) m ON CAST(e.ts AS DATE) = m.d", "valid", doubles="raw_absar1 raw_rv5 raw_range5", digits=6)
 def h9(spark, sf):
     events = read(spark, sf, "events")
     market = events.groupBy(F.to_date("ts").alias("d")).agg(F.avg("value").alias("m"))
-    own = events.filter("user_id % 10 = 0").select("event_id", F.col("event_type").alias("ticker"), F.col("ts").alias("date"), F.col("value").alias("x"))
+    own = events.select("event_id", F.col("event_type").alias("ticker"), F.col("ts").alias("date"), F.col("value").alias("x"))
     found = matching.forward_parkinson(own, _valid(spark, sf)).withColumn("d", F.to_date("date")).join(market, "d", "left")
     return found.select("event_id", *lab.raw_terms(F.col("x") - F.col("m"), "x", "value"))
 

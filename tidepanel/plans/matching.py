@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.functions.texts import EVENT_PATTERNS, event_flags
 from tidepanel.operators import matching
 from tidepanel.operators.audits import key_violations
 from tidepanel.operators.panels import simple_return
@@ -12,11 +13,11 @@ from tidepanel.plans.registry import query
 from tidepanel.sources.tables import bars, bars_xs, docs, read, valid_bars, vectors, with_split
 
 
-@query("f1_panel_join_scores", "SELECT b.ticker, b.date, b.close, s.score FROM bars b JOIN (SELECT event_type AS ticker, date_trunc('hour', ts) AS date, max(user_id) AS score FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2) s ON b.ticker = s.ticker AND b.date = s.date", "bars", doubles="close")
+@query("f1_panel_join_scores", "SELECT b.ticker, b.date, b.close, s.score FROM bars b JOIN (SELECT event_type AS ticker, date_trunc('hour', ts) AS date, max(user_id) AS score FROM events WHERE value >= 25 GROUP BY 1, 2) s ON b.ticker = s.ticker AND b.date = s.date", "bars", doubles="close")
 def f1(spark, sf):
     from tidepanel.sources.tables import bucket
 
-    scores = read(spark, sf, "events").filter("user_id % 2 = 0").groupBy(F.col("event_type").alias("ticker"), bucket("hour").alias("date")).agg(F.max("user_id").alias("score"))
+    scores = read(spark, sf, "events").filter("value >= 25").groupBy(F.col("event_type").alias("ticker"), bucket("hour").alias("date")).agg(F.max("user_id").alias("score"))
     return bars(spark, sf).select("ticker", "date", "close").join(scores, ["ticker", "date"])
 
 
@@ -43,9 +44,9 @@ def f4(spark, sf):
 FORWARD = f"SELECT ticker, date, CASE WHEN count(*) OVER f = 5 THEN avg({PK}) OVER f END AS value FROM valid WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)"
 
 
-@query("f5_asof_forward_window", f"SELECT event_id, s.date AS session, s.value FROM (SELECT event_id, event_type, ts FROM events WHERE user_id % 10 = 0) e ASOF LEFT JOIN ({FORWARD}) s ON e.event_type = s.ticker AND e.ts <= s.date", "valid", doubles="value")
+@query("f5_asof_forward_window", f"SELECT event_id, s.date AS session, s.value FROM events e ASOF LEFT JOIN ({FORWARD}) s ON e.event_type = s.ticker AND e.ts <= s.date", "valid", doubles="value")
 def f5(spark, sf):
-    events = read(spark, sf, "events").filter("user_id % 10 = 0").select("event_id", F.col("event_type").alias("ticker"), F.col("ts").alias("date"))
+    events = read(spark, sf, "events").select("event_id", F.col("event_type").alias("ticker"), F.col("ts").alias("date"))
     return matching.forward_parkinson(events, valid_bars(bars(spark, sf))).select("event_id", "session", "value")
 
 
@@ -55,28 +56,44 @@ def f6(spark, sf):
     return matching.market_adjusted(rows, "r", exclude=("error",)).select("ticker", "date", "adjusted", "log_abs")
 
 
-@query("f7_matched_pairs", "SELECT high_id, arg_min(low_id, {'d': dist, 'l': low_id}) AS low_id, min(dist) AS distance FROM (SELECT h.doc_id AS high_id, l.doc_id AS low_id, abs(h.date - l.date) / 365.0 + 0.25 * abs(ln(h.n_chars + 1) - ln(l.n_chars + 1)) AS dist FROM docs h JOIN docs l ON h.ticker = l.ticker WHERE h.n_chars >= (SELECT quantile_cont(n_chars, 0.75) FROM docs) AND l.n_chars <= (SELECT quantile_cont(n_chars, 0.25) FROM docs)) GROUP BY high_id", "docs", doubles="distance")
+FLAGS = ", ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INTEGER)" for p in EVENT_PATTERNS.values())
+
+
+@query("f7_matched_pairs", f"WITH e AS (SELECT *, [{FLAGS}] AS flags FROM docs) SELECT high_id, arg_min(low_id, {{'d': dist, 'l': low_id}}) AS low_id, min(dist) AS distance FROM (SELECT h.doc_id AS high_id, l.doc_id AS low_id, abs(h.date - l.date) / 365.0 + list_avg(list_transform(range(1, 8), lambda i: CAST(abs(h.flags[i] - l.flags[i]) AS DOUBLE))) + 0.25 * abs(ln(h.n_chars + 1) - ln(l.n_chars + 1)) AS dist FROM e h JOIN e l ON h.ticker = l.ticker WHERE h.n_chars >= (SELECT quantile_cont(n_chars, 0.75) FROM docs) AND l.n_chars <= (SELECT quantile_cont(n_chars, 0.25) FROM docs)) GROUP BY high_id", "docs", doubles="distance")
 def f7(spark, sf):
-    rows = docs(spark, sf).select(F.col("doc_id").alias("id"), "ticker", "date", "n_chars")
+    """Distance: years apart, mean difference of the event flags, and a quarter of the difference in log size."""
+    rows = docs(spark, sf).select(F.col("doc_id").alias("id"), "ticker", "date", "n_chars", F.array(*event_flags("text")).alias("flags"))
 
     def distance(h, low):
         days = F.abs(F.datediff(f"{h}_date", f"{low}_date")) / F.lit(365.0)
-        return days + 0.25 * F.abs(F.ln(F.col(f"{h}_n_chars") + 1) - F.ln(F.col(f"{low}_n_chars") + 1))
+        events = F.aggregate(F.zip_with(f"{h}_flags", f"{low}_flags", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x) / F.lit(float(len(EVENT_PATTERNS)))
+        return days + events + 0.25 * F.abs(F.ln(F.col(f"{h}_n_chars") + 1) - F.ln(F.col(f"{low}_n_chars") + 1))
 
     return matching.matched_pairs(rows, "n_chars", ["ticker"], distance)
 
 
-@query("f8_near_duplicates")
+_TOKENS = "list_distinct(regexp_extract_all(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[a-z0-9]+'))"
+#: In order of date and id, each document meets the earlier ones of its language: a walk keeps those that no kept one is near.
+_F8 = (
+    f"WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, lang, date, {_TOKENS} AS w, row_number() OVER (ORDER BY date, doc_id) AS i FROM docs), "
+    "e AS MATERIALIZED (SELECT a.i, list(b.i) AS near FROM t a JOIN t b ON a.lang = b.lang AND b.i < a.i AND a.date - b.date <= 7 AND len(a.w) > 0 AND len(b.w) >= 0.92 * len(a.w) - 1e-9 AND len(a.w) >= 0.92 * len(b.w) - 1e-9 WHERE len(list_intersect(a.w, b.w)) >= 0.92 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9 GROUP BY a.i), "
+    "s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i) AS k, i, near FROM e), "
+    "walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT s.k, CASE WHEN len(list_filter(s.near, lambda n: NOT list_contains(gone, n))) > 0 THEN list_append(gone, s.i) ELSE gone END FROM walk JOIN s ON s.k = walk.k + 1) "
+    "SELECT doc_id, list_contains((SELECT gone FROM walk ORDER BY k DESC LIMIT 1), i) AS duplicate FROM t"
+)
+
+
+@query("f8_near_duplicates", _F8, "docs")
 def f8(spark, sf):
     rows = docs(spark, sf).select("doc_id", F.col("lang").alias("ticker"), "date", "text")
     return matching.near_duplicates(rows)
 
 
-@query("f9_semi_split", "SELECT ticker, date, close FROM split_bars b WHERE split IN ('val', 'test') AND EXISTS (SELECT 1 FROM events e WHERE e.event_type = b.ticker AND date_trunc('hour', e.ts) = b.date AND e.user_id % 7 = 0)", "split_bars", doubles="close")
+@query("f9_semi_split", "SELECT ticker, date, close FROM split_bars b WHERE split IN ('val', 'test') AND EXISTS (SELECT 1 FROM events e WHERE e.event_type = b.ticker AND date_trunc('hour', e.ts) = b.date AND e.value >= 75)", "split_bars", doubles="close")
 def f9(spark, sf):
     from tidepanel.sources.tables import bucket
 
-    some = read(spark, sf, "events").filter("user_id % 7 = 0").select(F.col("event_type").alias("ticker"), bucket("hour").alias("date"))
+    some = read(spark, sf, "events").filter("value >= 75").select(F.col("event_type").alias("ticker"), bucket("hour").alias("date"))
     return with_split(valid_bars(bars(spark, sf))).filter(F.col("split").isin("val", "test")).join(some, ["ticker", "date"], "left_semi").select("ticker", "date", "close")
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import estimators as est
 from tidepanel.functions import vectors as vec
 from tidepanel.functions.statistics import qlike
-from tidepanel.operators import audits, chunks, models, panels
+from tidepanel.operators import chunks, models, panels
+from tidepanel.operators import evaluation as ev
 from tidepanel.plans.registry import query
 from tidepanel.plans.vector_plans import pairs
-from tidepanel.sources.tables import bars, docs, valid_bars, vectors, with_split
+from tidepanel.sources.sinks import checkpointed
+from tidepanel.sources.tables import bars, bucket, docs, read, valid_bars, vectors, with_split
 
 
 def labelled(spark, sf):
@@ -64,16 +69,20 @@ def j6(spark, sf):
 ALPHAS = [0.1, 1.0, 10.0]
 
 
+def swept(spark, sf):
+    """Axes for two labels (sizes in characters and in spaces), scored in two domains: English documents and all others."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("item_id"), "split", F.when(F.col("lang") == "en", "english").otherwise("other").alias("domain"), F.ln(F.col("n_chars") + 1).alias("size"), F.ln(F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1).alias("spaces"))
+    return models.sweep(vectors(spark, sf).join(d, "item_id"), "vec", "layer", ["size", "spaces"], ALPHAS, "domain")
+
+
 @query("j7_layer_alpha_sweep", doubles="rho", digits=6)
 def j7(spark, sf):
-    return models.sweep(labelled(spark, sf), "vec", "layer", ["y"], ALPHAS)
+    return swept(spark, sf)
 
 
-@query("j8_select_on_validation", doubles="rho", digits=6)
+@query("j8_select_on_validation", doubles="rho_english rho_other macro", digits=6)
 def j8(spark, sf):
-    val = models.sweep(labelled(spark, sf), "vec", "layer", ["y"], ALPHAS).filter("split = 'val'")
-    eligible = audits.or_all(val.fillna({"rho": -1.0}), F.col("rho") > 0, "target")
-    return audits.top_one(eligible, ["target"], F.desc("rho"), "layer", "alpha")
+    return models.select_axes(swept(spark, sf), "layer", "domain", ("english", "other"))
 
 
 _AX = "[" + ", ".join(str(i / 16) for i in range(1, 17)) + "]"
@@ -87,16 +96,25 @@ def j9(spark, sf):
     return models.calibrated(rows, "vec", np.arange(1, 17) / 16, "lang").select("item_id", "split", "score", "z_score")
 
 
-def forecast_panel(spark, sf):
-    """HAR, AR, control and MIDAS terms with targets of one and five sessions."""
+def forecast_panel(spark, sf, origin: str = "end_of_day"):
+    """HAR, AR, control and MIDAS terms with targets of one and five sessions, known at the origin's time."""
+    skip = 0 if origin == "end_of_day" else 1
     table = valid_bars(bars(spark, sf)).select("*", est.parkinson(policy="strict").alias("pk"))
-    table = panels.har_features(panels.market_controls(table), "pk")
-    table = table.withColumn("lags", panels.lag_array("pk", 80))
+    table = panels.har_features(panels.market_controls(table, origin), "pk", origin)
+    table = table.withColumn("lags", panels.lag_array("pk", max(panels.MIDAS_LAGS), skip=skip))
     logs = panels.log_lags(F.slice("lags", 1, 5))
-    terms = [panels.midas_term("lags", k, t).alias(f"midas_{k}_{t:.0f}") for k in (5, 10, 30) for t in (1.0, 4.0)]
+    terms = [panels.midas_term("lags", k, t).alias(f"midas_{k}_{t:.0f}") for k in panels.MIDAS_LAGS for t in panels.MIDAS_THETAS]
     return with_split(table.select("*", *(F.get(logs, F.lit(i)).alias(f"lag{i + 1}") for i in range(5)), *terms).drop("lags"))
 
 
+def scores(spark, sf):
+    """ticker, date, embedding_score, activation_score: mean projections of the vectors (two layers) of a bar's users."""
+    axis = F.array(*(F.lit(i / 16) for i in range(1, 17)))
+    own = vectors(spark, sf).filter("layer in (1, 2)").groupBy("item_id").agg(*(F.max(F.when(F.col("layer") == k, vec.dot("vec", axis))).alias(n) for k, n in ((1, "embedding_score"), (2, "activation_score"))))
+    ticks = read(spark, sf, "events").select(F.col("event_type").alias("ticker"), bucket("hour").alias("date"), F.col("user_id").alias("item_id"))
+    return ticks.join(own, "item_id").groupBy("ticker", "date").agg(F.avg("embedding_score").alias("embedding_score"), F.avg("activation_score").alias("activation_score"))
+
+
 _J10 = "WITH p AS (SELECT ticker, date, split, ln(greatest(pk, 1e-10)) AS x, lead(pk) OVER (PARTITION BY ticker ORDER BY date) AS target FROM (SELECT *, pow(ln(high / low), 2) / (4 * ln(2)) AS pk FROM split_bars)), f AS (SELECT ticker, x, ln(target) AS y FROM p WHERE target > 0 AND split IN ('train', 'val')), m AS (SELECT ticker, avg(x) AS mx, avg(y) AS my FROM f GROUP BY ticker), b AS (SELECT sum((x - mx) * (y - my)) / sum(pow(x - mx, 2)) AS w FROM f JOIN m USING (ticker)) SELECT ticker, date, exp(greatest(-30, least(5, w * x + my - w * mx))) AS prediction FROM p JOIN m USING (ticker), b WHERE target > 0 AND split = 'test'"
 
 
@@ -119,25 +137,62 @@ def j11(spark, sf):
     return dev.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.round(F.col(c) * float(b), 6).alias("loading")) for c, b in zip(models.FEATURE_SETS["har"], w, strict=True)))).alias("r")).select("r.*")
 
 
+@query("j12_feature_sets")
+def j12(spark, sf):
+    """Rows of each model's complete sample, by the time at which its terms are known."""
+    out = None
+    for origin in ("end_of_day", "session_open"):
+        panel = forecast_panel(spark, sf, origin)
+        sets = models.feature_sets(f"midas_{panels.MIDAS_LAGS[0]}_{panels.MIDAS_THETAS[0]:.0f}")
+        whole = lambda fs: F.count_if(reduce(and_, (F.col(c).isNotNull() for c in fs), F.col("target_h1") > 0))
+        one = panel.agg(F.array(*(F.struct(F.lit(m).alias("model"), F.array(*map(F.lit, fs)).alias("features"), whole(fs).alias("n")) for m, fs in sets.items())).alias("r"))
+        one = one.select(F.lit(origin).alias("origin"), F.explode("r").alias("r")).select("origin", "r.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+MIDAS_NAMES = [f"midas_{k}_{t:.0f}" for k in panels.MIDAS_LAGS for t in panels.MIDAS_THETAS]
+
+
 @query("j13_select_midas", doubles="qlike", digits=6)
 def j13(spark, sf):
-    panel = forecast_panel(spark, sf).persist()
-    return models.select_midas(panel, [c for c in panel.columns if c.startswith("midas_")], "target_h1")[1]
+    return models.select_midas(checkpointed(forecast_panel(spark, sf)), MIDAS_NAMES, "target_h1")[1]
 
 
-@query("j14_forecast_comparison", doubles="qlike log_mse log_r2 mse r2 rmse corr", digits=6)
-def j14(spark, sf):
-    """Horizons by models by variants with and without a score, each pair on one complete sample, judged on the test rows."""
-    panel = forecast_panel(spark, sf).withColumn("score", F.col("x_log_volume")).persist()
+VARIANTS = {"baseline": [], "embedding": ["embedding_score"], "activation": ["activation_score"]}
+
+
+def forecasts(spark, sf):
+    """horizon, model, variant, ticker, date, actual, prediction, loss, base_loss of test rows, and the score's loading.
+
+    Horizons by models, the MIDAS term selected on validation rows; the variants of a model share one complete sample.
+    """
+    panel = checkpointed(forecast_panel(spark, sf).join(scores(spark, sf), ["ticker", "date"], "left"))
     out = None
-    for target in ("target_h1", "target_h5"):
-        for name, base in models.FEATURE_SETS.items():
-            rows = models.complete(panel, [*base, "score"], target)
-            for variant, features in (("baseline", base), ("score", [*base, "score"])):
-                test = models.panel_forecast(rows, features, target).filter("split = 'test'")
-                one = test.agg(*models.fit_metrics(target, "prediction")).select(F.lit(target).alias("horizon"), F.lit(name).alias("model"), F.lit(variant).alias("variant"), "*")
-                out = one if out is None else out.unionByName(one)
-    return out
+    for horizon in (1, 5):
+        target = f"target_h{horizon}"
+        sets = models.feature_sets(models.select_midas(panel, MIDAS_NAMES, target)[0])
+        for name, base in sets.items():
+            rows = models.complete(panel, [*base, "embedding_score", "activation_score"], target)
+            for variant, more in VARIANTS.items():
+                rows = models.panel_forecast(rows, [*base, *more], target).withColumnRenamed("prediction", f"p_{variant}")
+            each = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(f"p_{v}").alias("prediction")) for v in VARIANTS))).alias("v")
+            test = rows.filter("split = 'test'").select(F.lit(horizon).alias("horizon"), F.lit(name).alias("model"), "ticker", "date", F.col(target).alias("actual"), "p_baseline", each)
+            one = test.select("horizon", "model", "v.*", "ticker", "date", "actual", qlike("actual", "v.prediction").alias("loss"), qlike("actual", "p_baseline").alias("base_loss"))
+            out = one if out is None else out.unionByName(one)
+    return checkpointed(out)
+
+
+@query("j14_forecast_comparison", doubles="qlike log_mse log_r2 mse r2 rmse corr improvement mean low high p", digits=6)
+def j14(spark, sf):
+    """Each variant's test metrics, its gain in percent of the baseline's QLIKE, and what a bootstrap of date blocks says of it."""
+    rows = forecasts(spark, sf)
+    keys = ["horizon", "model", "variant"]
+    gain = 100 * F.try_divide(F.avg("base_loss") - F.avg("loss"), F.avg("base_loss"))
+    table = rows.groupBy(*keys).agg(*models.fit_metrics("actual", "prediction"), gain.alias("improvement"))
+    by_date = rows.filter("variant <> 'baseline'").groupBy(*keys, "date").agg(F.avg(F.col("base_loss") - F.col("loss")).alias("v"))
+    tests = [ev.block_bootstrap(by_date.filter(F.col("horizon") == h), "v", "date", h, 2000, keys=tuple(keys)) for h in (1, 5)]
+    return table.join(tests[0].unionByName(tests[1]), keys, "left")
 
 
 @query("j1_group_mean_axis", "SELECT grp, i AS place, avg(x) AS weight FROM (SELECT grp, unnest(vec) AS x, CAST(unnest(range(0, 16)) AS INTEGER) AS i FROM vectors WHERE layer = 1) GROUP BY 1, 2", "vectors", doubles="weight")

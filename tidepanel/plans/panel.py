@@ -135,10 +135,13 @@ def _midas(k: int, theta: float) -> str:
     return f"CASE WHEN len(list_filter(lags[1:{k}], lambda x: x > 0)) = {k} THEN ln(list_sum(list_transform(range(1, {k + 1}), lambda j: lags[j] * ({_weights(k, theta)})[j]))) END"
 
 
-@query("e10_midas_features", f"SELECT ticker, date, {_midas(30, 1.0)} AS k30_t1, {_midas(30, 10.0)} AS k30_t10, {_midas(50, 4.0)} AS k50_t4, {_midas(80, 2.0)} AS k80_t2 FROM {LAG_ROWS}", "valid", doubles="k30_t1 k30_t10 k50_t4 k80_t2")
+GRID = [(k, t) for k in panels.MIDAS_LAGS for t in panels.MIDAS_THETAS]
+
+
+@query("e10_midas_features", f"SELECT ticker, date, {', '.join(f'{_midas(k, t)} AS k{k}_t{t:.0f}' for k, t in GRID)} FROM {LAG_ROWS}", "valid", doubles=tuple(f"k{k}_t{t:.0f}" for k, t in GRID))
 def e10(spark, sf):
     lags = _pk(spark, sf).select("ticker", "date", panels.lag_array("pk", 80).alias("lags"))
-    return lags.select("ticker", "date", *(panels.midas_term("lags", k, t).alias(f"k{k}_t{t:.0f}") for k, t in ((30, 1.0), (30, 10.0), (50, 4.0), (80, 2.0))))
+    return lags.select("ticker", "date", *(panels.midas_term("lags", k, t).alias(f"k{k}_t{t:.0f}") for k, t in GRID))
 
 
 @query("e11_pre_post_windows", f"SELECT ticker, date, {mean_if('pk', -20, -1, 20)} AS pre, {mean_if('pk', 1, 5, 5)} AS post FROM (SELECT ticker, date, {PK} AS pk FROM valid)", "valid", doubles="pre post")
@@ -171,7 +174,14 @@ def e15(spark, sf):
     return bars(spark, sf).select("ticker", "date", demeaned("close", "ticker").alias("demeaned"))
 
 
-@query("e16_two_way_demean", doubles="value", digits=6)
+def demeaned_sql(table: str, columns: tuple[str, ...], rounds: int = 20) -> str:
+    """two_way_demeaned() in SQL: rounds of means by ticker and by date, one inside the other."""
+    for key in ("ticker", "date") * rounds:
+        table = f"(SELECT ticker, date, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY {key}) AS {c}' for c in columns)} FROM {table})"
+    return table
+
+
+@query("e16_two_way_demean", f"SELECT ticker, date, value FROM {demeaned_sql('(SELECT ticker, date, close AS value FROM bars_xs)', ('value',))}", "bars_xs", doubles="value", digits=6)
 def e16(spark, sf):
     return panels.two_way_demeaned(bars_xs(spark, sf).select("ticker", "date", F.col("close").alias("value")), "value")
 

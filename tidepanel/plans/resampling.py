@@ -14,7 +14,7 @@ def drawn(seed: int, size: str, *parts: str) -> str:
     return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) % ({size})"
 
 
-REPS, BLOCK = 200, 5
+REPS, BLOCK = 2000, 5
 SERIES = f"(SELECT row_number() OVER (ORDER BY date) - 1 AS i, v FROM (SELECT date, avg(predicted - actual) AS v FROM {NAIVE} GROUP BY date))"
 
 
@@ -29,9 +29,9 @@ def picked(unit: str, reps: int, seed: int = 7) -> str:
     return f"(SELECT rep, l.* FROM (SELECT rep, {drawn(seed, 'n', 'rep', 'slot')} AS u FROM (SELECT unnest(range(0, {reps})) AS rep), (SELECT n, unnest(range(0, n)) AS slot FROM (SELECT count(DISTINCT {unit}) AS n FROM {LEN}))) JOIN {listed} USING (u) JOIN {LEN} l USING ({unit}))"
 
 
-@query("l2_company_bootstrap_rho", f"SELECT quantile_cont(rho, 0.025) AS low, quantile_cont(rho, 0.975) AS high, count(*) AS reps FROM ({rho_sql(picked('ticker', 50), 'n_chars', 'es', 'rep')}) WHERE rho IS NOT NULL", "docs", doubles="low high", digits=6)
+@query("l2_company_bootstrap_rho", f"SELECT quantile_cont(rho, 0.025) AS low, quantile_cont(rho, 0.975) AS high, count(*) AS reps FROM ({rho_sql(picked('ticker', 500), 'n_chars', 'es', 'rep')}) WHERE rho IS NOT NULL", "docs", doubles="low high", digits=6)
 def l2(spark, sf):
-    return ev.bootstrap_rho(lengths(spark, sf), "n_chars", "es", "ticker", 50)
+    return ev.bootstrap_rho(lengths(spark, sf), "n_chars", "es", "ticker", 500)
 
 
 def _difference(unit: str, reps: int) -> str:
@@ -39,14 +39,14 @@ def _difference(unit: str, reps: int) -> str:
     return f"SELECT avg(d) AS mean, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, (1 + sum(CASE WHEN d <= 0 THEN 1 ELSE 0 END)) / (count(*) + 1.0) AS p FROM (SELECT round(a.rho - b.rho, 10) AS d FROM ({rho_sql(p, 'n_chars', 'es', 'rep')}) a JOIN ({rho_sql(p, 'doc_id', 'es', 'rep')}) b USING (rep))"
 
 
-@query("l3_paired_date_bootstrap", _difference("date", 40), "docs", doubles="mean low high p", digits=6)
+@query("l3_paired_date_bootstrap", _difference("date", 1000), "docs", doubles="mean low high p", digits=6)
 def l3(spark, sf):
-    return ev.bootstrap_difference(lengths(spark, sf), "n_chars", "doc_id", "es", "date", 40)
+    return ev.bootstrap_difference(lengths(spark, sf), "n_chars", "doc_id", "es", "date", 1000)
 
 
-_PICK = picked("ticker", 100)
+_PICK = picked("ticker", 2000)
 
 
 @query("l4_paired_block_bootstrap", f"SELECT avg(d) AS mean, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, (1 + sum(CASE WHEN d <= 0 THEN 1 ELSE 0 END)) / (count(*) + 1.0) AS p FROM (SELECT round(corr(n_chars, es) - corr(doc_id, es), 10) AS d FROM {_PICK} GROUP BY rep)", "docs", doubles="mean low high p", digits=6)
 def l4(spark, sf):
-    return ev.bootstrap_difference(lengths(spark, sf), "n_chars", "doc_id", "es", "ticker", 100, "pearson")
+    return ev.bootstrap_difference(lengths(spark, sf), "n_chars", "doc_id", "es", "ticker", 2000, "pearson")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.operators.audits import shard_report
 from tidepanel.plans.registry import query
 from tidepanel.sources import envelopes, sinks
 from tidepanel.sources.tables import bars, docs, read, vectors
@@ -25,12 +26,17 @@ def _envelopes(spark, sf):
 
 @query("a2_scan_envelope_json", "SELECT strftime(ts, '%Y-%m-%d') AS endpoint, event_id, value FROM events WHERE day(ts) % 7 <> 0", doubles="value")
 def a2(spark, sf):
-    return envelopes.opened(_envelopes(spark, sf), "event_id: bigint, value: double")
+    """Envelopes written to gzip files, one a line, and read again."""
+    path = sinks.lines(_envelopes(spark, sf).select("value"), compression="gzip")
+    return envelopes.read_envelopes(spark, path, "event_id: bigint, value: double", whole=False)
 
 
 @query("a3_scan_ndjson", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def a3(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Objects written one a line, every fifth with a blank line after it, and read again."""
+    one = F.to_json(F.struct("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
+    path = sinks.lines(read(spark, sf, "events").select(F.concat(one, F.when(F.col("event_id") % 5 == 0, "\n").otherwise("")).alias("value")))
+    return envelopes.read_ndjson(spark, path, "event_id bigint, k bigint")
 
 
 @query("a4_sink_tables", "SELECT kind, count(*) AS n, sum(close) AS total FROM bars, (SELECT unnest(['parquet', 'csv', 'json']) AS kind) GROUP BY kind", "bars", doubles="total", digits=4)
@@ -49,13 +55,11 @@ def a5(spark, sf):
     return docs(spark, sf).join(vectors(spark, sf).filter("layer = 3"), F.col("doc_id") == F.col("item_id")).select("doc_id", F.get("vec", F.lit(0)).alias("first"), F.get("vec", F.lit(15)).alias("last"))
 
 
-@query("a6_shard_union_check", "SELECT doc_id % 4 AS shard, count(*) AS n, CAST(0 AS BIGINT) AS uncovered FROM documents GROUP BY 1")
+@query("a6_shard_union_check", "SELECT d.doc_id % 4 AS shard, count(l.doc_id) AS n, count(*) - count(l.doc_id) AS uncovered, count(l.doc_id) = 0 AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
 def a6(spark, sf):
-    """Shards by id, put together again; uncovered counts rows that no shard holds."""
-    whole = read(spark, sf, "documents").select("doc_id")
-    sharded = whole.withColumn("shard", F.pmod("doc_id", F.lit(4)))
-    lost = whole.join(sharded, "doc_id", "left_anti").agg(F.count("*").alias("uncovered"))
-    return sharded.groupBy("shard").agg(F.count("*").alias("n")).join(F.broadcast(lost))
+    """Which documents the shards of the labels cover."""
+    shards = read(spark, sf, "labels").select("doc_id", F.pmod("doc_id", F.lit(4)).alias("shard"))
+    return shard_report(read(spark, sf, "documents").select("doc_id"), shards, "doc_id", 4)
 
 
 @query("a7_missing_windows", "SELECT u.user_id, d.day FROM (SELECT DISTINCT user_id FROM events) u, (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day) d WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND CAST(e.ts AS DATE) = d.day)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import texts as tx
 from tidepanel.functions.scalar import known, log_shifted, ratio
 from tidepanel.operators.audits import carried_closures
+from tidepanel.operators.ranking import dense_ids
 from tidepanel.plans.calendars import XS_CLOSED
 from tidepanel.plans.registry import query
 from tidepanel.sources.tables import bars, bars_xs, read, valid_bars
@@ -83,17 +84,17 @@ def c10(spark, sf):
     return valid_bars(bars(spark, sf)).select("ticker", "date", "close")
 
 
-@query("c11_dense_ids", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) - 1 AS dense_id FROM documents")
+@query("c11_dense_ids", "SELECT doc_id, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST) - 1 AS dense_id FROM documents")
 def c11(spark, sf):
-    """Ids from 0 in a stable order, within a language: no single task numbers all rows."""
-    return read(spark, sf, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id")) - 1).cast("long").alias("dense_id"))
+    """Ids from 0 in a stable order over all rows."""
+    return dense_ids(read(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"]).select("doc_id", "dense_id")
 
 
-@query("c12_rescale_open", "SELECT b.ticker, b.date, b.open * b.close / nullif(r.ref, 0) AS open FROM bars b LEFT JOIN (SELECT ticker, date, close AS ref FROM bars WHERE hour(date) % 2 = 0) r ON b.ticker = r.ticker AND b.date = r.date", "bars", doubles="open")
+@query("c12_rescale_open", "SELECT b.ticker, b.date, b.open * b.close / nullif(r.ref, 0) AS open FROM bars b LEFT JOIN (SELECT ticker, date, close AS ref FROM bars WHERE volume >= 40) r ON b.ticker = r.ticker AND b.date = r.date", "bars", doubles="open")
 def c12(spark, sf):
     """Opens scaled by close over a second source's close; missing where that is 0 or absent."""
     table = bars(spark, sf)
-    ref = table.filter(F.hour("date") % 2 == 0).select("ticker", "date", F.col("close").alias("ref"))
+    ref = table.filter("volume >= 40").select("ticker", "date", F.col("close").alias("ref"))
     return table.join(ref, ["ticker", "date"], "left").select("ticker", "date", ratio(F.col("open") * F.col("close"), "ref").alias("open"))
 
 

@@ -63,7 +63,7 @@ PAIRS = "SELECT high_id, low_id FROM (SELECT h.doc_id AS high_id, arg_min(l.doc_
 
 def pairs(spark, sf):
     rows = docs(spark, sf).select(F.col("doc_id").alias("id"), "ticker", "date", "n_chars")
-    return matching.matched_pairs(rows, "n_chars", ["ticker"], lambda h, low: F.abs(F.datediff(f"{h}_date", f"{low}_date")))
+    return matching.nearest_dates(rows, "n_chars", ["ticker"])
 
 
 @query("i9_pair_deltas", f"SELECT high_id, low_id, a.vec[1] - b.vec[1] AS first, a.vec[16] - b.vec[16] AS last FROM ({PAIRS}) JOIN vectors a ON a.item_id = high_id AND a.layer = 2 JOIN vectors b ON b.item_id = low_id AND b.layer = 2", "docs", "vectors", doubles="first last")

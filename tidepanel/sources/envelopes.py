@@ -14,9 +14,9 @@ def opened(raw: DataFrame, row: str, body: str = "value") -> DataFrame:
     return both.filter("e._meta is not null and e.data is not null").select(F.col("e._meta.endpoint").alias("endpoint"), F.inline("e.data"))
 
 
-def read_envelopes(spark: SparkSession, path: str, row: str) -> DataFrame:
-    """Envelopes in files, gzip or plain, one a file or a line."""
-    return opened(spark.read.text(path, wholetext=True), row)
+def read_envelopes(spark: SparkSession, path: str, row: str, whole: bool = True) -> DataFrame:
+    """Envelopes in files, gzip or plain: each file is one, or, if not whole, each line."""
+    return opened(spark.read.text(path, wholetext=whole), row)
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:

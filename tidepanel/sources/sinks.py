@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a new local one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a new local one only where it is unset and Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
@@ -24,6 +26,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lines(df: DataFrame, compression: str = "none") -> str:
+    """df, one string column, as text files; returns the path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/text-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).text(path)
+    return path
+
+
 def written(df: DataFrame, kind: str, *by: str, path: str | None = None) -> str:
     """df written as parquet, csv or json (one object a line), in folders of by; returns the path."""
     path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
