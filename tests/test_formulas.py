@@ -55,6 +55,16 @@ def test_macro_names(spark):
     assert {r.e for r in df.filter(tx.is_macro("e")).collect()} == set(kept)
 
 
+def test_alternatives_are_the_pattern(spark):
+    rng = random.Random(6)
+    parts = [p for x in tx.EVENT_PATTERNS.values() for p in re.split(r"[|()?:.]+", x)] + ["stock ", "shares ", " ", "acqui", "52", "week", "-", "regula"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(400)] + ["52-week", "52 week", "shares up", "stock up", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *tx.event_flags("t")).collect()
+    for r in got:
+        want = [None if r.t is None else int(re.search(p, r.t.lower()) is not None) for p in tx.EVENT_PATTERNS.values()]
+        assert list(r)[1:] == want
+
+
 def test_compact_text(spark):
     r = one(spark, t=tx.compact([F.lit("  a\t b "), F.lit("a b"), F.lit(None).cast("string"), F.lit(" "), F.lit("c")], 4))
     assert r.t == "a b\n"

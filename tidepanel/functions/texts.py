@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -47,9 +48,34 @@ def normalized(text) -> Column:
     return collapsed(F.lower(col(text)))
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between its outermost bars."""
+    parts, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def holds(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches somewhere: plain alternatives by substring search, others only where their plain start stands."""
+
+    def one(part: str) -> Column:
+        start = re.match(r"[A-Za-z0-9 -]*", part)[0]
+        if start == part:
+            return F.contains(text, F.lit(part))
+        start = start[:-1] if part[len(start)] in "?*+{" else start
+        return F.contains(text, F.lit(start)) & text.rlike(part)
+
+    return reduce(or_, map(one, _alternatives(pattern)))
+
+
 def event_flags(text, patterns: dict[str, str] = EVENT_PATTERNS) -> list[Column]:
     low = F.lower(col(text))
-    return [low.rlike(p).cast("int").alias(name) for name, p in patterns.items()]
+    return [holds(low, p).cast("int").alias(name) for name, p in patterns.items()]
 
 
 def is_macro(event) -> Column:
