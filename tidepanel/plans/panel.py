@@ -131,14 +131,18 @@ def e9(spark, sf):
     return brands.select("brand", F.posexplode(panels.beta_weights(30, 4.0)).alias("place", "weight")).select("brand", (F.col("place") + 1).cast("long").alias("place"), "weight")
 
 
+#: The terms' weights, each list once.
+_WEIGHTS = "(SELECT " + ", ".join(f"{_weights(k, t)} AS w{k}_{t:.0f}" for k in panels.MIDAS_LAGS for t in panels.MIDAS_THETAS) + ")"
+
+
 def _midas(k: int, theta: float) -> str:
-    return f"CASE WHEN len(list_filter(lags[1:{k}], lambda x: x > 0)) = {k} THEN ln(list_sum(list_transform(range(1, {k + 1}), lambda j: lags[j] * ({_weights(k, theta)})[j]))) END"
+    return f"CASE WHEN len(list_filter(lags[1:{k}], lambda x: x > 0)) = {k} THEN ln(list_dot_product(list_transform(lags[1:{k}], lambda x: coalesce(x, 0)), w{k}_{theta:.0f})) END"
 
 
 GRID = [(k, t) for k in panels.MIDAS_LAGS for t in panels.MIDAS_THETAS]
 
 
-@query("e10_midas_features", f"SELECT ticker, date, {', '.join(f'{_midas(k, t)} AS k{k}_t{t:.0f}' for k, t in GRID)} FROM {LAG_ROWS}", "valid", doubles=tuple(f"k{k}_t{t:.0f}" for k, t in GRID))
+@query("e10_midas_features", f"SELECT ticker, date, {', '.join(f'{_midas(k, t)} AS k{k}_t{t:.0f}' for k, t in GRID)} FROM {LAG_ROWS}, {_WEIGHTS}", "valid", doubles=tuple(f"k{k}_t{t:.0f}" for k, t in GRID))
 def e10(spark, sf):
     lags = _pk(spark, sf).select("ticker", "date", panels.lag_array("pk", 80).alias("lags"))
     return lags.select("ticker", "date", *(panels.midas_term("lags", k, t).alias(f"k{k}_t{t:.0f}") for k, t in GRID))
