@@ -206,6 +206,11 @@ def test_url_rules(spark):
     assert got[7][0][2:] == ("net/es/", "block") and got[8][0][2:] == (None, "block") and got[9][0][3] == "allow"
     assert got[10][0][3] == "allow" and got[11][0][3] == "block" and got[12][0][2] == "com/" and got[13] == [("host", "", None, "allow")]
     assert url_rules.judge(pages.filter("false")).count() == 0
+    hot = spark.range(500).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://casino.org/").when(F.col("id") % 3 == 1, F.lit(None)).otherwise("http://a.org/").alias("url"))
+    assert {(r.verdict, r.n) for r in url_rules.judge(hot).groupBy("verdict").agg(F.count("*").alias("n")).collect()} == {("block", 167), ("allow", 333)}
+    for bad in (((),), (("a b",),), (("A",),)):
+        with pytest.raises(ValueError):
+            url_rules.Pattern("x", bad)
 
 
 def written(rng: random.Random, tree) -> str:

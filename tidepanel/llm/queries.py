@@ -81,19 +81,20 @@ _TOP_K = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(flo
 
 
 def _scanned(threshold: float = 0.8) -> str:
-    """The license scan in DuckDB's SQL, without filters: each line against each template."""
+    """The license scan in DuckDB's SQL, without filters: each line and each window of words against each template."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = lambda t: f"list_filter(regexp_split_to_array({t}, '{licenses.GAP}'), lambda x: x <> '')"
     place = lambda p: "list_filter(range(0, len(ws)), lambda i: " + " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split())) + ")"
     columns = ", ".join(f"{place(p)} AS p{k}" for k, (p, _) in enumerate(licenses.PHRASES))
     every = "list_concat(" + ", ".join(f"p{k}" for k in range(len(licenses.PHRASES))) + ")"
     base = "list_sort(list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES)) + "], lambda x: x IS NOT NULL))"
-    templates = " UNION ALL ".join(f"SELECT '{t.label}' AS label, {sorted(set(t.text.split()))} AS tokens" for t in licenses.TEMPLATES)
+    templates = " UNION ALL ".join(f"SELECT '{t.label}' AS label, {sorted(set(t.text.split()))} AS tokens, {len(t.text.split())} AS step" for t in licenses.TEMPLATES)
     return (
         f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents), "
         f"w AS (SELECT r, doc_id, {words('t')} AS ws FROM d), b AS (SELECT r, doc_id, len(ws) AS n_words, {columns} FROM w), "
         f"l AS (SELECT r, {words('line')} AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)), t AS ({templates}), "
-        f"m AS (SELECT r, list(DISTINCT label) AS more, max(k / n) AS best FROM (SELECT r, label, len(list_intersect(tokens, lw)) AS k, len(tokens) AS n FROM l, t) WHERE k >= greatest(1, ceil({threshold} * n - 1e-9)) GROUP BY r) "
+        f"c AS (SELECT r, label, tokens, lw FROM l, t UNION ALL SELECT r, label, tokens, ws[j * step + 1 : (j + 2) * step] FROM (SELECT r, ws, label, tokens, step, unnest(range(0, (len(ws) - 1) // step + 1)) AS j FROM w, t)), "
+        f"m AS (SELECT r, list(DISTINCT label) AS more, max(k / n) AS best FROM (SELECT r, label, len(list_intersect(tokens, lw)) AS k, len(tokens) AS n FROM c) WHERE k >= greatest(1, ceil({threshold} * n - 1e-9)) GROUP BY r) "
         f"SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base, CAST(list_min({every}) AS BIGINT) AS first_word, CAST(list_max({every}) AS BIGINT) AS last_word, array_to_string({base}, ',') AS base_labels, "
         f"array_to_string(list_sort(list_distinct(list_concat({base}, coalesce(more, [])))), ',') AS labels, CASE WHEN len({every}) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score FROM b LEFT JOIN m USING (r)"
     )

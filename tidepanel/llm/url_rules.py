@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,15 @@ from tidepanel.llm.common import durable
 
 @dataclass(frozen=True)
 class Pattern:
-    """A blocking rule: a regular expression on the lower-cased url, and alternatives of whole tokens ([a-z0-9]+): any match has all of one."""
+    """A blocking rule: a regular expression on the lower-cased url, and alternatives of whole tokens: any match has all of one."""
 
     regex: str
     tokens: tuple[tuple[str, ...], ...]
 
+    def __post_init__(self):
+        if any(not own or not all(re.fullmatch("[a-z0-9]+", t) for t in own) for own in self.tokens):
+            raise ValueError(f"tokens are [a-z0-9]+, one at least in each alternative: {self.tokens}")
+
 
 @dataclass(frozen=True)
 class Scope:
@@ -102,10 +107,14 @@ def judge(pages: DataFrame, scopes: tuple[Scope, ...] = SCOPES, patterns: tuple[
 
     rule: the longest scope that fits the url, else null; verdict: that scope's, else block if a pattern matches, else
     allow. A null url, or one without ://, has an empty host and path and no rule; it is allowed unless a pattern
-    matches. Equal urls are judged once and each row keeps its result. An empty table gives an empty one.
+    matches. Equal urls are judged once and each row keeps its result: what patterns say of blocked urls is a table of its
+    own, so that rows of a frequent url are a skewed join, which Spark splits, and null urls take no part in it. An empty
+    table gives an empty one.
     """
     rows = pages.select("page_id", "url")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    out = rows.join(blocked_urls(rows, patterns), "url", "left").select("page_id", host.alias("host"), path.alias("path"), F.coalesce("n_patterns", F.lit(0)).cast("long").alias("n_patterns"))
+    met = rows.filter("url is not null").join(durable(blocked_urls(rows, patterns)), "url", "left")
+    whole = met.unionByName(rows.filter("url is null"), allowMissingColumns=True)
+    out = whole.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("n_patterns", F.lit(0)).cast("long").alias("n_patterns"))
     rule = scoped(F.col("host"), F.col("path"), scopes)
     return out.withColumn("_rule", rule).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.when(F.col("n_patterns") > 0, "block").otherwise("allow")).alias("verdict"), "n_patterns")
