@@ -148,57 +148,89 @@ def min_hashes(own: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, same, sketch, keys = [], [], [], []
+        n, same, keys = [], [], []
         for text in batch.column(1).to_pylist():
             own = shingle_hashes(text, shingle)
             least = min_hashes(own)
             n.append(len(own))
             same.append(xxhash.xxh128_digest(own.tobytes()))
-            sketch.append((least & np.uint32(255)).astype(np.uint8).tobytes())
             keys.append([xxhash.xxh64_intdigest(least[t * ROWS : (t + 1) * ROWS].tobytes(), seed=t) - (1 << 63) for t in range(BANDS)])
-        arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n", "same", "sketch", "keys"])
-
-
-#: Texts of a bucket whose pairs one task tries at once.
-BLOCK = 1024
-
-
-def _within_cells(batches: Iterator[pa.RecordBatch], similarity: float, least: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, x, y, own, id, part, n, sketch), sorted by key, x and y, the pairs of a cell that may be similar.
-
-    They are in different parts, their sizes allow the similarity, and their sketches agree in a share of `least`. A
-    cell of two blocks has the pairs across them, a cell of one block all of its pairs.
+        arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n", "same", "keys"])
+
+
+#: Texts, and shingles of them, of a bucket that make a block; a task compares two blocks at once.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two different ones of some sets (distinct hashes) share: products of blocks of their incidence
+    matrix, which leaves out what one set alone has."""
+    m, flat = len(sets), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = np.repeat(np.arange(m), [len(s) for s in sets])[order], flat[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.empty(0, np.int64)
+    times = np.diff(np.append(first, len(flat)))
+    column = np.repeat(np.cumsum(times > 1) - 1, times)  # those of one set alone have no column
+    held = np.repeat(times > 1, times)
+    owner, column = owner[held], column[held]
+    wide, out = max(1, (1 << 22) // m), np.zeros((m, m))
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        lo, hi = np.searchsorted(column, (c, c + wide))
+        part = np.zeros((m, wide), np.float32)
+        part[owner[lo:hi], column[lo:hi] - c] = 1
+        out += part @ part.T
+    return out
+
+
+def _linked_in_cells(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, x, y, own, id, part, shingles), sorted by key, x and y, links a > b that join the parts of a cell.
+
+    All pairs of a cell (across its two blocks, if it has two) are counted out; a similar one is a link unless its parts
+    are joined already, so a cell gives fewer links than it has texts.
     """
     rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     for (_, x, y), held in groupby(rows, key=lambda r: r[:3]):
-        own, ids, part, n, sketch = zip(*(r[3:] for r in held), strict=True)
-        own, ids, part, n = (np.array(v, np.int64) for v in (own, ids, part, n))
-        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, HASHES)
-        out: list[np.ndarray] = []
-        for i in range(len(ids) - 1):
-            fits = (part[i + 1 :] != part[i]) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]) - 1e-9)
-            at = np.flatnonzero(fits if x == y else fits & (own[i + 1 :] != own[i])) + i + 1
-            at = at[(sketch[at] == sketch[i]).mean(axis=1) >= least] if len(at) else at
-            out.append(np.stack([np.maximum(ids[at], ids[i]), np.minimum(ids[at], ids[i])]))
-        a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def likely_pairs(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """a > b, distinct: pairs of members (key, size, id, part, n, sketch) that share a bucket (key) and may be similar.
-
-    Pairs are tried where the bucket's rows are, and only likely ones leave the task. A bucket of more than `block` is
-    dealt into blocks, and each two of them are a task's work, so no group is unbounded and no pair is left out.
+        own, ids, part, raw = zip(*(r[3:] for r in held), strict=True)
+        own, ids, part = np.array(own), np.array(ids, np.int64), np.unique(part, return_inverse=True)[1].tolist()
+        sets = [np.frombuffer(s, np.uint64) for s in raw]
+        n = np.array([len(s) for s in sets])
+        common = common_counts(sets)
+        similar = np.triu(common >= similarity * (n[:, None] + n[None, :] - common) - 1e-9, 1)
+        if x != y:
+            similar &= own[:, None] != own[None, :]
+        label, links = list(range(max(part) + 1)), []
+        for i, j in zip(*(v.tolist() for v in np.nonzero(similar)), strict=True):
+            p, q = part[i], part[j]
+            while label[p] != p:
+                p = label[p] = label[label[p]]
+            while label[q] != q:
+                q = label[q] = label[label[q]]
+            if p != q:
+                label[max(p, q)] = min(p, q)
+                links.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def links_in_buckets(members: DataFrame, shingles: DataFrame, similarity: float, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """a > b: links between members (key, texts, size, id, part) of a bucket whose shingles (id, shingles) are similar enough.
+
+    size: the shingles of the bucket's texts together. All pairs are counted out where the bucket's rows are, and only
+    links that join two parts leave the task. A bucket of more texts or shingles than a block is dealt into blocks, and
+    each two of them are a task's work, so no group is unbounded and no pair is left out.
     """
-    loose = similarity - 5 * (similarity * (1 - similarity) / HASHES) ** 0.5
-    deals = F.ceil(F.col("size") / block)
+    deals = F.ceil(F.greatest(F.col("texts") / block, F.col("size") / block_shingles))
     dealt = members.withColumn("deals", deals).withColumn("own", F.pmod(F.xxhash64("id"), "deals"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "part", "n", "sketch")
-    sorted_ = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return sorted_.mapInArrow(partial(_within_cells, similarity=similarity, least=loose), "a long, b long").distinct()
+    cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "part").join(shingles, "id")
+    sorted_ = cells.select("key", "x", "y", "own", "id", "part", "shingles").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return sorted_.mapInArrow(partial(_linked_in_cells, similarity=similarity), "a long, b long")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -229,19 +261,18 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Two texts are linked if the Jaccard similarity of their shingle sets, counted out from the texts, is at least the one
     asked for. Candidates share a bucket, a key of ROWS min-hashes: a pair at 0.8 shares one of BANDS with a probability
     of 0.997, a more similar one more surely. First each text meets the bucket's first that it shares most buckets with;
-    then all pairs of all buckets whose texts are not in one component yet are tried where the bucket is, whatever its size
-    (likely_pairs). A group of near copies so takes linear work, and only texts that share buckets without being linked
-    meet all with all. A pair of the second step goes to the count only if set sizes allow the similarity and if the
-    sketches agree to five standard deviations below it. Equal shingle sets count as one. Null and empty texts and those
-    without words are each other's copies; repeated rows and ids are told apart; an empty table gives an empty one.
+    then all pairs of all buckets whose texts are not in one component yet are counted out where the bucket is, whatever
+    its size (links_in_buckets), and give as many links as join them. Equal shingle sets count as one. Null and empty
+    texts and those without words are each other's copies; repeated rows and ids are told apart; an empty table gives an
+    empty one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = numbered(docs.select("doc_id", "text"), "row")
-    found = durable(rows.mapInArrow(partial(_sketches, shingle=shingle), f"doc_id {kind}, row long, n long, same binary, sketch binary, keys array<long>"))
+    found = durable(rows.mapInArrow(partial(_sketches, shingle=shingle), f"doc_id {kind}, row long, n long, same binary, keys array<long>"))
     least = found.groupBy("same").agg(F.min("row").alias("id"))
-    distinct = durable(found.join(least.select(F.col("id").alias("row")), "row", "left_semi").filter("n > 0").select(F.col("row").alias("id"), "n", "sketch", "keys"))
-    keyed = distinct.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    distinct = found.join(least.select(F.col("id").alias("row")), "row", "left_semi").filter("n > 0")
+    keyed = durable(distinct.select(F.col("row").alias("id"), "n", F.explode("keys").alias("key")))
+    shared = durable(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size"))
     members = durable(keyed.join(shared, "key"))
     texts = durable(rows.select(F.col("row").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi"))
 
@@ -249,11 +280,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     tried = durable(often.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b")))
     edges = durable(similar_pairs(texts, tried, shingle, similarity))
     root = roots(edges)
-    placed = members.join(root, members["id"] == root["node"], "left").select("key", "id", F.coalesce("root", "id").alias("part"))
-    mixed = durable(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size"))
-    open_ = placed.join(mixed, "key").join(distinct.select("id", "n", "sketch"), "id")
-    pairs = durable(likely_pairs(open_, similarity).join(tried, ["a", "b"], "left_anti"))
-    more = similar_pairs(texts, pairs, shingle, similarity)
+    placed = durable(members.join(root, members["id"] == root["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("part")))
+    mixed = durable(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("size")).filter("low < high").select("key", "texts", "size"))
+    open_ = durable(placed.join(mixed, "key"))
+    shingles = durable(texts.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(partial(_shingles, shingle=shingle), "id long, shingles binary"))
+    more = durable(links_in_buckets(open_, shingles, similarity))
     root = roots(edges.unionByName(more))
     of = durable(least.join(root, least["id"] == root["node"], "left").select("same", F.coalesce("root", "id").alias("component")))
     return found.select("doc_id", "row", "same").join(of, "same").select("doc_id", "row", "component")
