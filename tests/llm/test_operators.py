@@ -267,6 +267,19 @@ def test_top_k(spark, blocks):
     assert topk.top_k(topk.quantised(df.filter("false")), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows_and_large_numbers(spark):
+    """Repeated rows are each other's candidates, clashing columns don't matter, and sums beyond a double are exact."""
+    rows = [(10, [1.0, 2.0], 1), (10, [1.0, 2.0], 2), (10, [3.0, 1.0], 3), (4, [1.0, 0.0], 4), (None, [9.0, 9.0], 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row long")
+    got = sorted(map(tuple, topk.top_k(topk.quantised(df, 1), F.col("vec_id") == 10, 2).collect()))
+    assert got == sorted([(10, 1, 10, 5), (10, 2, 10, 5), (10, 1, 10, 5), (10, 2, 10, 5), (10, 1, 10, 5), (10, 2, 10, 5)])
+    big = 2**31
+    own = [(0, [big, 1]), (1, [big, 1]), (2, [big, 2]), (3, [-big, 7]), (4, [4 * big, 0])]
+    df = spark.createDataFrame(own, "vec_id long, ints array<long>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, 4).orderBy("rank").collect()]
+    assert got == [(0, 1, 4, 2**63 - 1), (0, 2, 2, big * big + 2), (0, 3, 1, big * big + 1), (0, 4, 3, 7 - big * big)]
+
+
 def test_encoder_is_the_library(texts):
     rng = random.Random(3)
     alphabet = "aEé' .,0<|>́ 　ΣİßK\x1c\x85\n"
@@ -411,21 +424,36 @@ def test_near_copies_of_a_hot_source_are_found(spark):
 
 
 @pytest.mark.parametrize("block", [1, 7, 1000])
-def test_likely_pairs_of_any_block(spark, block):
-    """Blocks give the pairs that brute force over the buckets gives."""
-    rng = np.random.default_rng(block)
-    base = rng.integers(0, 256, (4, simhash.HASHES), dtype=np.uint8)
-    rows = []
+def test_links_in_buckets_of_any_block(spark, block):
+    """Blocks join the parts that brute force over the buckets joins, by fewer links than there are rows."""
+    rng = random.Random(block)
+    sets, rows = {}, []
     for i in range(60):
-        own = base[i % 4].copy()
-        at = rng.choice(simhash.HASHES, 12 + 2 * (i % 9), replace=False)
-        own[at] = rng.integers(0, 256, len(at))
-        rows += [(key, 60, i, i // 3, 100 + i % 7, own.tobytes()) for key in (i % 2, 7)]
-    members = spark.createDataFrame(rows, "key long, size long, id long, part long, n long, sketch binary")
-    got = {tuple(r) for r in simhash.likely_pairs(members, 0.8, block).collect()}
-    sketch, loose = {r[2]: np.frombuffer(r[5], np.uint8) for r in rows}, 0.8 - 5 * (0.16 / simhash.HASHES) ** 0.5
-    want = {(a, b) for a in range(60) for b in range(a) if a // 3 != b // 3 and (sketch[a] == sketch[b]).mean() >= loose}
-    assert got == want and want
+        source = range(1000 * (i % 4), 1000 * (i % 4) + 100)
+        sets[i] = np.unique(np.array([s if rng.random() > 0.01 * (i % 14) else rng.getrandbits(60) for s in source], np.uint64))
+        rows += [(key, 60, 6000, i, i // 2) for key in (i % 3, 7)]
+    members = spark.createDataFrame(rows, "key long, texts long, size long, id long, part long")
+    shingles = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "id long, shingles binary")
+    links = [tuple(r) for r in simhash.links_in_buckets(members, shingles, 0.8, block).collect()]
+    similar = [(a, b) for a in range(60) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9]
+    assert set(links) <= set(similar) and len(similar) > 100 and (block < 60 or len(links) < len(rows))
+
+    def joined(pairs):
+        label = {i: i // 2 for i in range(60)}
+        for a, b in pairs:
+            x, y = sorted((label[a], label[b]))
+            label = {k: x if v == y else v for k, v in label.items()}
+        return label
+
+    assert joined(links) == joined(similar)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 5, 50, 200, 400)] + [np.arange(10**7, 10**7 + 50, dtype=np.uint64)]
+    got = simhash.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    assert simhash.common_counts([np.empty(0, np.uint64)] * 2).tolist() == [[0, 0], [0, 0]]
 
 
 def test_near_copies_are_linked_at_the_similarity_alone(spark):
@@ -485,7 +513,8 @@ def test_personal_data(spark):
         assert got[i].n_email == sum(s.startswith("email") for s in want)
     assert personal_data.find_spans(docs.filter("false")).count() == 0
     clean = {r.doc_id: r.text for r in personal_data.redacted(docs).collect()}
-    assert clean[300] is None and all(not base_spans(t) or "<" in t for t in clean.values() if t)
+    assert clean[300] is None
+    assert all(sum(clean[i].count(f"<{k}>") for k in ("EMAIL", "IP", "CARD", "PHONE")) > 0 for i, t in rows if base_spans(t or ""))
     one = spark.createDataFrame([(1, "to a.b@c.d or 1.2.3.4.")], "doc_id long, text string")
     assert personal_data.redacted(one).first().text == "to <EMAIL> or <IP>."
 
@@ -496,6 +525,16 @@ def test_masked_addresses_in_capitals_are_candidates(spark):
     assert got == {1: 1, 2: 1}
 
 
+def test_secrets_are_found_and_redacted(spark):
+    rng = random.Random(21)
+    own = [(i, f'word token = "{rng.getrandbits(160):040x}" more') for i in range(40)] + [(40, "a token of thanks"), (41, "password: short"), (42, None), (43, "API_KEY='abcdefgh12345678ABCDEF'")]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal_data.digest(personal_data.find_spans(docs)).collect()}
+    assert all(got[i] == "secret:5:55" for i in range(40)) and got[43] == "secret:0:32" and not got[40] and not got[41] and not got[42]
+    clean = {r.doc_id: r.text for r in personal_data.redacted(docs).collect()}
+    assert clean[0] == "word <SECRET> more" and clean[40] == "a token of thanks" and clean[43] == "<SECRET>"
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     rng = random.Random(13)
     counts = collections.Counter()
@@ -505,7 +544,7 @@ def test_reliabilities_tell_good_labelers_from_bad():
         counts[0, votes] += 1
     right, post = personal_data.reliabilities([(k, v, n) for (k, v), n in counts.items()])
     assert right[0] > right[3] and abs(right[0] - 0.95) < 0.05 and post[0, (1, 1, 1, 1)] > 0.9 > 0.1 > post[0, (-1, -1, -1, -1)]
-    rows = [(personal_data.features(0, v, 1), post[k, v], float(n)) for (k, v), n in counts.items()]
+    rows = [(personal_data.features(0, v, (1, 0, 0)), post[k, v], float(n)) for (k, v), n in counts.items()]
     w = personal_data.logistic(rows)
     wrong = sum(n for f, y, n in rows if (sum(a * b for a, b in zip(w, f, strict=True)) >= 0) != (y >= 0.5))
     assert wrong / 4000 < 0.1

@@ -41,6 +41,7 @@ KINDS = (
     Kind("local_phone", ("(", ")"), r"(?<![0-9+)(] ?)\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[-. ][0-9]{4}(?![0-9])", False, r"^\([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}$", r"(?i)\b(phone|tel|call|mobile|fax|dial)\b", r"^\([2-9][0-8][0-9]\)", r"^\(([2-9])\1\1\)"),
     Kind("masked_email", ("at",), r"(?i)\b[a-z0-9._%+-]{2,64} ?[\[(] ?at ?[\])] ?[a-z0-9-]{2,63} ?[\[(] ?dot ?[\])] ?[a-z]{2,12}\b", False, r".*", r"(?i)\b(e-?mail|mail|contact|write|reach)\b", r"(?i)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"),
     Kind("national_id", ("-",), r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", r"(?i)\b(ssn|social|security|tax|id)\b", r"^[0-7]", r"^(000|666|9)|-00-|-0000$"),
+    Kind("secret", (), r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?[A-Za-z0-9+/_=.-]{16,128}+[\"']?", False, r"[\"'=: ][A-Za-z0-9+/_=.-]*[0-9][A-Za-z0-9+/_=.-]*[\"']?$", r"(?i)\b(config|env|export|login|auth|header|key)\b", r"[=: \"'](?=[^\"']*[0-9])(?=[^\"']*[A-Za-z])[^\"']*[\"']?$", r"(?i)example|changeme|placeholder|x{6}|(.)\1{7}"),
     Kind("person", (".",), r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]{1,20} [A-Z][a-z]{1,20}\b", False, r".*", r"(?i)\b(name|dear|contact|from|by)\b", r"(?i) (james|john|mary|anna|maria|peter|paul|david|sarah|laura|thomas|julia|carlos|jean|pierre|hans) "),
 )
 NAMES = [k.name for k in KINDS]
@@ -63,7 +64,10 @@ def _vote(for_: Column, against: Column) -> Column:
     return F.when(against, -1).when(for_, 1).otherwise(0).cast("tinyint")
 
 
-_SPAN = "array<struct<kind: tinyint, start: bigint, end: bigint, strict: tinyint, gazetteer: tinyint, context: tinyint, edges: tinyint, long: tinyint>>"
+_SPAN = "array<struct<kind: tinyint, start: bigint, end: bigint, strict: tinyint, gazetteer: tinyint, context: tinyint, edges: tinyint, long: tinyint, shape: tinyint, lead: tinyint>>"
+#: What the classifier sees of a span's own text, besides the votes: classes of length, of letters and digits, and whether
+#: a sign that announces a value stands before.
+SEEN = {"long": 3, "shape": 3, "lead": 2}
 
 
 def _bound(f, k: Kind, i: int):
@@ -71,7 +75,7 @@ def _bound(f, k: Kind, i: int):
 
 
 def with_candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """docs with an array of candidate spans of column text: kind, start, end (code points), votes and a length class.
+    """docs with an array of candidate spans of column text: kind, start, end (code points), votes and classes (SEEN).
 
     Matches of a pattern and what lies between them are read off the same scan rule, so a match starts where the lengths
     before it end.
@@ -99,7 +103,7 @@ def with_candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
                 _vote(~(x["b"].rlike("[A-Za-z0-9]$") | x["a"].rlike("^[A-Za-z0-9]")), x["b"].rlike("[A-Za-z0-9]$") | x["a"].rlike("^[A-Za-z0-9]")),
             )
             size = F.length(x["v"])
-            span = F.struct(F.lit(i).cast("tinyint").alias("kind"), start.alias("start"), end.alias("end"), *(v.alias(n) for v, n in zip(votes, LABELERS, strict=True)), F.when(size < 12, 0).when(size < 24, 1).otherwise(2).cast("tinyint").alias("long"))
+            span = F.struct(F.lit(i).cast("tinyint").alias("kind"), start.alias("start"), end.alias("end"), *(v.alias(n) for v, n in zip(votes, LABELERS, strict=True)), F.when(size < 12, 0).when(size < 24, 1).otherwise(2).cast("tinyint").alias("long"), F.when(~x["v"].rlike("[0-9]"), 0).when(x["v"].rlike("[A-Za-z]"), 1).otherwise(2).cast("tinyint").alias("shape"), x["b"].rlike(r"[:=]\s*[\"'(]?$").cast("tinyint").alias("lead"))
             return F.struct(end.alias("pos"), F.when(_valid(k.name, x["v"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
         first = F.struct(F.lit(0).cast("long").alias("pos"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
@@ -127,8 +131,8 @@ def reliabilities(rows: list[tuple[int, tuple[int, ...], float]], rounds: int =
     return right, post
 
 
-def features(kind: int, votes: tuple[int, ...], size: int) -> list[float]:
-    return [1.0, *(float(kind == k) for k in range(len(KINDS))), *map(float, votes), *(float(size == s) for s in range(3))]
+def features(kind: int, votes: tuple[int, ...], seen: tuple[int, ...]) -> list[float]:
+    return [1.0, *(float(kind == k) for k in range(len(KINDS))), *map(float, votes), *(float(v == c) for v, n in zip(seen, SEEN.values(), strict=True) for c in range(n))]
 
 
 def logistic(rows: list[tuple[list[float], float, float]], rounds: int = 200, decay: float = 1e-3) -> list[float]:
@@ -152,10 +156,10 @@ def logistic(rows: list[tuple[list[float], float, float]], rounds: int = 200, de
 def fitted(candidates: DataFrame, column: str) -> list[float]:
     """The span classifier's weights from all candidates: counts of patterns are summed by Spark, then EM and the fit.
 
-    At most kinds x 3^labelers x 3 patterns exist, whatever the corpus.
+    At most kinds x 3^labelers x classes (SEEN) patterns exist, whatever the corpus.
     """
-    rows = candidates.select(F.explode(column).alias("s")).groupBy("s.kind", *(f"s.{x}" for x in LABELERS), "s.long").count().collect()
-    votes = sorted((r["kind"], tuple(r[x] for x in LABELERS), r["long"], r["count"]) for r in rows)
+    rows = candidates.select(F.explode(column).alias("s")).groupBy("s.kind", *(f"s.{x}" for x in (*LABELERS, *SEEN))).count().collect()
+    votes = sorted((r["kind"], tuple(r[x] for x in LABELERS), tuple(r[x] for x in SEEN), r["count"]) for r in rows)
     counts: dict[tuple, float] = {}
     for k, v, _, n in votes:
         counts[k, v] = counts.get((k, v), 0.0) + n
@@ -170,10 +174,14 @@ def accepted(weights: list[float]):
     def test(s: Column) -> Column:
         if not weights:
             return s["kind"] < base
-        kinds, votes, sizes = weights[1 : 1 + len(KINDS)], weights[1 + len(KINDS) : -3], weights[-3:]
-        score = F.lit(weights[0]) + F.element_at(F.array(*map(F.lit, kinds)), s["kind"].cast("int") + 1) + F.element_at(F.array(*map(F.lit, sizes)), s["long"].cast("int") + 1)
-        for w, name in zip(votes, LABELERS, strict=True):
+        rest = iter(weights)
+        take = lambda n: [next(rest) for _ in range(n)]
+        one_of = lambda name, n: F.element_at(F.array(*map(F.lit, take(n))), s[name].cast("int") + 1)
+        score = F.lit(take(1)[0]) + one_of("kind", len(KINDS))
+        for w, name in zip(take(len(LABELERS)), LABELERS, strict=True):
             score = score + F.lit(w) * s[name]
+        for name, n in SEEN.items():
+            score = score + one_of(name, n)
         return (s["kind"] < base) | (score >= 0)
 
     return test
@@ -217,7 +225,7 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each accepted span of text replaced by its kind in angle brackets; spans that overlap become one.
 
-    All columns stay; a null text stays null. The candidates are found twice, once to fit and once beside the text, so
+    All columns stay; a null text stays null, repeated rows are redacted alike, an empty table gives an empty one. The candidates are found twice, once to fit and once beside the text, so
     that no text is shuffled.
     """
     base = docs.withColumn("_text", text_of())
