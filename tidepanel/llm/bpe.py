@@ -318,7 +318,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> Data
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """encoded (with ids_le) and the bytes that the ids stand for: their pieces joined, as column decoded."""
+    """encoded (with ids_le) and the bytes that the ids stand for: their pieces joined, as column decoded.
+
+    No ids are no bytes; a null stays null; equal rows give equal rows; an empty table gives an empty one.
+    """
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
@@ -326,7 +329,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
+            out = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) if x is not None else None for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

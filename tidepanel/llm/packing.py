@@ -161,7 +161,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("row",
 
     Only the histogram of lengths, capacity rows at most, comes to the driver. Each piece's rank among its length is
     counted in dealt groups of about RANKED rows plus what the groups before hold, so that a length of many pieces is
-    nobody's single task; the rank says the place. pieces is read more than once: give a durable table.
+    nobody's single task; the rank says the place. pieces is read more than once: give a durable table. Pieces of equal
+    length are told apart by key; an empty table gives an empty one.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     histogram = np.zeros(capacity + 1, np.int64)

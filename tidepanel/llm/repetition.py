@@ -75,6 +75,8 @@ def repeats(docs: list[np.ndarray], min_repeat: int = MIN_REPEAT) -> list[tuple[
     for k in range(len(level) - 1, -1, -1):
         x, y = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
         lcp += np.where(level[k][x] == level[k][y], 1 << k, 0)
+    # the deepest longest-common-prefix interval that holds a suffix is as deep as the nearer of its two neighbours: its
+    # string is the longest repeat that starts there, and the union of these is the union of all maximal repeats
     widest = np.zeros(len(sa), np.int64)
     if len(sa):
         widest[:-1], widest[1:] = lcp, np.maximum(widest[1:], lcp)
@@ -139,7 +141,7 @@ def quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float =
 
 
 def keep_good(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns."""
+    """The rows of docs that quality() keeps, with all their columns: null and empty texts go, equal rows share a verdict."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
