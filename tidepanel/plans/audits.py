@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.statistics import rank_decile
 from tidepanel.operators import audits
+from tidepanel.operators.ranking import quantiles
 from tidepanel.plans.panel import PK, R, W
 from tidepanel.plans.registry import query
 from tidepanel.plans.texts import MACRO, NAMED, releases
@@ -34,7 +35,7 @@ def g3(spark, sf):
 
 @query("g4_group_quantiles", "SELECT lang, split, q[1] AS p01, q[2] AS p10, q[3] AS p50, q[4] AS p90, q[5] AS p99 FROM (SELECT lang, split, quantile_cont(CAST(n_chars AS DOUBLE), [0.01, 0.1, 0.5, 0.9, 0.99]) AS q FROM docs GROUP BY 1, 2)", "docs", doubles="p01 p10 p50 p90 p99", digits=6)
 def g4(spark, sf):
-    q = docs(spark, sf).groupBy("lang", "split").agg(F.percentile("n_chars", F.array(*map(F.lit, (0.01, 0.1, 0.5, 0.9, 0.99)))).alias("q"))
+    q = quantiles(docs(spark, sf).select("lang", "split", "n_chars"), "n_chars", [0.01, 0.1, 0.5, 0.9, 0.99], "lang", "split")
     return q.select("lang", "split", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p10", "p50", "p90", "p99"))))
 
 
@@ -57,7 +58,8 @@ def g7(spark, sf):
 def g8(spark, sf):
     w = Window.partitionBy("lang")
     rows = docs(spark, sf).select("lang", F.col("n_chars").cast("double").alias("x"), rank_decile(F.row_number().over(w.orderBy("doc_id")), F.count("*").over(w)).alias("decile"))
-    return rows.groupBy("lang", "decile").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.exp(F.avg(F.ln(F.col("x") + 1))).alias("geometric"))
+    medians = quantiles(rows, "x", [0.5], "lang", "decile").select("lang", "decile", F.get("q", F.lit(0)).alias("median"))
+    return rows.groupBy("lang", "decile").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.exp(F.avg(F.ln(F.col("x") + 1))).alias("geometric")).join(medians, ["lang", "decile"])
 
 
 @query("g9_market_return", f"SELECT date, avg(r) AS market FROM (SELECT date, {R} AS r FROM valid {W}) GROUP BY date", "valid", doubles="market")

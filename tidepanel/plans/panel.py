@@ -10,6 +10,7 @@ from tidepanel.functions.scalar import log_of, ratio
 from tidepanel.functions.statistics import rank_decile
 from tidepanel.functions.windows import demeaned, forward_mean, future_mean, rolling_mean, shifted
 from tidepanel.operators import panels
+from tidepanel.operators.ranking import quantiles
 from tidepanel.plans.registry import query
 from tidepanel.sources.tables import bars, bars_long, bars_xs, docs, valid_bars, with_split
 
@@ -208,7 +209,7 @@ EDGES = "(SELECT ticker AS t, quantile_cont(CAST(n_chars AS DOUBLE), [0.1, 0.2,
 @query("e18_value_deciles", f"SELECT doc_id, ticker, CAST(len(list_filter(list_distinct(e), lambda x: x < n_chars)) AS BIGINT) AS decile FROM docs JOIN {EDGES} ON ticker = t", "docs")
 def e18b(spark, sf):
     d = docs(spark, sf).select("doc_id", "ticker", F.col("n_chars").cast("double").alias("x"))
-    edges = d.groupBy("ticker").agg(F.percentile("x", F.array(*(F.lit(i / 10) for i in range(1, 10)))).alias("e"))
+    edges = quantiles(d, "x", [i / 10 for i in range(1, 10)], "ticker").withColumnRenamed("q", "e")
     return d.join(edges, "ticker").select("doc_id", "ticker", F.size(F.filter(F.array_distinct("e"), lambda e: e < F.col("x"))).cast("long").alias("decile"))
 
 
