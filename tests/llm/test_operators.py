@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -280,6 +281,17 @@ def test_top_k_of_repeated_rows_and_large_numbers(spark):
     assert got == [(0, 1, 4, 2**63 - 1), (0, 2, 2, big * big + 2), (0, 3, 1, big * big + 1), (0, 4, 3, 7 - big * big)]
 
 
+def test_package_imports_from_its_zip():
+    import subprocess
+    import sys
+
+    from tidepanel.llm.common import packed_up
+
+    code = "import tidepanel.llm.suffix_dedup as m; print(m.__file__)"
+    out = subprocess.run([sys.executable, "-c", code], env=dict(os.environ, PYTHONPATH=packed_up()), cwd="/", capture_output=True, text=True, check=True)
+    assert "tidepanel.zip" in out.stdout
+
+
 def test_encoder_is_the_library(texts):
     rng = random.Random(3)
     alphabet = "aEé' .,0<|>́ 　ΣİßK\x1c\x85\n"

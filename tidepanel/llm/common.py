@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -18,9 +19,25 @@ BATCH_ROWS = 128
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+_SHIPPED: set[str] = set()
+
+
+def packed_up() -> str:
+    """A zip of this package; the driver serves it, so its folder needn't be shared."""
+    return shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/tidepanel", "zip", ROOT, "tidepanel")
+
+
 def session(spark: SparkSession) -> SparkSession:
-    """The session, set up so that Python workers find this package and take whole texts in small batches."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    """The session, set up so that Python workers find this package and take whole texts in small batches.
+
+    On a cluster the package goes to the executors as a zip; where they run on this machine its folder is named to them.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        sc.environment.setdefault("PYTHONPATH", ROOT)
+    elif sc.applicationId not in _SHIPPED:
+        sc.addPyFile(packed_up())
+        _SHIPPED.add(sc.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
