@@ -24,6 +24,8 @@ from tidepanel.llm.pieces import WHITE
 KNOWN, SHORT, LONG = 2_000_000, 64, 512
 #: Words that a worker keeps for good, and until as many are gathered: a bound on its memory, not on its input.
 WARM, RECENT = 250_000, 150_000
+#: Bytes of texts whose words are looked up together.
+BATCH_BYTES = 4_000_000
 #: Multipliers that pick the two places of a key in the literal rank map.
 PLACES = (0x9E3779B1, 0x85EBCA77)
 #: Fixed pattern of pre-tokens; Java's \s is all Unicode white space under (?U).
@@ -251,6 +253,18 @@ class Known:
         return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to some BATCH_BYTES each, so that a word is looked up once for more texts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 class _Batch(dict):
     """Ids of a batch's words; of one with unknown pre-tokens they are put together anew in each text."""
 
@@ -297,11 +311,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> Data
     counts = durable(word_counts(docs).filter(F.octet_length("word") <= SHORT))
     often = counts.filter(F.col("uses") >= F.greatest(F.lit(_fitting(counts, known)), F.lit(2))).repartition("word")
     folds = often.select("word", F.element_at(folded(F.array("word"), tables), 1).alias("ids"))
-    parts = folds.mapInArrow(_compact, "hashes binary, words binary, word_sizes binary, id_sizes binary, ids binary, width long")
+    parts = durable(folds.mapInArrow(_compact, "hashes binary, words binary, word_sizes binary, id_sizes binary, ids binary, width long"))
     held = docs.sparkSession.sparkContext.broadcast(Known([tuple(bytes(x) if isinstance(x, bytearray) else x for x in p) for p in parts.toLocalIterator()], ranks))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             got = held.value.texts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["doc_id", "marked", "rare"])
 
