@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -82,6 +82,19 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     return pinned(df).withColumn(name, F.monotonically_increasing_id())
 
 
+def in_order(df: DataFrame, ranges: list, then: list | None = None, name: str = "_place") -> DataFrame:
+    """df with each row's place, from 0, in the order of ranges and then of then.
+
+    Ranges of the order are sorted apart and written once; a row's place is its number there plus what the ranges before
+    hold. Only a row for each range goes to all tasks. Rows that are equal in the whole order take places in any order.
+    """
+    at, below = F.col("_at"), (1 << 33) - 1
+    held = durable(df.repartitionByRange(*ranges).sortWithinPartitions(*ranges, *(then or [])).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = held.groupBy(F.shiftright(at, 33).alias("_range")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return held.withColumn("_range", F.shiftright(at, 33)).join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + at.bitwiseAND(F.lit(below))).alias(name))
+
+
 def text_of(name: str = "text"):
     """A text column with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))
