@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import EPS_FORECAST, col
-from tidepanel.operators.ranking import average_ranks
+from tidepanel.operators.ranking import with_average_ranks
+from tidepanel.sources.sinks import checkpointed
 
 
 def pearson(x, y) -> Column:
@@ -18,24 +19,14 @@ def pearson(x, y) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(both(x)) * F.stddev_pop(both(y)))
 
 
-def average_rank(x, *keys: str) -> Column:
-    """Rank from 1, ties by their average, within keys."""
-    w, same = Window.partitionBy(*keys).orderBy(col(x)), Window.partitionBy(*keys, col(x))
-    return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2
-
-
 def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 3) -> DataFrame:
     """keys, n, rho of rows where both are known; rho is null under `least` rows or for a constant.
 
-    Ranks within keys are windows; those of a whole table are counted by ranges, in no single task.
+    Ranks are counted by ranges of (keys, value), so that no key is one task's. The rows' keys and values are written once.
     """
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    if keys:
-        ranked = rows.select(*keys, average_rank("_x", *keys).alias("_x"), average_rank("_y", *keys).alias("_y"))
-    else:
-        own = lambda v: average_ranks(rows, v).withColumnRenamed("rank", f"{v}_rank")
-        ranked = rows.join(own("_x"), "_x").join(own("_y"), "_y").select(F.col("_x_rank").alias("_x"), F.col("_y_rank").alias("_y"))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("_x", "_y")).alias("rho"))
+    rows = checkpointed(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
+    ranked = with_average_ranks(rows, ["_x", "_y"], *keys)
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("_x_rank", "_y_rank")).alias("rho"))
 
 
 #: Places of the rule by which Student's t is integrated, and where its tail is cut.

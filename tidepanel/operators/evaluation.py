@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.statistics import draw, pearson, rank_decile, spearman, student_p
 from tidepanel.functions.windows import demeaned
+from tidepanel.operators.ranking import numbered
+from tidepanel.operators.replicates import replicate_rhos
 
 
 def within_rho_demeaned(df: DataFrame, x: str, y: str, key: str = "ticker") -> DataFrame:
@@ -44,24 +46,21 @@ def clustered_slope(df: DataFrame, y: str, x: str, a: str = "ticker", b: str = "
 
 def decile_report(df: DataFrame, score: str, label: str, id_: str, *keys: str) -> DataFrame:
     """keys, decile, n, mean_label by rank deciles of score, ties by id."""
-    w = Window.partitionBy(*keys)
-    rows = df.select(*keys, F.col(label).alias("_y"), rank_decile(F.row_number().over(w.orderBy(score, id_)), F.count("*").over(w)).alias("decile"))
+    rows = numbered(df.select(*keys, score, id_, F.col(label).alias("_y")), [score, id_], *keys).withColumn("decile", rank_decile(F.col("_at"), F.col("_of")))
     return rows.groupBy(*keys, "decile").agg(F.count("*").alias("n"), F.avg("_y").alias("mean_label"))
 
 
 def ranking(df: DataFrame, score: str, label: str, id_: str, *keys: str) -> DataFrame:
     """keys, spread of the top over the bottom decile's mean (of logs) and its exponential, rises between neighbours, rank
     correlation of decile means, and the share of the top decile by score that is in the top decile by label."""
-    deciles = decile_report(df, score, label, id_, *keys)
+    rows = numbered(df.select(*keys, score, label, id_), [score, id_], *keys)
+    rows = numbered(rows.withColumn("decile", rank_decile(F.col("_at"), F.col("_of"))).drop("_at", "_of"), [label, id_], *keys)
+    own = rank_decile(F.col("_at"), F.col("_of")) == 10
+    deciles = rows.groupBy(*keys, "decile").agg(F.count("*").alias("n"), F.avg(label).alias("mean_label"), F.avg(own.cast("double")).alias("precision"))
     w = Window.partitionBy(*keys).orderBy("decile")
     steps = deciles.withColumn("_prev", F.lag("mean_label").over(w))
-    shape = steps.groupBy(*keys).agg((F.max_by("mean_label", "decile") - F.min_by("mean_label", "decile")).alias("spread"), F.sum(F.when(F.col("mean_label") > F.col("_prev"), 1).otherwise(0)).alias("rises"))
-    all_ = Window.partitionBy(*keys)
-    place = lambda x: rank_decile(F.row_number().over(all_.orderBy(x, id_)), F.count("*").over(all_))
-    both = df.select(*keys, place(score).alias("_s"), place(label).alias("_l"))
-    hits = both.filter("_s = 10").groupBy(*keys).agg(F.avg((F.col("_l") == 10).cast("double")).alias("precision"))
-    out = shape.withColumn("multiple", F.exp("spread")).join(spearman(deciles, "decile", "mean_label", *keys).drop("n").withColumnRenamed("rho", "decile_rho"), list(keys))
-    return out.join(hits, list(keys), "left")
+    shape = steps.groupBy(*keys).agg((F.max_by("mean_label", "decile") - F.min_by("mean_label", "decile")).alias("spread"), F.sum(F.when(F.col("mean_label") > F.col("_prev"), 1).otherwise(0)).alias("rises"), F.max(F.when(F.col("decile") == 10, F.col("precision"))).alias("precision"))
+    return shape.withColumn("multiple", F.exp("spread")).join(spearman(deciles, "decile", "mean_label", *keys).drop("n").withColumnRenamed("rho", "decile_rho"), list(keys))
 
 
 def evaluate_axis(df: DataFrame, score: str, label: str, domain: str, key: str = "ticker") -> DataFrame:
@@ -101,7 +100,7 @@ def resampled(df: DataFrame, unit: str, reps: int, seed: int = 7) -> DataFrame:
 
 def bootstrap_rho(df: DataFrame, x: str, y: str, unit: str, reps: int, seed: int = 7) -> DataFrame:
     """low, high, reps of the Spearman over resamples of units."""
-    rho = spearman(resampled(df.select(unit, x, y), unit, reps, seed), x, y, "rep").filter("rho is not null")
+    rho = replicate_rhos(df, x, y, unit, reps, seed).filter("rho is not null")
     return rho.agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"), F.count("*").alias("reps"))
 
 
@@ -124,8 +123,7 @@ def _resampled_pearsons(df: DataFrame, a: str, b: str, y: str, unit: str, reps:
 def bootstrap_difference(df: DataFrame, a: str, b: str, y: str, unit: str, reps: int, kind: str = "spearman", seed: int = 7) -> DataFrame:
     """mean, low, high, p of the correlation of a with y less that of b, over resamples of units."""
     if kind == "spearman":
-        rows = resampled(df.select(unit, a, b, y), unit, reps, seed)
-        one = lambda s, n: spearman(rows, s, y, "rep").select("rep", F.col("rho").alias(n))
+        one = lambda s, n: replicate_rhos(df, s, y, unit, reps, seed).withColumnRenamed("rho", n)
         both = one(a, "_a").join(one(b, "_b"), "rep")
     else:
         both = _resampled_pearsons(df, a, b, y, unit, reps, seed)

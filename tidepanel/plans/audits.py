@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.statistics import rank_decile
 from tidepanel.operators import audits
-from tidepanel.operators.ranking import quantiles
+from tidepanel.operators.ranking import numbered, quantiles
 from tidepanel.plans.panel import PK, R, W
 from tidepanel.plans.registry import query
 from tidepanel.plans.texts import MACRO, NAMED, releases
@@ -56,8 +56,8 @@ def g7(spark, sf):
 
 @query("g8_decile_table", "SELECT lang, decile, count(*) AS n, avg(x) AS mean, quantile_cont(x, 0.5) AS median, exp(avg(ln(x + 1))) AS geometric FROM (SELECT lang, CAST(n_chars AS DOUBLE) AS x, CAST(greatest(1, floor((10 * (r - 1) + n - 2) / (n - 1))) AS BIGINT) AS decile FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM docs)) GROUP BY 1, 2", "docs", doubles="mean median geometric", digits=6)
 def g8(spark, sf):
-    w = Window.partitionBy("lang")
-    rows = docs(spark, sf).select("lang", F.col("n_chars").cast("double").alias("x"), rank_decile(F.row_number().over(w.orderBy("doc_id")), F.count("*").over(w)).alias("decile"))
+    placed = numbered(docs(spark, sf).select("lang", "doc_id", F.col("n_chars").cast("double").alias("x")), ["doc_id"], "lang")
+    rows = placed.select("lang", "x", rank_decile(F.col("_at"), F.col("_of")).alias("decile"))
     medians = quantiles(rows, "x", [0.5], "lang", "decile").select("lang", "decile", F.get("q", F.lit(0)).alias("median"))
     return rows.groupBy("lang", "decile").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.exp(F.avg(F.ln(F.col("x") + 1))).alias("geometric")).join(medians, ["lang", "decile"])
 

@@ -10,7 +10,7 @@ from tidepanel.functions.scalar import log_of, ratio
 from tidepanel.functions.statistics import rank_decile
 from tidepanel.functions.windows import demeaned, forward_mean, future_mean, rolling_mean, shifted
 from tidepanel.operators import panels
-from tidepanel.operators.ranking import quantiles
+from tidepanel.operators.ranking import numbered, quantiles
 from tidepanel.plans.registry import query
 from tidepanel.sources.tables import bars, bars_long, bars_xs, docs, valid_bars, with_split
 
@@ -198,9 +198,8 @@ def e17(spark, sf):
 
 @query("e18_rank_deciles", "SELECT doc_id, ticker, CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, floor((10 * (r - 1) + n - 2) / (n - 1))) END AS BIGINT) AS decile FROM (SELECT doc_id, ticker, row_number() OVER (PARTITION BY ticker ORDER BY n_chars, doc_id) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM docs)", "docs")
 def e18(spark, sf):
-    w = Window.partitionBy("ticker")
-    ranked = docs(spark, sf).select("doc_id", "ticker", F.row_number().over(w.orderBy("n_chars", "doc_id")).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.select("doc_id", "ticker", rank_decile(F.col("r"), F.col("n")).alias("decile"))
+    ranked = numbered(docs(spark, sf).select("doc_id", "ticker", "n_chars"), ["n_chars", "doc_id"], "ticker")
+    return ranked.select("doc_id", "ticker", rank_decile(F.col("_at"), F.col("_of")).alias("decile"))
 
 
 EDGES = "(SELECT ticker AS t, quantile_cont(CAST(n_chars AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM docs GROUP BY ticker)"
