@@ -106,7 +106,7 @@ def test_axes_recover_a_planted_direction(spark):
     rows = [(i, "abcd"[i % 4], "train", (v[i] + (np.arange(8) == 3) * 2 * s).tolist(), float(s)) for i, s in enumerate(rng.normal(size=400))]
     df = spark.createDataFrame(rows, "item_id long, ticker string, split string, vec array<double>, y double").cache()
     axes = [models.contrast_axis(df, "vec", "y"), models.logistic_axis(df, "vec", "y"), models.unit_axis(models.ridge(df, "vec", "y", 1.0)), models.oriented(df, "vec", -models.unit_axis(models.ridge(df, "vec", "y", 1.0)), "y")]
-    pairs = matching.matched_pairs(df.select(F.col("item_id").alias("id"), "ticker", "y"), "y", ["ticker"], lambda h, low: F.abs(F.col(f"{h}_id") - F.col(f"{low}_id")))
+    pairs = matching.matched_pairs(df.select(F.col("item_id").alias("id"), "ticker", "y"), "y", ["ticker"], ("id", 1.0))
     axes.append(models.first_direction(chunks.pair_deltas(pairs, df.select("item_id", "vec")), "delta"))
     for w in axes:
         assert st.spearman(models.score(df, "vec", w), "score", "y").first().rho > 0.7
@@ -148,7 +148,7 @@ def test_ranks_quantiles_and_ids_of_whole_tables(spark):
     df = spark.createDataFrame(rows, "k string, x int, i int").repartition(7)
     values = sorted(x for _, x, _ in rows if x is not None)
     want = {v: 1 + sum(u < v for u in values) + (values.count(v) - 1) / 2 for v in values}
-    assert {r.x: r["rank"] for r in ranking.average_ranks(df, "x").collect()} == want
+    assert {r.x: r.x_rank for r in ranking.with_average_ranks(df, ["x"]).filter("x is not null").collect()} == want
     shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
     for r in ranking.quantiles(df, "x", shares, "k").collect():
         assert np.allclose(r.q, np.quantile([x for k, x, _ in rows if x is not None and k == r.k], shares))
@@ -173,7 +173,7 @@ def test_nearest_dates_are_the_matched_pairs_of_days(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice("ab"), dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(40)), rng.randrange(30)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, ticker string, date date, y int")
-    by_pairs = matching.matched_pairs(df, "y", ["ticker"], lambda h, low: F.abs(F.datediff(f"{h}_date", f"{low}_date")))
+    by_pairs = matching.matched_pairs(df.withColumn("day", F.unix_date("date")), "y", ["ticker"], ("day", 1.0))
     near = sorted(map(tuple, matching.nearest_dates(df, "y", ["ticker"]).collect()))
     assert near == sorted(map(tuple, by_pairs.collect())) and len(near) > 40
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.estimators import parkinson
 from tidepanel.functions.scalar import log_shifted
 from tidepanel.operators.calendar import forward_session
-from tidepanel.operators.ranking import quantiles
+from tidepanel.operators.ranking import quantiles, running_least
 from tidepanel.sources.sinks import checkpointed
 
 
@@ -38,17 +40,38 @@ def _sides(df: DataFrame, score: str, high: float, low: float) -> tuple[DataFram
     return rows.filter(F.col(score) >= F.col("q")[1]).drop("q"), rows.filter(F.col(score) <= F.col("q")[0]).drop("q")
 
 
-def matched_pairs(df: DataFrame, score: str, keys: list[str], distance, id_: str = "id", high: float = 0.75, low: float = 0.25) -> DataFrame:
-    """high_id, low_id, distance: each row at or over the high quantile with the nearest at or under the low one.
+def matched_pairs(df: DataFrame, score: str, keys: list[str], step: tuple[str, float], size: tuple[Column, float] | None = None, flags: Callable[[], list[Column]] | None = None, id_: str = "id", high: float = 0.75, low: float = 0.25) -> DataFrame:
+    """high_id, low_id, distance: each row at or over the high quantile with the nearest at or under the low one, of its keys.
 
-    distance is a function of two prefixes giving a column; ties go to the smaller low id. Rows meet within keys only,
-    each high one with each low one, as an unknown distance asks; nearest_dates() needs no pairs.
+    The distance adds a whole-numbered column's difference (step: a day number, say) and a size's, each times its weight, and
+    the mean difference of the flags, which are told only of rows at either end; ties go to the smaller low id. No pairs are
+    made: of low rows with one pattern of flags, the nearest in step and size that lie on one side in both is the least of a
+    sum, so a binary tree over the steps leaves running minima by size. The work is that of a sort of rows x patterns x
+    levels. Rows without a step, size or key match nothing.
     """
-    highs, lows = _sides(df, score, high, low)
-    side = lambda p, rows: rows.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys))
-    pairs = side("h", highs).join(side("l", lows), keys)
-    pairs = pairs.select(F.col(f"h_{id_}").alias("high_id"), F.col(f"l_{id_}").alias("low_id"), distance("h", "l").alias("distance"))
-    best = pairs.groupBy("high_id").agg(F.min(F.struct("distance", "low_id")).alias("b"))
+    (a, wa), (b, wb) = step, size or (F.lit(0.0), 0.0)
+    told = F.array(*(c.cast("int") for c in flags())) if flags else F.array().cast("array<int>")
+    highs, lows = (rows.select(*keys, F.col(id_).alias("_id"), F.col(a).cast("long").alias("_a"), b.cast("double").alias("_b"), told.alias("_f")).dropna(subset=[*keys, "_a", "_b"]) for rows in _sides(df, score, high, low))
+    lows, highs = checkpointed(lows), checkpointed(highs)
+    first, last = lows.select("_a").unionByName(highs.select("_a")).agg(F.min("_a"), F.max("_a")).first()
+    if first is None:
+        return highs.select(F.col("_id").alias("high_id"), F.col("_id").alias("low_id"), F.lit(0.0).alias("distance")).filter("false")
+    levels = F.sequence(F.lit(0), F.lit((last - first + 1).bit_length() - 1))
+    ways = F.explode(F.array(*(F.struct(F.lit(x).alias("_down"), F.lit(y).alias("_small")) for x in (False, True) for y in (False, True))))
+    turned = lambda rows: rows.select("*", ways.alias("_w")).select("*", "_w.*").drop("_w").withColumn("_i", F.when(F.col("_down"), last - F.col("_a")).otherwise(F.col("_a") - first)).withColumn("_s", F.when(F.col("_small"), -F.col("_b")).otherwise(F.col("_b")))
+    # a low row is in one node of each level; the steps up to a high row's are one node for each bit of their number
+    nodes = turned(lows).select("*", F.explode(levels).alias("_level")).withColumn("_node", F.expr("shiftright(_i, _level)"))
+    patterns = lows.select(*keys, F.col("_f").alias("_g")).distinct()
+    apart = F.aggregate(F.zip_with("_f", "_g", lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x) / F.greatest(F.size("_f"), F.lit(1))
+    asked = turned(highs.join(patterns, keys).withColumn("_far", apart)).select("*", F.explode(F.filter(levels, lambda k: F.call_function("getbit", F.col("_i") + 1, k) == 1)).alias("_level"))
+    asked = asked.withColumn("_node", F.expr("shiftright(_i + 1, _level)") - 1).drop("_f").withColumnRenamed("_g", "_f")
+    spots = [*keys, "_f", "_down", "_small", "_level", "_node"]
+    near = F.struct((-(F.col("_i") * F.lit(float(wa)) + F.col("_s") * F.lit(float(wb)))).alias("c"), F.col("_id").alias("l"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    both = nodes.select(*spots, "_s", F.lit(0).alias("_kind"), near.alias("_near")).unionByName(asked.select(*spots, "_s", F.lit(1).alias("_kind"), F.struct("_id", "_a", "_b", "_far").alias("_ask")), allowMissingColumns=True)
+    spot = F.concat_ws("/", F.concat_ws("", "_f"), "_down", "_small", "_level", "_node")  # one column to sort by
+    found = running_least(both.withColumn("_spot", spot).drop(*spots[len(keys) :]), "_near", [*keys, "_spot"], ["_s", "_kind"]).filter("_kind = 1 and _least is not null")
+    distance = F.abs(F.col("_ask._a") - F.col("_least.a")) * F.lit(float(wa)) + F.col("_ask._far") + F.abs(F.col("_ask._b") - F.col("_least.b")) * F.lit(float(wb))
+    best = found.groupBy(F.col("_ask._id").alias("high_id")).agg(F.min(F.struct(distance.alias("distance"), F.col("_least.l").alias("low_id"))).alias("b"))
     return best.select("high_id", F.col("b.low_id").alias("low_id"), F.col("b.distance").alias("distance"))
 
 

@@ -41,6 +41,18 @@ def numbered(df: DataFrame, order: list[str], *keys: str, name: str = "_at", of:
     return out.withColumn(name, (F.col("_first") + 1).cast("long")).withColumn(of, F.col("_all").cast("long")).drop("_first", "_all", "_one")
 
 
+def running_least(df: DataFrame, value: str, keys: list[str], order: list[str], name: str = "_least") -> DataFrame:
+    """df with the least known value over the rows of its keys up to it, in order, for keys without nulls.
+
+    As in the ranks, ranges of (keys, order) run apart and take the least of those before.
+    """
+    ranged = _ranged(df, *keys, *order)
+    ends = ranged.groupBy("_part", *keys).agg(F.min(value).alias("_end"))  # a row for each range and key
+    before = ends.select("_part", *keys, F.min("_end").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.min(value).over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn("_own", own).join(before, ["_part", *keys]).withColumn(name, F.least("_own", "_before")).drop("_own", "_before", "_part")
+
+
 def cumulated(df: DataFrame, x: str, *keys: str) -> DataFrame:
     """keys, x, n, first, all: each known value of x with its rows, the number of rows below it and of all, within keys."""
     values = df.filter(col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("n"))

@@ -62,14 +62,8 @@ FLAGS = ", ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INTEGER)" for p i
 @query("f7_matched_pairs", f"WITH e AS (SELECT *, [{FLAGS}] AS flags FROM docs) SELECT high_id, arg_min(low_id, {{'d': dist, 'l': low_id}}) AS low_id, min(dist) AS distance FROM (SELECT h.doc_id AS high_id, l.doc_id AS low_id, abs(h.date - l.date) / 365.0 + list_avg(list_transform(range(1, 8), lambda i: CAST(abs(h.flags[i] - l.flags[i]) AS DOUBLE))) + 0.25 * abs(ln(h.n_chars + 1) - ln(l.n_chars + 1)) AS dist FROM e h JOIN e l ON h.ticker = l.ticker WHERE h.n_chars >= (SELECT quantile_cont(n_chars, 0.75) FROM docs) AND l.n_chars <= (SELECT quantile_cont(n_chars, 0.25) FROM docs)) GROUP BY high_id", "docs", doubles="distance")
 def f7(spark, sf):
     """Distance: years apart, mean difference of the event flags, and a quarter of the difference in log size."""
-    rows = docs(spark, sf).select(F.col("doc_id").alias("id"), "ticker", "date", "n_chars", F.array(*event_flags("text")).alias("flags"))
-
-    def distance(h, low):
-        days = F.abs(F.datediff(f"{h}_date", f"{low}_date")) / F.lit(365.0)
-        events = F.aggregate(F.zip_with(f"{h}_flags", f"{low}_flags", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x) / F.lit(float(len(EVENT_PATTERNS)))
-        return days + events + 0.25 * F.abs(F.ln(F.col(f"{h}_n_chars") + 1) - F.ln(F.col(f"{low}_n_chars") + 1))
-
-    return matching.matched_pairs(rows, "n_chars", ["ticker"], distance)
+    rows = docs(spark, sf).select(F.col("doc_id").alias("id"), "ticker", F.unix_date("date").alias("day"), "n_chars", "text")
+    return matching.matched_pairs(rows, "n_chars", ["ticker"], ("day", 1 / 365), (F.ln(F.col("n_chars") + 1), 0.25), lambda: event_flags("text"))
 
 
 _TOKENS = "list_distinct(regexp_extract_all(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[a-z0-9]+'))"
