@@ -89,7 +89,8 @@ class Encoder:
         runs = [runs_of(t) for t in texts]
         distinct = set().union(*runs)
         self.fill(distinct)
-        own = {r: self._known(r) for r in distinct}
+        warm, recent = self.warm.get, self.recent.get
+        own = {r: warm(r) or recent(r) for r in distinct}
         return [b"".join(map(own.__getitem__, r)) for r in runs]
 
 

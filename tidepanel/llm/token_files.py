@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.checksums import joined
-from tidepanel.llm.common import session, text_of
+from tidepanel.llm.common import durable, session, text_of
 from tidepanel.llm.pieces import encoder
 
 #: Ids of a block.
 CHUNK = 65_536
+#: Characters of texts that are tokenised together: what they share is looked up once.
+TOGETHER = 4_000_000
 LEVEL = 3
 _FORMAT = "shard int, chunk int, first long, n_ids int, unit string, width int, crc32 long, planes array<binary>, sizes array<int>"
 _PART = "doc_id {kind}, nth: long, start: long, at: int, n: int, begins: boolean, ends: boolean"
@@ -67,9 +69,21 @@ def _chunks(tokenizer: str, end_id: int, chunk: int, unit: str):
             docs.clear()
             return pa.RecordBatch.from_arrays(columns, names=["shard", "chunk", "first", "n_ids", "unit", "width", "crc32", "planes", "sizes", "docs"])
 
-        for batch in batches:
-            kind, shard = batch.schema.types[0], batch.column(2)[0].as_py() if len(batch) else shard
-            for doc_id, raw in zip(batch.column(0).to_pylist(), known.texts(batch.column(1).to_pylist()), strict=True):
+        def tokenised() -> Iterator[tuple]:
+            nonlocal kind, shard
+            ids, texts, size = [], [], 0
+            for batch in batches:
+                kind, shard = batch.schema.types[0], batch.column(2)[0].as_py() if len(batch) else shard
+                ids += batch.column(0).to_pylist()
+                texts += batch.column(1).to_pylist()
+                size += batch.column(1).nbytes
+                if size >= TOGETHER:
+                    yield ids, known.texts(texts)
+                    ids, texts, size = [], [], 0
+            yield ids, known.texts(texts)
+
+        for ids, raws in tokenised():
+            for doc_id, raw in zip(ids, raws, strict=True):
                 raw += end
                 start, done = first + len(held) // 4, 0
                 while done < len(raw):
@@ -134,7 +148,7 @@ def ids_between(spark: SparkSession, path: str, first: int, last: int) -> DataFr
 def documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids_le, little-endian) of each document.
 
-    Chunks are decoded where they are read. Only documents that lie in several chunks meet again, by the CRCs of their
+    Chunks are decoded once, where they are read, and the parts of documents written. Only documents that lie in several chunks meet again, by the CRCs of their
     parts (and their ids, where those are asked for).
     """
     chunks = session(spark).read.parquet(f"{path}/chunks")
@@ -164,7 +178,7 @@ def documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), batch.column("start"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), *ids], names=["doc_id", "shard", "start", "n_tokens", "ids_crc32", *["ids_le"] * with_ids])
 
     more = ", ids_le binary" * with_ids
-    parts = chunks.select("shard", "chunk", "n_ids", "unit", "crc32", "planes", "docs").mapInArrow(run, f"doc_id {kind}, shard int, nth long, start long, chunk int, begins boolean, ends boolean, n_tokens long, ids_crc32 long{more}")
+    parts = durable(chunks.select("shard", "chunk", "n_ids", "unit", "crc32", "planes", "docs").mapInArrow(run, f"doc_id {kind}, shard int, nth long, start long, chunk int, begins boolean, ends boolean, n_tokens long, ids_crc32 long{more}"))
     columns = ["doc_id", "shard", "start", "n_tokens", "ids_crc32", *["ids_le"] * with_ids]
     several = parts.filter("not (begins and ends)").groupBy("shard", "nth", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("chunk", "n_tokens", "ids_crc32", *["ids_le"] * with_ids))).alias("parts"))
     both = parts.filter("begins and ends").select(*columns).unionByName(several.mapInArrow(composed, f"doc_id {kind}, shard int, start long, n_tokens long, ids_crc32 long{more}"))
