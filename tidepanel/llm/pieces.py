@@ -13,7 +13,7 @@ import numpy as np
 WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 RUN = re.compile(f"[^{WHITE}]+")
 #: Entries kept for good and entries kept until as many are gathered: a bound on a worker's memory, not on its input.
-WARM, RECENT = 350_000, 200_000
+WARM, RECENT = 500_000, 200_000
 
 
 #: What str.split() takes for white space and WHITE doesn't.
