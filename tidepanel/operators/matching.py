@@ -95,8 +95,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.92, days: int = 7) ->
     A document is a duplicate if an earlier kept one of its ticker, at most days back, has a token-set Jaccard of threshold.
     Candidates share one of their rarest tokens (prefix filter: exact for Jaccard); then rounds settle the order: a
     document goes if an earlier neighbour is kept and stays if all of them are gone. Of documents with one token set and
-    one date only the first can stay (what drops it drops the others too), so copies aren't expanded into pairs. A
-    document without tokens is never a duplicate.
+    one date only the first can stay (what drops it drops the others too), so copies aren't expanded into pairs; a text of
+    many dates meets those of its own span of days and of the one before. A document without tokens is never a duplicate.
     """
     tokens = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit("[a-z0-9]+"), 0))
     rows = checkpointed(docs.select("doc_id", "ticker", "date", tokens.alias("tokens"), F.xxhash64(F.array_sort(tokens)).alias("same")))
@@ -117,7 +117,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.92, days: int = 7) ->
     other = firsts.select("ticker", F.col("doc_id").alias("prior"), F.col("date").alias("prior_date"), F.col("same").alias("y"))
     gap = F.datediff("date", "prior_date")
     earlier = (gap > 0) | ((gap == 0) & (F.col("prior") < F.col("doc_id")))
-    edges = checkpointed(one.join(alike, ["ticker", "x"]).join(other, ["ticker", "y"]).filter(earlier & (gap <= days)).select("doc_id", "prior"))
+    width = max(1, days)  # a prior document is in a date's span of days or in the one before
+    span = lambda d: F.floor(F.unix_date(F.to_date(d)) / width)
+    spans = one.join(alike, ["ticker", "x"]).withColumn("_span", F.explode(F.array(span("date"), span("date") - 1)))
+    edges = checkpointed(spans.join(other.withColumn("_span", span("prior_date")), ["ticker", "y", "_span"]).filter(earlier & (gap <= days)).select("doc_id", "prior"))
     rest = rows.join(firsts.select("doc_id"), "doc_id", "left_anti").select("doc_id", (F.size("tokens") > 0).alias("duplicate"))
     state = firsts.select("doc_id").join(edges.select("doc_id").distinct().withColumn("open", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(False)).cast("boolean").alias("gone"))
     while True:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -13,20 +12,23 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import vectors
 from tidepanel.functions.statistics import pearson, qlike, spearman
-from tidepanel.operators.audits import or_all, top_one
+from tidepanel.operators.gram import products
 from tidepanel.operators.ranking import quantiles
 
 #: Column lists of forecast models; variance terms carry their own names.
 FEATURE_SETS = {
     "ar5": [f"lag{k}" for k in range(1, 6)],
     "har": ["har_d", "har_w", "har_m"],
-    "harx": ["har_d", "har_w", "har_m", "x_abs_return", "x_negative_return", "x_momentum20"],
 }
+#: What HAR-X adds to HAR: the ticker's own controls, and the market's HAR terms.
+CONTROLS = {"news": ["x_abs_return", "x_negative_return", "x_momentum20"], "filing": ["x_abs_return", "x_negative_return", "x_momentum20", "x_log_volume"]}
+MARKET_TERMS = [f"market_{c}" for c in FEATURE_SETS["har"]]
 
 
-def feature_sets(midas: str | None) -> dict[str, list[str]]:
-    """The models with their columns: the fixed ones and, if one was selected, the MIDAS term."""
-    return FEATURE_SETS | ({"midas": [midas]} if midas else {})
+def feature_sets(midas: str | None, domain: str = "news") -> dict[str, list[str]]:
+    """The models of a domain with their columns: the fixed ones and, if one was selected, the MIDAS term."""
+    harx = {"harx": [*FEATURE_SETS["har"], *CONTROLS[domain], *MARKET_TERMS]}
+    return FEATURE_SETS | harx | ({"midas": [midas]} if midas else {})
 
 
 def moments(df: DataFrame, features: list[str], target: str, *keys: str) -> DataFrame:
@@ -149,74 +151,19 @@ def logistic_axis(df: DataFrame, vec: str, target: str, penalty: float = 1e-4, w
     return unit_axis(np.array(model.coefficients.toArray()))
 
 
-def products(df: DataFrame, vec: Column) -> np.ndarray:
-    """The sum over rows of a vector's outer product with itself: summed up in each task first, k x k numbers come back."""
-
-    def run(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                total = rows.T @ rows + (0 if total is None else total)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "row"])
-
-    parts = df.select(vec.cast("array<double>").alias("v")).mapInArrow(run, "i int, row array<double>")
-    cells = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    k = 1 + max((c["i"] for c in cells), default=-1)
-    out = np.zeros((k, k))
-    for c in cells:
-        out[c["i"], c["j"]] = c["x"]
-    return out
-
-
 def gram(df: DataFrame, vec: str, targets: list[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """n, centred Gram matrix of vec, and centred products with each target: one distributed pass for all alphas."""
-    whole = products(df, F.concat(F.col(vec), F.array(*(F.col(t).cast("double") for t in targets)), F.array(F.lit(1.0))))
-    n = whole[-1, -1]
+    found = products(df, F.concat(F.col(vec), F.array(*(F.col(t).cast("double") for t in targets)), F.array(F.lit(1.0))))
+    whole = found[()] if found else np.zeros((len(targets) + 1,) * 2)
+    n = max(whole[-1, -1], 1.0)
     centred = whole[:-1, :-1] - np.outer(whole[-1, :-1], whole[-1, :-1]) / n
     k = centred.shape[0] - len(targets)
-    return int(n), centred[:k, :k], centred[:k, k:], whole[-1, :-1] / n
-
-
-def sweep(df: DataFrame, vec: str, layer: str, targets: list[str], alphas: list[float], domain: str) -> DataFrame:
-    """layer, method, target, alpha, split, domain, n, rho of axes fitted on training rows, by mean contrast (alpha null) and
-    by ridge: a Gram pass for each layer serves all targets and alphas, and all its axes are scored in one pass.
-    """
-    spark, out = df.sparkSession, None
-    for r in sorted(x[layer] for x in df.select(layer).distinct().collect()):
-        own = df.filter(F.col(layer) == r)
-        train = own.filter("split = 'train'")
-        _, g, c, _ = gram(train, vec, targets)
-        axes = [("ridge", t, a, [float(v) for v in unit_axis(np.linalg.solve(g + a * np.eye(len(g)), c[:, i]))]) for i, t in enumerate(targets) for a in alphas]
-        axes += [("contrast", t, None, [float(v) for v in contrast_axis(train, vec, t)]) for t in targets]
-        cand = F.broadcast(spark.createDataFrame(axes, "method string, target string, alpha double, axis array<double>"))
-        label = F.when(F.lit(False), F.lit(0.0))
-        for t in targets:
-            label = label.when(F.col("target") == t, F.col(t).cast("double"))
-        keys = ["method", "target", "alpha", "split", domain]
-        scored = own.join(cand).select(F.lit(r).alias(layer), *keys, vectors.dot(vec, "axis").alias("s"), label.alias("y"))
-        one = spearman(scored, "s", "y", layer, *keys)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def select_axes(sweep_: DataFrame, layer: str, domain: str, names: tuple[str, str], least: tuple[float, float] = (0.05, 0.075)) -> DataFrame:
-    """The axis of best mean validation rho for each target, of those that rise in both domains if any does.
-
-    gate: both domains' rho are at least the first number, and their mean the second.
-    """
-    val = sweep_.filter("split = 'val'").groupBy("target", layer, "method", "alpha").agg(*(F.max(F.when(F.col(domain) == d, F.col("rho"))).alias(f"rho_{d}") for d in names))
-    both = [F.coalesce(f"rho_{d}", F.lit(-1.0)) for d in names]
-    val = val.withColumn("macro", (both[0] + both[1]) / 2)
-    eligible = or_all(val, (both[0] > 0) & (both[1] > 0), "target")
-    best = top_one(eligible, ["target"], F.desc("macro"), layer, "method", "alpha")
-    return best.withColumn("gate", (both[0] >= least[0]) & (both[1] >= least[0]) & (F.col("macro") >= least[1]))
+    return int(whole[-1, -1]), centred[:k, :k], centred[:k, k:], whole[-1, :-1] / n
 
 
 def first_direction(df: DataFrame, vec: str) -> np.ndarray:
     """First right singular vector of the rows, uncentred, signed by their mean: the products' first eigenvector."""
-    v = np.linalg.eigh(products(df, F.col(vec)))[1][:, -1]
+    v = np.linalg.eigh(products(df, F.col(vec))[()])[1][:, -1]
     mean = np.array(vectors.mean_vector(df, vec).first()["mean"])
     return unit_axis(v if v @ mean >= 0 else -v)
 

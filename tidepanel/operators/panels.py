@@ -45,6 +45,13 @@ def market_controls(df: DataFrame, origin: str = "end_of_day") -> DataFrame:
     return df.select("*", F.abs(r).alias("x_abs_return"), F.when(r.isNotNull(), F.least(r, F.lit(0.0))).alias("x_negative_return"), momentum.alias("x_momentum20"), F.ln(volume).alias("x_log_volume")).drop("_r")
 
 
+def market_har(df: DataFrame, benchmark: str | None = None) -> DataFrame:
+    """df with market_har_d, market_har_w and market_har_m: the date's means over tickers, or the benchmark ticker's own terms."""
+    terms = ("har_d", "har_w", "har_m")
+    rows = df.groupBy("date").agg(*(F.avg(c).alias(f"market_{c}") for c in terms)) if benchmark is None else df.filter(F.col("ticker") == benchmark).select("date", *(F.col(c).alias(f"market_{c}") for c in terms))
+    return df.join(rows, "date", "left")
+
+
 def lag_array(x: str, k: int, by=None, skip: int = 0) -> Column:
     """The last k values, newest first, nulls in place; null in front of the first row."""
     boxed = F.collect_list(F.struct(F.col(x).alias("v"))).over((by or by_ticker()).rowsBetween(-(k - 1) - skip, -skip))

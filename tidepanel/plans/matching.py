@@ -13,11 +13,11 @@ from tidepanel.plans.registry import query
 from tidepanel.sources.tables import bars, bars_xs, docs, read, valid_bars, vectors, with_split
 
 
-@query("f1_panel_join_scores", "SELECT b.ticker, b.date, b.close, s.score FROM bars b JOIN (SELECT event_type AS ticker, date_trunc('hour', ts) AS date, max(user_id) AS score FROM events WHERE value >= 25 GROUP BY 1, 2) s ON b.ticker = s.ticker AND b.date = s.date", "bars", doubles="close")
+@query("f1_panel_join_scores", "SELECT b.ticker, b.date, b.close, s.score FROM bars b JOIN (SELECT event_type AS ticker, date_trunc('hour', ts) AS date, max(user_id) AS score FROM events GROUP BY 1, 2) s ON b.ticker = s.ticker AND b.date = s.date", "bars", doubles="close")
 def f1(spark, sf):
     from tidepanel.sources.tables import bucket
 
-    scores = read(spark, sf, "events").filter("value >= 25").groupBy(F.col("event_type").alias("ticker"), bucket("hour").alias("date")).agg(F.max("user_id").alias("score"))
+    scores = read(spark, sf, "events").groupBy(F.col("event_type").alias("ticker"), bucket("hour").alias("date")).agg(F.max("user_id").alias("score"))
     return bars(spark, sf).select("ticker", "date", "close").join(scores, ["ticker", "date"])
 
 

@@ -83,17 +83,17 @@ def e4(spark, sf):
     return _pk(spark, sf).select("ticker", "date", future_mean("pk", 5).alias("h5"))
 
 
-def _har_sql(skip: int, weekly: int, monthly: int, start: int) -> str:
+def har_sql(skip: int, weekly: int, monthly: int, start: int, source: str = f"SELECT ticker, date, {PK} AS pk FROM valid") -> str:
     floor = lambda x: f"CASE WHEN ({x}) IS NOT NULL THEN ln(greatest(({x}), 1e-10)) END"
-    return f"SELECT ticker, date, {floor(f'avg(pk) {frame(-skip, -skip)}')} AS har_d, {floor(mean_if('pk', -4 - skip, -skip, weekly))} AS har_w, {floor(mean_if('pk', -21 - skip, -skip, monthly))} AS har_m, {mean_if('pk', start, start, 1)} AS target_h1, {mean_if('pk', start, start + 4, 5)} AS target_h5 FROM (SELECT ticker, date, {PK} AS pk FROM valid)"
+    return f"SELECT ticker, date, {floor(f'avg(pk) {frame(-skip, -skip)}')} AS har_d, {floor(mean_if('pk', -4 - skip, -skip, weekly))} AS har_w, {floor(mean_if('pk', -21 - skip, -skip, monthly))} AS har_m, {mean_if('pk', start, start, 1)} AS target_h1, {mean_if('pk', start, start + 4, 5)} AS target_h5 FROM ({source})"
 
 
-@query("e5_har_end_of_day", _har_sql(0, 3, 10, 1), "valid", doubles="har_d har_w har_m target_h1 target_h5")
+@query("e5_har_end_of_day", har_sql(0, 3, 10, 1), "valid", doubles="har_d har_w har_m target_h1 target_h5")
 def e5a(spark, sf):
     return panels.har_features(_pk(spark, sf), "pk").drop("pk")
 
 
-@query("e5_har_session_open", _har_sql(1, 5, 22, 0), "valid", doubles="har_d har_w har_m target_h1 target_h5")
+@query("e5_har_session_open", har_sql(1, 5, 22, 0), "valid", doubles="har_d har_w har_m target_h1 target_h5")
 def e5b(spark, sf):
     return panels.har_features(_pk(spark, sf), "pk", "session_open").drop("pk")
 
@@ -133,17 +133,17 @@ def e9(spark, sf):
 
 
 #: The terms' weights, each list once.
-_WEIGHTS = "(SELECT " + ", ".join(f"{_weights(k, t)} AS w{k}_{t:.0f}" for k in panels.MIDAS_LAGS for t in panels.MIDAS_THETAS) + ")"
+WEIGHTS = "(SELECT " + ", ".join(f"{_weights(k, t)} AS w{k}_{t:.0f}" for k in panels.MIDAS_LAGS for t in panels.MIDAS_THETAS) + ")"
 
 
-def _midas(k: int, theta: float) -> str:
+def midas_sql(k: int, theta: float) -> str:
     return f"CASE WHEN len(list_filter(lags[1:{k}], lambda x: x > 0)) = {k} THEN ln(list_dot_product(list_transform(lags[1:{k}], lambda x: coalesce(x, 0)), w{k}_{theta:.0f})) END"
 
 
 GRID = [(k, t) for k in panels.MIDAS_LAGS for t in panels.MIDAS_THETAS]
 
 
-@query("e10_midas_features", f"SELECT ticker, date, {', '.join(f'{_midas(k, t)} AS k{k}_t{t:.0f}' for k, t in GRID)} FROM {LAG_ROWS}, {_WEIGHTS}", "valid", doubles=tuple(f"k{k}_t{t:.0f}" for k, t in GRID))
+@query("e10_midas_features", f"SELECT ticker, date, {', '.join(f'{midas_sql(k, t)} AS k{k}_t{t:.0f}' for k, t in GRID)} FROM {LAG_ROWS}, {WEIGHTS}", "valid", doubles=tuple(f"k{k}_t{t:.0f}" for k, t in GRID))
 def e10(spark, sf):
     lags = _pk(spark, sf).select("ticker", "date", panels.lag_array("pk", 80).alias("lags"))
     return lags.select("ticker", "date", *(panels.midas_term("lags", k, t).alias(f"k{k}_t{t:.0f}") for k, t in GRID))
@@ -167,7 +167,7 @@ def e13(spark, sf):
     return bars_xs(spark, sf).select("ticker", "date", F.avg("close").over(Window.partitionBy("date")).alias("market"), demeaned("close", "date").alias("adjusted"))
 
 
-@query("e14_benchmark_features", f"SELECT v.ticker, v.date, h.har_d AS bench_d, h.har_w AS bench_w FROM valid v LEFT JOIN (SELECT * FROM ({_har_sql(0, 3, 10, 1)}) WHERE ticker = 'click') h ON v.date = h.date", "valid", doubles="bench_d bench_w")
+@query("e14_benchmark_features", f"SELECT v.ticker, v.date, h.har_d AS bench_d, h.har_w AS bench_w FROM valid v LEFT JOIN (SELECT * FROM ({har_sql(0, 3, 10, 1)}) WHERE ticker = 'click') h ON v.date = h.date", "valid", doubles="bench_d bench_w")
 def e14(spark, sf):
     pk = _pk(spark, sf)
     bench = panels.har_features(pk.filter("ticker = 'click'"), "pk").select("date", F.col("har_d").alias("bench_d"), F.col("har_w").alias("bench_w"))

@@ -70,11 +70,30 @@ def a7(spark, sf):
     return planned.join(seen, ["user_id", "day"], "left_anti")
 
 
-@query("a8_collection_summary", "SELECT coalesce(grp, 'total') AS grp, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS rows, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT *, CASE WHEN lang IN ('en', 'de') THEN lang || '/' || source ELSE lang END AS grp FROM documents) GROUP BY ROLLUP (grp)")
+#: Events of a kind and a day that share an envelope, about.
+PACKED = 500
+_PARTS = f"(SELECT greatest(1, count(*) // {150 * PACKED}) FROM events)"
+
+
+def stored(spark, sf) -> str:
+    """The events as gzip files of one envelope each, in folders by kind and day; returns the path."""
+    events = read(spark, sf, "events")
+    parts = max(1, events.count() // (150 * PACKED))
+    packed = events.groupBy(F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("event_id") % parts).alias("part")).agg(F.collect_list(F.struct("event_id", "value")).alias("data"), F.sum(F.octet_length("props")).alias("size"))
+    meta = F.struct(F.col("kind").alias("endpoint"), F.lit("").alias("retrieved_at_utc"), F.size("data").cast("long").alias("response_count"), F.col("size").alias("downloaded_bytes"))
+    return sinks.lines(packed.select("kind", "day", F.to_json(F.struct(meta.alias("_meta"), "data")).alias("value")), "gzip", ("kind", "day"), True)
+
+
+@query("a2_scan_envelope_files", "SELECT event_type AS endpoint, event_id, value FROM events", doubles="value")
+def a2_files(spark, sf):
+    """Envelopes of one object a file, read again."""
+    return envelopes.read_envelopes(spark, stored(spark, sf), "event_id: bigint, value: double").select("endpoint", "event_id", "value")
+
+
+@query("a8_collection_summary", f"SELECT coalesce(grp, 'total') AS grp, count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS downloaded_bytes FROM (SELECT CASE WHEN event_type IN ('click', 'purchase') THEN event_type || '/' || strftime(ts, '%Y-%m-%d') ELSE event_type END AS grp, count(*) AS n, sum(strlen(props)) AS bytes FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d'), event_id % {_PARTS}, grp) GROUP BY ROLLUP (grp)")
 def a8(spark, sf):
-    """Files, rows and bytes by the first part of a path, or two parts for some roots, and in total."""
-    d = read(spark, sf, "documents").withColumn("grp", F.when(F.col("lang").isin("en", "de"), F.concat_ws("/", "lang", "source")).otherwise(F.col("lang")))
-    return d.rollup("grp").agg(F.count("*").alias("files"), F.sum("n_chars").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).withColumn("grp", F.coalesce("grp", F.lit("total")))
+    """Files, rows and bytes of a written folder by the first part of a path, or two parts for some roots, and in total."""
+    return envelopes.collection_summary(spark, stored(spark, sf), ("click", "purchase")).drop("stored_bytes")
 
 
 @query("a9_response_fingerprint", "SELECT page_id, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS bytes, CAST(len(string_split(html, '<')) - 1 AS BIGINT) AS n FROM pages")

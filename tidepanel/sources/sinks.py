@@ -26,10 +26,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def lines(df: DataFrame, compression: str = "none") -> str:
-    """df, one string column, as text files; returns the path."""
+def lines(df: DataFrame, compression: str = "none", by: tuple[str, ...] = (), each: bool = False) -> str:
+    """df, one string column besides those of by, as text files in folders of by; each: every row is a file. Returns the path."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/text-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).text(path)
+    out = df.write.option("compression", compression).option("maxRecordsPerFile", 1 if each else 0)
+    (out.partitionBy(*by) if by else out).text(path)
     return path
 
 
