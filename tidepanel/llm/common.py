@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of whole texts that a Python worker holds at once.
 BATCH_ROWS = 128
+#: Rows of a rule list that goes to all tasks.
+SMALL = 50_000
 #: The white space that the word-based contracts name.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,9 +41,16 @@ def session(spark: SparkSession) -> SparkSession:
         sc.addPyFile(packed_up())
         _SHIPPED.add(sc.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:  # else files are cut by the cores there are at the time
+        spark.conf.set("spark.sql.files.minPartitionNum", str(sc.defaultParallelism))
     return spark
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, of rows rows, with a hint to broadcast it if they are at most SMALL; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,8 +85,9 @@ def pinned(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """df with a number for each row, so that repeated rows and repeated or null ids keep results of their own.
 
-    The number is the row's place in the scan; what isn't a scan of files is written to a table first (pinned), so that
-    each evaluation numbers alike.
+    The number is the row's place in the scan, and session() fixes into how many parts files are cut, so that each
+    evaluation numbers alike though executors come and go; what isn't a scan of files is written to a table first (pinned).
+    Numbers are good within an application, not beyond.
     """
     return pinned(df).withColumn(name, F.monotonically_increasing_id())
 

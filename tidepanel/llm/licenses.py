@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import ascii_lower, durable, numbered, text_of
+from tidepanel.llm.common import ascii_lower, durable, numbered, small, text_of
 
 #: Fixed phrases of the contract, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -69,49 +69,48 @@ def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, thresh
     """row, block, label, score: blocks of docs (row, text) that hold at least threshold of a template's words.
 
     Blocks are the lines, from 0, and for each template windows of words, -1 - k for the k-th: twice as wide as the template
-    and overlapping by half, so that a notice that is wrapped over lines lies whole in one. Only documents that hold enough
-    of a template's words at all are cut into its windows.
-
-    Distinct words of a template are ordered by the number of documents that have them, rarest first, counted over all
-    documents. A block meets a template only through the template's prefix, the first n - need + 1 words, by a join on the
-    word; a pair goes on if the block has words enough (length filter) and if the words after the meeting place suffice
-    on both sides (positional filter); what is left is counted out. The template side has a row for each prefix word and
-    is broadcast: its size is that of the template list.
+    and overlapping by half, so that a notice that is wrapped over lines lies whole in one. Templates of one label are told
+    apart; a block that several of them match has a row for each. A null text has no blocks; repeated rows (by row) are
+    one's own.
+
+    Distinct words of the templates are ordered by the number of documents that have them, rarest first, counted over all
+    documents. A document, and then each line of it, meets a template only through the template's prefix, the first
+    n - need + 1 words, by a join on the word; a pair goes on if there are words enough (length filter) and if the words
+    after the meeting place suffice on both sides (positional filter); what is left is counted out, in lines and in windows.
     """
     spark = docs.sparkSession
-    sets = {t.label: sorted(set(t.text.split())) for t in templates}
-    vocabulary = F.array(*map(F.lit, sorted(set().union(*sets.values()))))
-    known = F.array_intersect(words_of(F.col("text")), vocabulary)
-    seen = {r["word"]: r["n"] for r in docs.select(F.explode(known).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row for each template word at most
-    order = sorted(set().union(*sets.values()), key=lambda w: (seen.get(w, 0), w))
+    sets = [sorted(set(t.text.split())) for t in templates]
+    words = docs.select("row", "text", words_of(F.col("text")).alias("words"))
+    vocabulary = sorted(set().union(*sets))
+    counts = words.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    seen = {r["word"]: r["n"] for r in counts.collect()}  # a row for each template word at most
+    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    prefixes, tokens = [], []
-    for label, own in sets.items():
+    index = []
+    for number, (t, own) in enumerate(zip(templates, sets, strict=True)):
         own = sorted(own, key=rank.__getitem__)
         need = max(1, -int(-threshold * len(own) // 1))
-        tokens.append((label, own, need))
-        prefixes += [(w, i, label, len(own), need) for i, w in enumerate(own[: len(own) - need + 1])]
-    index = F.broadcast(spark.createDataFrame([(*p, own) for p in prefixes for label, own, _ in tokens if label == p[2]], "word string, i int, label string, size int, need int, tokens array<string>"))
-    entry = F.array(*map(F.lit, sorted({p[0] for p in prefixes})))
-    hot = docs.filter(F.arrays_overlap(words_of(F.col("text")), entry))
-    blocks = hot.select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    held = blocks.select("row", "block", F.array_intersect(F.array(*map(F.lit, order)), words_of(F.col("line"))).alias("held"))  # in the common order
-    met = held.select("row", "block", "held", F.posexplode("held").alias("j", "word")).join(index, "word")
-    met = met.filter((F.size("held") >= F.col("need")) & (F.least("i", "j") + F.least(F.col("size") - F.col("i"), F.size("held") - F.col("j")) >= F.col("need")))
-    overlap = F.size(F.array_intersect("tokens", "held"))
-    return met.select("row", "block", "label", (overlap / F.col("size")).alias("score"), overlap.alias("n"), "need").filter("n >= need").select("row", "block", "label", "score").distinct().unionByName(_windowed(hot, [(t.label, len(t.text.split()), own, need) for label, own, need in tokens for t in templates if t.label == label]))
-
-
-def _windowed(docs: DataFrame, wanted: list[tuple[str, int, list[str], int]]) -> DataFrame:
-    """row, block, label, score: windows of docs (row, text) that hold as many distinct words as needed of (label, length, words, need)."""
-    struct = lambda label, step, own, need: F.struct(F.lit(label).alias("label"), F.lit(step).alias("step"), F.array(*map(F.lit, own)).alias("tokens"), F.lit(need).alias("need"))
-    words = docs.select("row", words_of(F.col("text")).alias("words"))
-    held = words.withColumn("held", F.array_intersect("words", F.array(*map(F.lit, sorted({w for *_, own, _ in wanted for w in own})))))
-    may = held.select("row", "words", F.filter(F.array(*(struct(*w) for w in wanted)), lambda t: F.size(F.array_intersect(t["tokens"], F.col("held"))) >= t["need"]).alias("may")).filter(F.size("may") > 0)
-    each = may.select("row", "words", F.explode("may").alias("t")).select("row", "words", "t.*")
+        index += [(w, i, number, t.label, len(own), need, len(t.text.split()), own) for i, w in enumerate(own[: len(own) - need + 1])]
+    entry = F.array(*map(F.lit, sorted({x[0] for x in index})))
+    table = small(spark.createDataFrame(index, "word string, i int, template long, label string, size int, need int, step int, tokens array<string>"), len(index))
+
+    def met(blocks: DataFrame, *keys: str) -> DataFrame:
+        """The pairs of blocks (keys, held: template words in the common order) and templates that pass the filters."""
+        pairs = blocks.select(*keys, "held", F.explode(F.array_intersect("held", entry)).alias("word")).join(table, "word")
+        j = F.array_position("held", F.col("word")) - 1
+        room = F.least(F.col("i"), j) + F.least(F.col("size") - F.col("i"), F.size("held") - j)
+        pairs = pairs.filter((F.size("held") >= F.col("need")) & (room >= F.col("need")) & (F.size(F.array_intersect("tokens", "held")) >= F.col("need")))
+        return pairs.dropDuplicates([*[k for k in keys if k != "words"], "template"])
+
+    held = lambda w: F.array_intersect(F.array(*map(F.lit, order)), w)
+    hot = words.filter(F.arrays_overlap("words", entry))
+    lines = hot.select("row", F.posexplode(F.split("text", "\n")).alias("block", "line")).select("row", "block", held(words_of(F.col("line"))).alias("held"))
+    in_lines = met(lines, "row", "block").withColumn("n", F.size(F.array_intersect("tokens", "held")))
+    whole = met(hot.select("row", "words", held(F.col("words")).alias("held")), "row", "words")
     cut = F.transform(F.sequence(F.lit(0), F.expr("(size(words) - 1) div step").cast("int")), lambda k: F.size(F.array_intersect("tokens", F.slice("words", k * F.col("step") + 1, 2 * F.col("step")))))
-    found = each.select("row", "label", "need", F.size("tokens").alias("size"), F.posexplode(cut).alias("k", "n")).filter("n >= need")
-    return found.select("row", (-1 - F.col("k")).alias("block"), "label", (F.col("n") / F.col("size")).alias("score"))
+    in_windows = whole.select("row", "template", "label", "size", "need", F.posexplode(cut).alias("k", "n")).filter("n >= need").withColumn("block", -1 - F.col("k"))
+    columns = ["row", "block", "label", (F.col("n") / F.col("size")).alias("score")]
+    return in_lines.select(*columns).unionByName(in_windows.select(*columns))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:

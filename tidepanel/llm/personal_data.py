@@ -39,10 +39,10 @@ KINDS = (
     Kind("card", (), r"[0-9](?:[ -]?+[0-9])++", True, r"^[0-9]{16}$|^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$", r"(?i)\b(card|visa|credit|debit|payment|account)\b", r"^(4|5[1-5]|2[2-7]|6011|65|35|62)", r"^(0|1|7|8|9)"),
     Kind("phone", ("+",), r"\+[0-9][ ().0-9-]+[0-9]", True, r"^\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?([ .-]?[0-9]{2,4}){2,4}$", r"(?i)\b(phone|tel|call|mobile|fax|dial)\b", r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[ (.0-9-]", r"^\+0"),
     Kind("local_phone", ("(", ")"), r"(?<![0-9+)(] ?)\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[-. ][0-9]{4}(?![0-9])", False, r"^\([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}$", r"(?i)\b(phone|tel|call|mobile|fax|dial)\b", r"^\([2-9][0-8][0-9]\)", r"^\(([2-9])\1\1\)"),
-    Kind("masked_email", ("at",), r"(?i)\b[a-z0-9._%+-]{2,64} ?[\[(] ?at ?[\])] ?[a-z0-9-]{2,63} ?[\[(] ?dot ?[\])] ?[a-z]{2,12}\b", False, r".*", r"(?i)\b(e-?mail|mail|contact|write|reach)\b", r"(?i)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"),
+    Kind("masked_email", ("at",), r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,}+ ?[\[(] ?at ?[\])] ?[a-z0-9-]{2,}+ ?[\[(] ?dot ?[\])] ?[a-z]{2,}+\b", False, r".*", r"(?i)\b(e-?mail|mail|contact|write|reach)\b", r"(?i)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"),
     Kind("national_id", ("-",), r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", r"(?i)\b(ssn|social|security|tax|id)\b", r"^[0-7]", r"^(000|666|9)|-00-|-0000$"),
-    Kind("secret", (), r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?[A-Za-z0-9+/_=.-]{16,128}+[\"']?", False, r"[\"'=: ][A-Za-z0-9+/_=.-]*[0-9][A-Za-z0-9+/_=.-]*[\"']?$", r"(?i)\b(config|env|export|login|auth|header|key)\b", r"[=: \"'](?=[^\"']*[0-9])(?=[^\"']*[A-Za-z])[^\"']*[\"']?$", r"(?i)example|changeme|placeholder|x{6}|(.)\1{7}"),
-    Kind("person", (".",), r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]{1,20} [A-Z][a-z]{1,20}\b", False, r".*", r"(?i)\b(name|dear|contact|from|by)\b", r"(?i) (james|john|mary|anna|maria|peter|paul|david|sarah|laura|thomas|julia|carlos|jean|pierre|hans) "),
+    Kind("secret", (), r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b ?[=:] ?[\"']?[A-Za-z0-9+/_=.-]{16,}+[\"']?", False, r"^[^=:]*[=:][^0-9]*[0-9]", r"(?i)\b(config|env|export|login|auth|header|key)\b", r"^[^=:]*[=:] ?[\"']?(?=[^\"']*[0-9])(?=[^\"']*[A-Za-z])[^\"']*[\"']?$", r"(?i)example|changeme|placeholder|x{6}|(.)\1{7}"),
+    Kind("person", (".",), r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]++ [A-Z][a-z]++\b", False, r".*", r"(?i)\b(name|dear|contact|from|by)\b", r"(?i) (james|john|mary|anna|maria|peter|paul|david|sarah|laura|thomas|julia|carlos|jean|pierre|hans) "),
 )
 NAMES = [k.name for k in KINDS]
 LABELERS = ("strict", "gazetteer", "context", "edges")

@@ -4,23 +4,68 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import durable
+from tidepanel.llm.common import durable, small
+
+
+#: Ways to write a pattern's match, at most: one for each choice of branches.
+WAYS = 256
+
+
+def _atom(chars: set[str], negated: bool) -> str:
+    """A set of characters: a letter or digit that it must be, " " if it holds none of them, * if it is unknown."""
+    own = {c for c in "abcdefghijklmnopqrstuvwxyz0123456789" if (c in chars) != negated}
+    return " " if not own else next(iter(own)) if len(own) == 1 and chars == own and not negated else "*"
+
+
+def _ways(tree) -> set[str]:
+    """All ways to write what a parsed expression matches: letters and digits, " " for separators and ends, * for what is unknown."""
+    out = {""}
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            own = {_atom({chr(arg)}, False)}
+        elif name == "IN":
+            chars = {chr(c) for kind, x in arg if str(kind) in ("RANGE", "LITERAL") for c in (range(x[0], x[1] + 1) if str(kind) == "RANGE" else [x])}
+            own = {"*" if any(str(kind) == "CATEGORY" for kind, _ in arg) else _atom(chars, str(arg[0][0]) == "NEGATE")}
+        elif name == "BRANCH":
+            own = set().union(*map(_ways, arg[1]))
+        elif name == "SUBPATTERN":
+            own = _ways(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            inner = _ways(arg[2])
+            own = ({""} if arg[0] == 0 else set()) | (inner if arg[1] == 1 or inner <= {"", " "} else {"*"})
+        else:
+            own = {" " if name == "AT" else "*"}
+        out = {a + b for a in out for b in own}
+        if len(out) > WAYS:
+            raise ValueError("a pattern has too many branches")
+    return out
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """A blocking rule: a regular expression on the lower-cased url, and alternatives of whole tokens: any match has all of one."""
+    """A blocking rule: a regular expression on the lower-cased url.
+
+    tokens: sets of whole tokens, [a-z0-9]+ between other characters or ends; each match has all of one set. They are read
+    off the parsed expression, and one that has a way to match without a whole token is refused.
+    """
 
     regex: str
-    tokens: tuple[tuple[str, ...], ...]
+
+    @cached_property
+    def tokens(self) -> tuple[tuple[str, ...], ...]:
+        sets = {tuple(sorted(t for t in f"*{way}*".split(" ") if re.fullmatch("[a-z0-9]+", t))) for way in _ways(re._parser.parse(self.regex))}
+        if () in sets:
+            raise ValueError(f"matches without a whole token: {self.regex}")
+        return tuple(sorted(sets))
 
     def __post_init__(self):
-        if any(not own or not all(re.fullmatch("[a-z0-9]+", t) for t in own) for own in self.tokens):
-            raise ValueError(f"tokens are [a-z0-9]+, one at least in each alternative: {self.tokens}")
+        assert self.tokens
 
 
 @dataclass(frozen=True)
@@ -42,17 +87,17 @@ SCOPES = (
 )
 #: The library's own patterns: adult, gambling, trackers, link shops, and session or search pages.
 PATTERNS = (
-    Pattern(r"(^|[^a-z0-9])(porn|xxx)([^a-z0-9]|$)", (("porn",), ("xxx",))),
-    Pattern(r"(^|[^a-z0-9])xxx([^a-z0-9]|$)", (("xxx",),)),
-    Pattern(r"(^|[^a-z0-9])casino([^a-z0-9]|$)", (("casino",),)),
-    Pattern(r"(^|[^a-z0-9])online[-_/.]?casino([^a-z0-9]|$)", (("online", "casino"), ("onlinecasino",))),
-    Pattern(r"(^|[^a-z0-9])sports?[-_]betting([^a-z0-9]|$)", (("betting",),)),
-    Pattern(r"(^|[^a-z0-9])buy[-_]backlinks([^a-z0-9]|$)", (("buy", "backlinks"),)),
-    Pattern(r"[?&]utm_source=(feed|ads?|mail)([&#]|$)", (("utm", "source"),)),
-    Pattern(r"[?&]session[-_]?id=[a-z0-9]+", ()),
-    Pattern(r"[?&]page=[0-9]+&(.*&)?ref=[a-z]", (("page", "ref"),)),
-    Pattern(r"/wp-login\.php([?#]|$)", (("wp", "login", "php"),)),
-    Pattern(r"/tag/[^/?#]+/feed/?([?#]|$)", (("tag", "feed"),)),
+    Pattern(r"(^|[^a-z0-9])(porn|xxx)([^a-z0-9]|$)"),
+    Pattern(r"(^|[^a-z0-9])xxx([^a-z0-9]|$)"),
+    Pattern(r"(^|[^a-z0-9])casino([^a-z0-9]|$)"),
+    Pattern(r"(^|[^a-z0-9])online[-_/.]?casino([^a-z0-9]|$)"),
+    Pattern(r"(^|[^a-z0-9])sports?[-_]betting([^a-z0-9]|$)"),
+    Pattern(r"(^|[^a-z0-9])buy[-_]backlinks([^a-z0-9]|$)"),
+    Pattern(r"[?&]utm_source=(feed|ads?|mail)([&#]|$)"),
+    Pattern(r"[?&]session[-_]?id=[a-z0-9]+"),
+    Pattern(r"[?&]page=[0-9]+&(.*&)?ref=[a-z]"),
+    Pattern(r"/wp-login\.php([?#]|$)"),
+    Pattern(r"/tag/[^/?#]+/feed/?([?#]|$)"),
 )
 
 
@@ -84,21 +129,18 @@ def tokens_of(url: Column) -> Column:
 def blocked_urls(urls: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """The distinct rows of urls (url) that a pattern matches, each with its number of matching patterns.
 
-    Every alternative of a pattern is filed under that one of its tokens that the fewest urls have, counted over all of
-    them, and any of a pattern's alternatives fetches it; patterns without a token are filed under none and meet every url. The index has a row for each alternative and is broadcast: it is
-    as large as the rule list, not as the corpus.
+    Every set of tokens of a pattern is filed under that one of its tokens that the fewest urls have, counted over all of
+    them, so that each match's url fetches it; no pattern is run on the urls that don't. The index has a row for each set.
     """
     spark = urls.sparkSession
     distinct = durable(urls.select("url").filter("url is not null").distinct())
-    filed = spark.createDataFrame([(i, p.regex, k, t) for i, p in enumerate(patterns) for k, own in enumerate(p.tokens) for t in own] or [(-1, "", 0, "")], "rule long, regex string, way int, token string")
+    listed = [(i, p.regex, k, t) for i, p in enumerate(patterns) for k, own in enumerate(p.tokens) for t in own] or [(-1, "", 0, "")]
+    filed = spark.createDataFrame(listed, "rule long, regex string, way int, token string")
     tokens = distinct.select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
-    uses = tokens.join(F.broadcast(filed.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("uses"))
+    uses = tokens.join(small(filed.select("token").distinct(), len(listed)), "token").groupBy("token").agg(F.count("*").alias("uses"))
     rarest = filed.join(uses, "token", "left").groupBy("rule", "regex", "way").agg(F.min_by("token", F.struct(F.coalesce("uses", F.lit(0)), "token")).alias("token"))
-    index = F.broadcast(rarest.select("rule", "regex", "token").distinct())
+    index = small(rarest.select("rule", "regex", "token").distinct(), len(listed))
     hits = tokens.join(index, "token").filter(F.expr("rlike(lower(url), regex)")).select("url", "rule")
-    for i, p in enumerate(patterns):
-        if not p.tokens:
-            hits = hits.unionByName(distinct.filter(F.lower("url").rlike(p.regex)).select("url", F.lit(i).cast("long").alias("rule")))
     return hits.groupBy("url").agg(F.countDistinct("rule").alias("n_patterns"))
 
 
