@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,10 +193,11 @@ def nuisance_residual(df: DataFrame, target: str, numeric: list[str], kinds: lis
     indexer = StringIndexer(inputCols=kinds, outputCols=[f"_i_{k}" for k in kinds], handleInvalid="keep").fit(train)
     hot = OneHotEncoder(inputCols=[f"_i_{k}" for k in kinds], outputCols=[f"_h_{k}" for k in kinds], dropLast=True).fit(indexer.transform(train))
     assemble = VectorAssembler(inputCols=[*(f"z_{c}" for c in numeric), *(f"_h_{k}" for k in kinds)], outputCol="features")
-    whole = assemble.transform(hot.transform(indexer.transform(df))).withColumn("label", F.col(target))
-    n, dev = whole.filter("split = 'train'").agg(F.count("*"), F.stddev_pop("label")).first()
-    model = LinearRegression(solver="normal", standardization=False, elasticNetParam=0.0, regParam=alpha * dev / n).fit(whole.filter("split = 'train'"))
-    out = model.transform(whole).withColumn("_raw", F.col("label") - F.col("prediction"))
+    whole = assemble.transform(hot.transform(indexer.transform(df))).withColumn("_x", vector_to_array("features"))
+    _, g, c, mean = gram(whole.filter("split = 'train'"), "_x", [target])
+    w = np.linalg.solve(g + alpha * np.eye(len(g)), c[:, 0])
+    level = float(mean[-1] - mean[:-1] @ w)
+    out = whole.withColumn("_raw", F.col(target) - level - vectors.dot("_x", axis_column(w)))
     spread = out.filter("split = 'train'").agg(F.stddev_pop("_raw").alias("_dev"))
     return out.join(F.broadcast(spread)).withColumn("residual", F.col("_raw") / F.greatest("_dev", F.lit(1e-12)))
 

@@ -10,6 +10,7 @@ from tidepanel.functions.scalar import log_of, ratio
 from tidepanel.functions.windows import rolling_mean, shifted, simple_return
 from tidepanel.operators import labels as lab
 from tidepanel.operators import matching, models, panels
+from tidepanel.plans.linear_sql import fit_sql
 from tidepanel.plans.matching import FORWARD
 from tidepanel.plans.panel import GK, PK, RS, R, W, frame, mean_if
 from tidepanel.plans.registry import query
@@ -77,12 +78,33 @@ def h5(spark, sf):
     return df.filter("next > 1e-9 and pre > 0").select("ticker", "date", (F.ln("next") - 0.5 * F.ln("pre")).alias("label"))
 
 
-@query("h6_nuisance_residual")
+NUISANCES = ["log_hist_var_d", "log_hist_var_w", "log_hist_range_d", "current_abs_return", "momentum20"]
+#: Columns of the kinds in the oracle: as many tickers and months as the hourly bars can have.
+_TICKERS, _MONTHS = 5, 2
+
+
+def _residual_sql() -> str:
+    """The ridge in SQL: scaled controls and a column for each ticker and month of the training rows."""
+    n, k = len(NUISANCES), len(NUISANCES) + _TICKERS + _MONTHS
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (*NUISANCES, "log_abs_abret1"))
+    rows = f"SELECT ticker, date, CASE WHEN date <= TIMESTAMP '2024-01-15' THEN 'train' WHEN date <= TIMESTAMP '2024-01-22' THEN 'val' ELSE 'test' END AS split, strftime(date, '%m') AS month, log_abs_abret1 AS y, [{', '.join(NUISANCES)}] AS c FROM ({_features_sql()}) WHERE {known}"
+    scale = ", ".join(f"avg(c[{i}]) AS m{i}, greatest(stddev_pop(c[{i}]), 1e-12) AS s{i}" for i in range(1, n + 1))
+    hot = [f"CASE WHEN coalesce({c} = {c}s[{i}], false) THEN 1.0::DOUBLE ELSE 0 END" for c, most in (("ticker", _TICKERS), ("month", _MONTHS)) for i in range(1, most + 1)]
+    z = f"SELECT ticker, date, split, y, [{', '.join([*(f'(c[{i}] - m{i}) / s{i}' for i in range(1, n + 1)), *hot])}] AS x FROM o, (SELECT {scale}, list(DISTINCT ticker ORDER BY ticker) AS tickers, list(DISTINCT month ORDER BY month) AS months FROM o WHERE split = 'train')"
+    mean = f"(SELECT [{', '.join(f'avg(x[{i}])' for i in range(1, k + 1))}] AS mx, avg(y) AS my FROM z WHERE split = 'train')"
+    return (
+        f"WITH RECURSIVE o AS MATERIALIZED ({rows}), z AS MATERIALIZED ({z}), "
+        + fit_sql("SELECT x, y FROM z WHERE split = 'train'", k, 10.0)
+        + f", raw AS (SELECT ticker, date, split, y - my - list_dot_product(list_transform(range(1, {k + 1}), lambda i: x[i] - mx[i]), w) AS raw FROM z, fit, {mean}) "
+        "SELECT ticker, date, split, raw / greatest((SELECT stddev_pop(raw) FROM raw WHERE split = 'train'), 1e-12) AS residual FROM raw"
+    )
+
+
+@query("h6_nuisance_residual", _residual_sql(), "valid", doubles="residual", digits=6)
 def h6(spark, sf):
     """Residual of the label on controls, tickers and months, fitted on training rows."""
     panel = with_split(panels.market_features(_valid(spark, sf))).withColumn("event_month", F.date_format("date", "MM"))
-    controls = ["log_hist_var_d", "log_hist_var_w", "log_hist_range_d", "current_abs_return", "momentum20"]
-    return models.nuisance_residual(panel.dropna(subset=[*controls, "log_abs_abret1"]), "log_abs_abret1", controls, ["ticker", "event_month"]).select("ticker", "date", "split", F.round("residual", 6).alias("residual"))
+    return models.nuisance_residual(panel.dropna(subset=[*NUISANCES, "log_abs_abret1"]), "log_abs_abret1", NUISANCES, ["ticker", "event_month"]).select("ticker", "date", "split", "residual")
 
 
 COMPOSITE = "SELECT doc_id, split, ((a - ma) / greatest(sa, 1e-8) + (b - mb) / greatest(sb, 1e-8) + (c - mc) / greatest(sc, 1e-8)) / 3 AS composite FROM (SELECT doc_id, split, ln(n_chars + 1) AS a, ln(length(text) - length(replace(text, ' ', '')) + 1) AS b, ln(length(text) - length(replace(text, 'e', '')) + 1) AS c FROM docs), (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM (SELECT ln(n_chars + 1) AS a, ln(length(text) - length(replace(text, ' ', '')) + 1) AS b, ln(length(text) - length(replace(text, 'e', '')) + 1) AS c FROM docs WHERE split = 'train'))"
