@@ -77,6 +77,13 @@ def test_repetition(docs):
             return sum(mark), max(count.values(), default=0) > 1
 
         longest = max((k for k in range(5, len(w)) if windows(k)[1]), default=0)
+        maximal = 0
+        for k in range(5, longest + 1):
+            places = collections.defaultdict(list)
+            for i in range(len(w) - k + 1):
+                places[tuple(w[i : i + k])].append(i)
+            maximal += sum(len({w[i - 1] if i else None for i in v}) > 1 and len({w[i + k] if i + k < len(w) else None for i in v}) > 1 for v in places.values())
+        assert r.n_maximal_repeats == maximal
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.covered_words, r.longest_repeat) == (len(w), sum(map(len, w)), windows(3)[0], windows(5)[0], longest)
         assert r.base_failed == (len(w) < 50 or 100 * windows(3)[0] > 50 * len(w))
         assert sum(s["end"] - s["start"] for s in r.repeat_spans) == r.covered_words

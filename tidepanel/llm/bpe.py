@@ -142,7 +142,7 @@ def folded(words: Column, ranks: Ranks) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Each pre-token of all texts with its uses."""
+    """word, uses: each pre-token of all texts of docs (text); null and empty texts have none, repeated rows count each."""
     return docs.select(F.explode(F.regexp_extract_all(text_of(), F.lit(PATTERN), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
 
 

@@ -1,4 +1,4 @@
-"""Quality rules on repetition: suffix array with bucket pointers and longest common prefixes, per document."""
+"""Quality rules on repetition: suffix array with bucket pointers, and maximal repeats from longest-common-prefix intervals."""
 
 from __future__ import annotations
 
@@ -42,8 +42,52 @@ def refined(rank: np.ndarray, active: np.ndarray, follow: np.ndarray) -> tuple[n
     return out, np.sort(at[~alone])
 
 
-def repeats(docs: list[np.ndarray], min_repeat: int = MIN_REPEAT) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
-    """Of each document (word ids): words in 3-word windows found twice, words that repeats cover, longest repeat, covered spans.
+def intervals(lcp: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The intervals of neighbouring suffixes that share more than those around them: depth (words shared), first suffix, whether
+    the string is a maximal repeat, and of each suffix the deepest interval that is one (-1: none).
+
+    lcp: words that neighbours share, 0 for too few; before: the word before each suffix. A string that can't be made longer
+    to the right is an interval; it is maximal if its suffixes have different words before them.
+    """
+    depth: list[int] = []
+    first: list[int] = []
+    low: list[int] = []
+    high: list[int] = []
+    parent: list[int] = []
+    of, stack, done = [], [], []
+
+    def opened(d: int, at: int, lo: int, hi: int) -> int:
+        for held, x in zip((depth, first, low, high, parent), (d, at, lo, hi, -1), strict=True):
+            held.append(x)
+        stack.append(len(depth) - 1)
+        return stack[-1]
+
+    for i, (d, b) in enumerate(zip([*lcp.tolist(), 0], before.tolist(), strict=True)):
+        top = stack[-1] if stack else -1
+        if d > (depth[top] if stack else 0):
+            of.append(opened(d, i, b, b))
+            continue
+        of.append(top)
+        if stack:
+            low[top], high[top] = min(low[top], b), max(high[top], b)
+        while stack and depth[stack[-1]] > d:
+            k = stack.pop()
+            done.append(k)
+            if stack and depth[stack[-1]] >= d:
+                up = parent[k] = stack[-1]
+                low[up], high[up] = min(low[up], low[k]), max(high[up], high[k])
+            elif d:
+                parent[k] = opened(d, first[k], low[k], high[k])
+    maximal = np.array(low) != np.array(high)
+    nearest = [-1] * len(depth)
+    for k in reversed(done):  # those around an interval end after it
+        nearest[k] = k if maximal[k] else nearest[parent[k]] if parent[k] >= 0 else -1
+    return np.array(depth, np.int64), np.array(first, np.int64), maximal.astype(bool), np.array([nearest[k] if k >= 0 else -1 for k in of], np.int64)
+
+
+def repeats(docs: list[np.ndarray], min_repeat: int = MIN_REPEAT) -> list[tuple[int, int, int, int, list[tuple[int, int]]]]:
+    """Of each document (word ids): words in 3-word windows found twice, words that repeats cover, longest repeat, maximal
+    repeats, covered spans.
 
     One suffix array holds all documents of the batch; ids of different documents differ and a unique id ends each, so
     no match crosses documents. Buckets of one position are left alone from the round on in which they become so.
@@ -75,12 +119,13 @@ def repeats(docs: list[np.ndarray], min_repeat: int = MIN_REPEAT) -> list[tuple[
     for k in range(len(level) - 1, -1, -1):
         x, y = np.minimum(a + lcp, n - 1), np.minimum(b + lcp, n - 1)
         lcp += np.where(level[k][x] == level[k][y], 1 << k, 0)
-    # the deepest longest-common-prefix interval that holds a suffix is as deep as the nearer of its two neighbours: its
-    # string is the longest repeat that starts there, and the union of these is the union of all maximal repeats
-    widest = np.zeros(len(sa), np.int64)
+    # what a suffix begins with belongs to its deepest maximal repeat, or to one that begins before it and covers it
+    widest, found_in = np.zeros(len(sa), np.int64), np.empty(0, np.int64)
     if len(sa):
-        widest[:-1], widest[1:] = lcp, np.maximum(widest[1:], lcp)
-        widest[:-1] = np.maximum(widest[:-1], lcp)
+        depth, at, maximal, deepest = intervals(np.where(lcp >= min_repeat, lcp, 0), np.where(sa > 0, ids[sa - 1], -1))
+        widest[deepest >= 0] = depth[deepest[deepest >= 0]]
+        found_in = np.searchsorted(ends, sa[at[maximal]], side="right")
+    number = np.bincount(found_in, minlength=len(docs))
     keep = widest >= min_repeat
     sa, widest = sa[keep], widest[keep]
     cover = np.zeros(n + 1, np.int64)
@@ -95,7 +140,7 @@ def repeats(docs: list[np.ndarray], min_repeat: int = MIN_REPEAT) -> list[tuple[
         spans[doc].append((s - int(starts[doc]), e - int(starts[doc])))
     three = np.concatenate(([0], np.cumsum(np.cumsum(threes)[:n] > 0)))
     total = np.concatenate(([0], np.cumsum(covered)))
-    return [(int(three[e] - three[s]), int(total[e] - total[s]), int(longest[i]), spans.get(i, [])) for i, (s, e) in enumerate(zip(starts, ends, strict=True))]
+    return [(int(three[e] - three[s]), int(total[e] - total[s]), int(longest[i]), int(number[i]), spans.get(i, [])) for i, (s, e) in enumerate(zip(starts, ends, strict=True))]
 
 
 def profile(texts: list[str | None], min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> dict[str, list]:
@@ -112,21 +157,21 @@ def profile(texts: list[str | None], min_repeat: int = MIN_REPEAT, max_covered:
         out["word_chars"].append(sum(map(len, words)))
         out["n_symbols"].append(sum(map(text.count, SYMBOLS)))
         out["n_dup_lines"].append(len(lines) - len(set(lines)))
-    three, covered, longest, spans = (list(x) for x in zip(*repeats(docs, min_repeat), strict=True)) if docs else ([], [], [], [])
+    three, covered, longest, number, spans = (list(x) for x in zip(*repeats(docs, min_repeat), strict=True)) if docs else ([], [], [], [], [])
     failed = [n < 50 or 100 * r > 50 * n for n, r in zip(out["n_words"], three, strict=True)]
     kept = [not f and c <= max_covered * n and m <= max_longest * n for f, c, m, n in zip(failed, covered, longest, out["n_words"], strict=True)]
-    return out | {"n_repeat_words": three, "base_failed": failed, "kept": kept, "covered_words": covered, "longest_repeat": longest, "repeat_spans": [[{"start": s, "end": e} for s, e in x] for x in spans]}
+    return out | {"n_repeat_words": three, "base_failed": failed, "kept": kept, "covered_words": covered, "longest_repeat": longest, "n_maximal_repeats": number, "repeat_spans": [[{"start": s, "end": e} for s, e in x] for x in spans]}
 
 
-_COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long, repeat_spans array<struct<start: long, end: long>>"
-_ARROW = pa.schema([(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("covered_words", pa.int64()), ("longest_repeat", pa.int64()), ("repeat_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long, n_maximal_repeats long, repeat_spans array<struct<start: long, end: long>>"
+_ARROW = pa.schema([(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("covered_words", pa.int64()), ("longest_repeat", pa.int64()), ("n_maximal_repeats", pa.int64()), ("repeat_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
 def quality(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
     """Repetition profile and verdict of each row of docs (doc_id, text; other columns are not read).
 
     base_failed: under 50 words, or more than half of the words in 3-word windows that the text has twice or more.
-    kept: not base_failed, and the union of all repeats of min_repeat words or more covers at most max_covered of the
+    kept: not base_failed, and the union of all maximal repeats of min_repeat words or more covers at most max_covered of the
     words, and the longest is at most max_longest of them. Null and empty texts have no words and fail; equal rows give
     equal rows; an empty table gives an empty one. Rows don't meet, so nothing is shuffled.
     """

@@ -55,7 +55,8 @@ def links(prints: DataFrame, distance: int = 2, paired: int = PAIRED) -> DataFra
     a bucket of at most `paired` fingerprints all pairs are verified. In a larger one each fingerprint goes to the spots
     that it reaches by flipping up to half the distance of its other bits: a close pair meets in one of them, a spot holds
     few, and each of its members is linked to the least. No bucket is dropped, and the work is linear in its size. Links
-    of large buckets that another member implies are left out; components are the same.
+    of large buckets that another member implies are left out; components are the same. A fingerprint given twice is one
+    text's worth of links; a null one links to nothing; an empty table has no links.
     """
     parts = distance + 2
     cuts = [64 * i // parts for i in range(parts + 1)]
@@ -218,7 +219,8 @@ def links_in_buckets(members: DataFrame, shingles: DataFrame, similarity: float,
 
     size: the shingles of the bucket's texts together. All pairs are counted out where the bucket's rows are, and only
     links that join two parts leave the task. A bucket of more texts or shingles than a block is dealt into blocks, and
-    each two of them are a task's work, so no group is unbounded and no pair is left out.
+    each two of them are a task's work, so no group is unbounded and no pair is left out. A member without a row of
+    shingles meets nobody; an empty table has no links.
     """
     deals = F.ceil(F.greatest(F.col("texts") / block, F.col("size") / block_shingles))
     dealt = members.withColumn("deals", deals).withColumn("own", F.pmod(F.xxhash64("id"), "deals"))

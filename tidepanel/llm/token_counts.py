@@ -69,7 +69,7 @@ def _frequencies(known):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, uses: each distinct pre-token of docs (text)."""
+    """word, uses: each distinct pre-token of docs (text); null and empty texts have none, repeated rows count each."""
     return docs.select("text").mapInArrow(_word_uses, "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
 
 
