@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.statistics import draw, pearson, rank_decile, spearman, student_p
 from tidepanel.functions.windows import demeaned
 from tidepanel.operators.ranking import numbered
-from tidepanel.operators.replicates import replicate_rhos
+from tidepanel.operators.replicates import replicate_rhos, replicate_sums
 
 
 def within_rho_demeaned(df: DataFrame, x: str, y: str, key: str = "ticker") -> DataFrame:
@@ -80,24 +80,11 @@ def block_bootstrap(losses: DataFrame, value: str, order: str, block: int, reps:
     starts = plan.select(*keys, "rep", "n", "mean", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("slot"))
     starts = starts.withColumn("start", draw(seed, "rep", "slot", size=F.greatest(F.col("n") - block + 1, F.lit(1))))
     picks = starts.select(*keys, "rep", "n", "mean", "slot", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k"), "start").filter(F.col("slot") * block + F.col("k") < F.col("n"))
-    drawn = picks.select(*keys, "rep", "mean", (F.col("start") + F.col("k")).alias("i")).join(F.broadcast(series), [*keys, "i"])
+    drawn = picks.select(*keys, "rep", "mean", (F.col("start") + F.col("k")).alias("i")).join(series, [*keys, "i"])
     means = drawn.groupBy(*keys, "rep").agg(F.avg("_v").alias("m"), F.first("mean").alias("mean"))
     return means.groupBy(*keys).agg(F.first("mean").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), ((1 + F.sum(F.when(F.round("m", 10) <= 0, 1).otherwise(0))) / (reps + 1)).alias("p"))
 
 
-def resampled(df: DataFrame, unit: str, reps: int, seed: int = 7) -> DataFrame:
-    """rep and the rows of df under as many units (tickers or dates) as there are, drawn with replacement.
-
-    Draws are a table of reps x units; rows follow by a join on the unit.
-    """
-    units = df.select(unit).distinct()
-    listed = units.select(F.col(unit), (F.row_number().over(Window.orderBy(unit)) - 1).cast("long").alias("_u"))
-    n = units.agg(F.count("*").alias("_n"))
-    draws = df.sparkSession.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(n)).select("rep", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("slot"))
-    picked = draws.select("rep", draw(seed, "rep", "slot", size=F.col("_n")).alias("_u")).join(F.broadcast(listed), "_u").select("rep", unit)
-    return picked.join(df, unit)
-
-
 def bootstrap_rho(df: DataFrame, x: str, y: str, unit: str, reps: int, seed: int = 7) -> DataFrame:
     """low, high, reps of the Spearman over resamples of units."""
     rho = replicate_rhos(df, x, y, unit, reps, seed).filter("rho is not null")
@@ -111,7 +98,7 @@ def _resampled_pearsons(df: DataFrame, a: str, b: str, y: str, unit: str, reps:
     centred = df.join(F.broadcast(rows)).select(unit, less(a).alias("_p"), less(b).alias("_q"), less(y).alias("_y"))
     terms = {"_n": F.lit(1.0), **{f"_{s}": F.col(f"_{s}") for s in "pqy"}, **{f"_{s}{t}": F.col(f"_{s}") * F.col(f"_{t}") for s, t in ("pp", "qq", "yy", "py", "qy")}}
     moments = centred.dropna().groupBy(unit).agg(*(F.sum(e).alias(n) for n, e in terms.items()))
-    all_ = resampled(moments, unit, reps, seed).groupBy("rep").agg(*(F.sum(n).alias(n) for n in terms))
+    all_ = replicate_sums(moments, list(terms), unit, reps, seed)
 
     def r(s: str):
         own = lambda u, v, w: F.col("_n") * F.col(w) - F.col(u) * F.col(v)

@@ -134,7 +134,7 @@ def contrast_axis(df: DataFrame, vec: str, target: str, group: str | None = None
     """Mean vector of the top quarter less that of the bottom quarter, by group and averaged if one is named."""
     keys = [group] if group else []
     cut = quantiles(df, target, [0.25, 0.75], *keys).withColumnRenamed("q", "_q")
-    rows = df.join(F.broadcast(cut), keys) if keys else df.join(F.broadcast(cut))
+    rows = df.join(cut, keys) if keys else df.join(F.broadcast(cut))  # one row
     side = F.when(F.col(target) >= F.col("_q")[1], "high").when(F.col(target) <= F.col("_q")[0], "low")
     means = vectors.mean_vector(rows.withColumn("_side", side).filter("_side is not null"), vec, *keys, "_side").collect()  # two for each group
     by: dict = {}

@@ -124,3 +124,29 @@ def replicate_rhos(df: DataFrame, x: str, y: str, unit: str, reps: int, seed: in
         one = sums.join(sizes_of, "rep").select("rep", F.when(F.col("n") >= 3, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))).alias("rho"))
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], "rep long, rho double")
+
+
+def replicate_sums(df: DataFrame, columns: list[str], unit: str, reps: int, seed: int = 7, matrix: int = MATRIX) -> DataFrame:
+    """rep and the sums of columns (doubles, none missing) over resamples of units: each task adds its units' sums times their draws."""
+    spark = df.sparkSession
+    listed = _units(df.filter(F.col(unit).isNotNull()), unit)
+    n_units = listed.count()
+    rows = checkpointed(df.join(listed, unit).select("_u", *columns))
+    out, block = None, max(1, min(reps, matrix // max(1, n_units)))
+    for first in range(0, reps if n_units else 0, block):
+        last = min(reps, first + block)
+        weights = spark.sparkContext.broadcast(_draws(df, n_units, first, last, seed))
+
+        def run(batches: Iterator[pa.RecordBatch], first=first, weights=weights) -> Iterator[pa.RecordBatch]:
+            w = weights.value
+            total = np.zeros((w.shape[1], len(columns)))
+            step = max(1, HELD // w.shape[1])
+            for b in batches:
+                for s in range(0, len(b), step):
+                    part = b.slice(s, step)
+                    total += w[part.column(0).to_numpy()].T @ np.stack([part.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(columns))], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(total))), *(pa.array(c) for c in total.T)], names=["rep", *columns])
+
+        one = rows.mapInArrow(run, "rep long, " + ", ".join(f"{c} double" for c in columns)).groupBy("rep").agg(*(F.sum(c).alias(c) for c in columns))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "rep long, " + ", ".join(f"{c} double" for c in columns))
