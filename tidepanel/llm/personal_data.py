@@ -78,7 +78,8 @@ def with_candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
     """docs with an array of candidate spans of column text: kind, start, end (code points), votes and classes (SEEN).
 
     Matches of a pattern and what lies between them are read off the same scan rule, so a match starts where the lengths
-    before it end.
+    before it end. A null or empty text has no spans; each row keeps its own, whatever other columns there are, but for
+    names like _m0 and _p0, which are taken.
     """
     columns = docs.columns
     for i, k in enumerate(KINDS):

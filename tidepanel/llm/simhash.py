@@ -55,8 +55,8 @@ def links(prints: DataFrame, distance: int = 2, paired: int = PAIRED) -> DataFra
     a bucket of at most `paired` fingerprints all pairs are verified. In a larger one each fingerprint goes to the spots
     that it reaches by flipping up to half the distance of its other bits: a close pair meets in one of them, a spot holds
     few, and each of its members is linked to the least. No bucket is dropped, and the work is linear in its size. Links
-    of large buckets that another member implies are left out; components are the same. A fingerprint given twice is one
-    text's worth of links; a null one links to nothing; an empty table has no links.
+    of large buckets that another member implies are left out; components are the same. A null fingerprint
+    links to nothing; near_duplicates() gives each one once; an empty table has no links.
     """
     parts = distance + 2
     cuts = [64 * i // parts for i in range(parts + 1)]
