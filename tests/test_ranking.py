@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.statistics import draw, spearman
 from tidepanel.operators import evaluation as ev
 from tidepanel.operators.ranking import cumulated, numbered, with_average_ranks
-from tidepanel.operators.replicates import replicate_rhos
+from tidepanel.operators.replicates import replicate_rhos, replicate_sums
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +77,20 @@ def test_replicates_of_little(spark, table):
     flat = spark.createDataFrame([("a", 1.0, 2.0)] * 4 + [("b", 1.0, 1.0)] * 4, "u string, x double, y double")
     assert {r.rho for r in replicate_rhos(flat, "x", "y", "u", 5).collect()} == {None}
     assert replicate_rhos(flat.filter("false"), "x", "y", "u", 5).count() == 0
+
+
+@pytest.mark.parametrize("matrix", [1 << 20, 40])
+def test_replicate_sums_are_sums_of_resamples(spark, matrix):
+    """All replicates in one block, and a few in each."""
+    rng, reps = random.Random(8), 11
+    rows = [(f"u{rng.randrange(9)}", rng.random(), float(rng.randrange(5))) for _ in range(70)] + [(None, 5.0, 5.0)]
+    got = {r.rep: (r.a, r.b) for r in replicate_sums(spark.createDataFrame(rows, "u string, a double, b double"), ["a", "b"], "u", reps, matrix=matrix).collect()}
+    units = sorted({u for u, _, _ in rows if u})
+    slots = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(len(units) - 1))).alias("slot"))
+    want = {k: [0.0, 0.0] for k in range(reps)}
+    for r in slots.select("rep", draw(7, "rep", "slot", size=F.lit(len(units))).alias("i")).collect():
+        for u, a, b in rows:
+            if u == units[r.i]:
+                want[r.rep][0] += a
+                want[r.rep][1] += b
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
