@@ -338,6 +338,24 @@ def test_top_k_of_repeated_rows_and_large_numbers(spark):
     assert got == [(0, 1, 4, 2**63 - 1), (0, 2, 2, big * big + 2), (0, 3, 1, big * big + 1), (0, 4, 3, 7 - big * big)]
 
 
+def test_rows_keep_their_numbers(spark):
+    """A file of several parts is cut alike whatever the parallelism of the next job."""
+    from tidepanel.llm import common
+
+    path = f"{common.shared_dir(spark)}/many"
+    spark.range(60_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.option("parquet.block.size", 1 << 18).parquet(path)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")  # small files are cut too
+    try:
+        rows = common.numbered(spark.read.parquet(path))
+        fixed = spark.conf.get("spark.sql.files.minPartitionNum")
+        assert int(fixed) == spark.sparkContext.defaultParallelism and rows.rdd.getNumPartitions() > 1
+        first = {r.doc_id: r._row for r in rows.select("doc_id", "_row").collect()}
+        assert {r.doc_id: r._row for r in common.numbered(spark.read.parquet(path)).select("doc_id", "_row").collect()} == first and len(set(first.values())) == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 def test_package_imports_from_its_zip():
     import subprocess
     import sys
