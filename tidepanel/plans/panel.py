@@ -212,10 +212,16 @@ def e18b(spark, sf):
     return d.join(edges, "ticker").select("doc_id", "ticker", F.size(F.filter(F.array_distinct("e"), lambda e: e < F.col("x"))).cast("long").alias("decile"))
 
 
-@query("e19_adjacent_increases", "SELECT ticker, CAST(sum(CASE WHEN m > prev THEN 1 ELSE 0 END) AS BIGINT) AS rises FROM (SELECT ticker, m, lag(m) OVER (PARTITION BY ticker ORDER BY d) AS prev FROM (SELECT ticker, day(date) AS d, avg(close) AS m FROM bars GROUP BY 1, 2)) GROUP BY ticker", "bars")
+_BY_DECILE = "SELECT ticker, decile, avg(spaces) AS m FROM (SELECT ticker, spaces, CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, floor((10 * (r - 1) + n - 2) / (n - 1))) END AS BIGINT) AS decile FROM (SELECT ticker, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces, row_number() OVER (PARTITION BY ticker ORDER BY n_chars, doc_id) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM docs)) GROUP BY 1, 2"
+
+
+@query("e19_adjacent_increases", f"SELECT ticker, CAST(sum(CASE WHEN m > prev THEN 1 ELSE 0 END) AS BIGINT) AS rises FROM (SELECT ticker, m, lag(m) OVER (PARTITION BY ticker ORDER BY decile) AS prev FROM ({_BY_DECILE})) GROUP BY ticker", "docs")
 def e19(spark, sf):
-    means = bars(spark, sf).groupBy("ticker", F.day("date").alias("d")).agg(F.avg("close").alias("m"))
-    rises = means.withColumn("prev", F.lag("m").over(Window.partitionBy("ticker").orderBy("d")))
+    """Rises between neighbouring decile means: spaces of documents by deciles of their size."""
+    rows = docs(spark, sf).select("ticker", "doc_id", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit(" ")))).cast("double").alias("spaces"))
+    placed = numbered(rows, ["n_chars", "doc_id"], "ticker").withColumn("decile", rank_decile(F.col("_at"), F.col("_of")))
+    means = placed.groupBy("ticker", "decile").agg(F.avg("spaces").alias("m"))
+    rises = means.withColumn("prev", F.lag("m").over(Window.partitionBy("ticker").orderBy("decile")))
     return rises.groupBy("ticker").agg(F.sum(F.when(F.col("m") > F.col("prev"), 1).otherwise(0)).alias("rises"))
 
 
