@@ -117,9 +117,6 @@ def folded(words: Column, ranks: Ranks) -> Column:
         def rank(left: Column, right: Column) -> Column:
             return F.shiftleft(F.when(left.isNotNull() & right.isNotNull(), _let(F.shiftleft(left, bits) + right + 1, look)).otherwise(F.lit(ranks.none).cast("long")), above)
 
-        def place(acc: Column, m: Column) -> Column:
-            return F.size(F.filter(acc, lambda x: x.bitwiseAND(F.lit(low)) <= m.bitwiseAND(F.lit(low))))
-
         def joined(acc: Column, m: Column, at: Column) -> Column:
             new, left, after = F.shiftright(m, above), F.get(acc, at - 2), F.get(acc, at + 1)
             piece = rank(new, after.bitwiseAND(F.lit(own))) + m.bitwiseAND(F.lit(low - own)) + new
@@ -128,7 +125,7 @@ def folded(words: Column, ranks: Ranks) -> Column:
             return F.when(at > 1, F.flatten(F.array(F.slice(acc, F.lit(1), at - 2), F.array(before, piece), rest))).otherwise(F.flatten(F.array(F.array(piece), rest)))
 
         def merge(acc: Column, _: Column) -> Column:
-            return _let(F.array_min(acc), lambda m: F.when(m >= ranks.none << above, acc).otherwise(_let(place(acc, m), lambda at: joined(acc, m, at))))
+            return _let(F.array_min(acc), lambda m: F.when(m >= ranks.none << above, acc).otherwise(_let(F.array_position(acc, m).cast("int"), lambda at: joined(acc, m, at))))
 
         def all_merges(signs: Column) -> Column:
             values = F.transform(F.split(signs, ""), F.ascii)
