@@ -14,7 +14,6 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidepanel.llm.common import durable, session, text_of
 from tidepanel.llm.pieces import WHITE
@@ -329,18 +328,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> Data
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """encoded (with ids_le) and the bytes that the ids stand for: their pieces joined, as column decoded.
+    """encoded (with ids, an array) and the bytes that the ids stand for: their pieces joined, as column decoded.
 
-    No ids are no bytes; a null stays null; equal rows give equal rows; an empty table gives an empty one.
+    The pieces are a literal array of hexadecimal digits, of the size of the rank file. No ids are no bytes; a null stays
+    null; equal rows give equal rows; an empty table gives an empty one. An id that no piece has is an error.
     """
-    pieces = [b""] * (max(ranks.values()) + 1)
+    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token
-    at = encoded.columns.index("ids_le")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) if x is not None else None for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+        pieces[rank] = token.hex()
+    table = _literal(pieces, "array<string>")
+    piece = lambda i: F.coalesce(F.get(table, i), F.raise_error(F.format_string("no piece has the id %s", i)))
+    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", piece), "")))

@@ -22,8 +22,8 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(BYTE_BPE)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_le")
-    return bpe.decode(ids, ranks).select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
