@@ -102,7 +102,7 @@ def folded(words: Column, ranks: Ranks) -> Column:
     (the leftmost) becomes one piece.
 
     The fold's state is an array of pieces, a long for each: the rank of it and the next as one piece, its place and its
-    id, from high bits to low. The least long so is the pair to merge next, and a merge is a few slices around it.
+    id, from high bits to low. The least long so is the pair to merge next, and a merge removes the next and changes two in place.
     """
     bits, above = ranks.bits, ranks.bits + ranks.places
     own, low = (1 << bits) - 1, (1 << above) - 1
@@ -114,14 +114,14 @@ def folded(words: Column, ranks: Ranks) -> Column:
             return F.coalesce(*hits, F.lit(ranks.none).cast("long"))
 
         def rank(left: Column, right: Column) -> Column:
-            return F.shiftleft(F.when(left.isNotNull() & right.isNotNull(), _let(F.shiftleft(left, bits) + right + 1, look)).otherwise(F.lit(ranks.none).cast("long")), above)
+            return F.shiftleft(F.when(right.isNotNull(), _let(F.shiftleft(left, bits) + right + 1, look)).otherwise(F.lit(ranks.none).cast("long")), above)
 
         def joined(acc: Column, m: Column, at: Column) -> Column:
-            new, left, after = F.shiftright(m, above), F.get(acc, at - 2), F.get(acc, at + 1)
+            new, after = F.shiftright(m, above), F.get(acc, at + 1)
             piece = rank(new, after.bitwiseAND(F.lit(own))) + m.bitwiseAND(F.lit(low - own)) + new
-            rest = F.slice(acc, at + 2, F.size(acc))
-            before = rank(left.bitwiseAND(F.lit(own)), new) + left.bitwiseAND(F.lit(low))
-            return F.when(at > 1, F.flatten(F.array(F.slice(acc, F.lit(1), at - 2), F.array(before, piece), rest))).otherwise(F.flatten(F.array(F.array(piece), rest)))
+            before = lambda left: rank(left.bitwiseAND(F.lit(own)), new) + left.bitwiseAND(F.lit(low))
+            # no two pieces are equal, as each holds its place
+            return F.transform(F.array_remove(acc, F.get(acc, at)), lambda x, i: F.when(i + 1 == at, piece).when(i + 2 == at, before(x)).otherwise(x))
 
         def merge(acc: Column, _: Column) -> Column:
             return _let(F.array_min(acc), lambda m: F.when(m >= ranks.none << above, acc).otherwise(_let(F.array_position(acc, m).cast("int"), lambda at: joined(acc, m, at))))
