@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -209,8 +210,7 @@ class Known:
         self.ids = b"".join(np.frombuffer(p[4], f"<u{p[5]}").astype("<u4").tobytes() for p in parts)
         sizes = [np.frombuffer(b"".join(p[k] for p in parts), np.uint8).astype(np.uint32) * unit for k, unit in ((2, 1), (3, 4))]
         self.spans = [np.stack([np.cumsum(x, dtype=np.uint32) - x, x])[:, order] for x in sizes]
-        self.warm: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
+        self.kept, self.recent = _Kept(), []
 
     def look(self, parts: list[str]) -> dict[str, bytes]:
         """Those of parts that the table holds, and long ones, with their ids."""
@@ -228,10 +228,11 @@ class Known:
     def texts(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
         """Of each text the ids in order, with a mark and a number for each pre-token that is missing, and those by number."""
         if len(self.recent) > RECENT:
+            for w in self.recent:
+                del self.kept[w]
             self.recent.clear()
         words = [WORD.findall(t) for t in texts]
-        distinct = set().union(*words)
-        parts = {w: _parts(w) for w in distinct.difference(self.warm).difference(self.recent)}
+        parts = {w: _parts(w) for w in set(filterfalse(self.kept.__contains__, chain.from_iterable(words)))}
         found = self.look(list({p for ps in parts.values() for p in ps}))
         unknown = {}
         for w, ps in parts.items():
@@ -239,13 +240,14 @@ class Known:
             if None in got:
                 unknown[w] = ps
             else:
-                (self.warm if len(self.warm) < WARM else self.recent)[w] = got[0] if len(got) == 1 else b"".join(got)
-        batch = _Batch({w: self.warm.get(w) or self.recent.get(w) for w in distinct.difference(unknown)})
-        batch.found, batch.unknown = found, unknown
+                if len(self.kept) >= WARM:
+                    self.recent.append(w)
+                self.kept[w] = got[0] if len(got) == 1 else b"".join(got)
+        self.kept.found, self.kept.unknown = found, unknown
         out = []
         for own in words:
-            batch.rare = {}
-            out.append((b"".join(map(batch.__getitem__, own)), list(batch.rare)))
+            self.kept.rare = {}
+            out.append((b"".join(map(self.kept.__getitem__, own)), list(self.kept.rare)))
         return out
 
 
@@ -261,8 +263,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-class _Batch(dict):
-    """Ids of a batch's words; of one with unknown pre-tokens they are put together anew in each text."""
+class _Kept(dict):
+    """Ids of words; of one of the batch's with unknown pre-tokens they are put together anew in each text."""
 
     def __missing__(self, word: str) -> bytes:
         found, rare = self.found, self.rare
