@@ -41,3 +41,32 @@ def test_matched_pairs_of_nothing(spark):
     table = spark.createDataFrame([(1, "a", 3, 0.0), (2, None, 3, 9.0), (3, "a", None, 9.0)], "id long, k string, step int, y double")
     assert matching.matched_pairs(table, "y", ["k"], ("step", 1.0)).count() == 0
     assert matching.matched_pairs(table.filter("false"), "y", ["k"], ("step", 1.0)).count() == 0
+
+
+def token_sets(spark, sets):
+    rows = spark.createDataFrame([("a" if i % 5 else "b", sorted(s)) for i, s in enumerate(sets)], "ticker string, tokens array<string>")
+    return rows.select("ticker", F.xxhash64(F.array_sort("tokens")).alias("same"), "tokens")
+
+
+@pytest.mark.parametrize("threshold", [0.92, 0.7])
+def test_similar_sets_by_all_pairs(spark, threshold):
+    """Sets of all sizes with copies that lack, have or change some tokens; the pairs at the threshold itself are found."""
+    rng = np.random.default_rng(7)
+    sets = [set(), {"w1"}, {f"w{i}" for i in range(23)}, {f"w{i}" for i in range(25)}, {f"w{i}" for i in range(12)}, {f"w{i}" for i in range(13)}]
+    for n in [*range(1, 60), 150, 400, 900]:
+        own = [f"w{int(i)}" for i in rng.choice(3000, n, replace=False)]
+        for changed in {0, 1, int(0.04 * n), int(0.08 * n), int(0.12 * n)}:
+            sets += [set(own[changed:]), set(own[changed:]) | {f"new{n}-{i}" for i in range(changed)}, set(own) | {f"more{n}-{i}" for i in range(changed)}]
+    rows = token_sets(spark, sets).localCheckpoint()
+    held = {(r.ticker, r.same): set(r.tokens) for r in rows.collect()}
+    alike = lambda p, q: len(p & q) >= threshold * len(p | q) - 1e-9
+    want = {(t, x, y) for (t, x), p in held.items() for (u, y), q in held.items() if t == u and x < y and p and q and alike(p, q)}
+    got = [tuple(r) for r in matching.similar_sets(rows, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_unlike_sets_are_no_candidates(spark):
+    """Sets of frequent tokens alone share some of their rarest, but no whole part."""
+    rng = np.random.default_rng(3)
+    rows = token_sets(spark, [{f"w{int(i)}" for i in rng.choice(600, 200, replace=False)} for _ in range(400)])
+    assert matching.candidate_sets(rows, 0.92).count() < 40

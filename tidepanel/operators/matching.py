@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from tidepanel.functions.estimators import parkinson
 from tidepanel.functions.scalar import log_shifted
 from tidepanel.operators.calendar import forward_session
 from tidepanel.operators.ranking import quantiles, running_least
-from tidepanel.sources.sinks import checkpointed
+from tidepanel.sources.sinks import checkpointed, written
 
 
 def forward_parkinson(events: DataFrame, bars: DataFrame, n: int = 5, key: str = "ticker") -> DataFrame:
@@ -89,30 +92,87 @@ def nearest_dates(df: DataFrame, score: str, keys: list[str], date: str = "date"
     return found.filter("b is not null").select("high_id", F.col("b.low_id").alias("low_id"), F.col("b.distance").alias("distance"))
 
 
+def candidate_sets(rows: DataFrame, threshold: float) -> DataFrame:
+    """ticker, x, y (x < y): pairs of different token sets of a ticker, among them all whose Jaccard similarity is at least threshold.
+
+    rows: ticker, same (a set's hash), tokens (distinct); sets may be repeated, empty ones meet nothing. Two such sets
+    differ in at most k tokens, k by their sizes, so of k + 1 parts that a token's hash deals them into one holds the same
+    tokens of both: candidates share a whole part, which unlike sets hardly do. Sizes are cut into bands; a pair lies in one
+    band or in two neighbours, and k is that of the smaller's band.
+    """
+
+    def part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows (ticker, same, hashes: ascending, distinct, at least one), a row for each part of each of a set's two schemes."""
+        width = math.log(1 / threshold) + 1e-9  # sizes within the threshold are in one band of this width or in neighbours
+        for b in batches:
+            if not len(b):
+                continue
+            n, hashes = b.column(2).value_lengths().to_numpy(), b.column(2).flatten().to_numpy()
+            band = np.floor(np.log(n) / width).astype(np.int64)
+            for scheme in (band, band - 1):  # as the smaller and as the larger set of a pair
+                parts = np.floor((1 - threshold) / threshold * np.exp((scheme + 1) * width) + 1e-6).astype(np.int64) + 1
+                base, row = np.cumsum(parts) - parts, np.repeat(np.arange(len(n)), parts)
+                slot = np.repeat(base, n) + (((hashes >> 32) + (1 << 31)) * np.repeat(parts, n) >> 32)
+                first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+                total = np.zeros(len(row), np.int64)
+                total[slot[first]] = np.add.reduceat(hashes, first)
+                take = pa.array(row)
+                arrays = [b.column(0).take(take), b.column(1).take(take), pa.array(n[row].astype(np.int32)), pa.array(scheme[row]), pa.array(np.arange(len(row)) - base[row]), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["ticker", "same", "n", "scheme", "part", "total"])
+
+    hashes = F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t)))
+    keyed = rows.filter(F.size("tokens") > 0).select("ticker", "same", F.array_distinct(hashes).alias("hashes"))
+    kind = rows.schema["ticker"].dataType.simpleString()
+    keyed = keyed.mapInArrow(part_keys, f"ticker {kind}, same long, n int, scheme long, part long, total long")
+    keyed = keyed.select("ticker", "same", "n", F.xxhash64("ticker", "scheme", "part", "total").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("same").alias("low"), F.max("same").alias("high")).filter("low < high").select("key")
+    members = checkpointed(keyed.join(shared, "key").distinct())
+    a, b = members.alias("a"), members.alias("b")
+    meet = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.ticker") == F.col("b.ticker")) & (F.col("a.same") < F.col("b.same")) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9) & (F.col("a.n") >= threshold * F.col("b.n") - 1e-9))
+    return meet.select(F.col("a.ticker").alias("ticker"), F.col("a.same").alias("x"), F.col("b.same").alias("y")).distinct()
+
+
+def _parities(tokens: Column, words: int = 4) -> Column:
+    """64 x words bits, each told by whether an odd number of tokens has it: two sets differ in as many tokens as bits, or in more."""
+    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    word = lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(words)) == i), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(one(F.shiftright(h, 8).bitwiseAND(F.lit(63)))))
+    return F.array(*(word(i) for i in range(words)))
+
+
+def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
+    """Those of candidate_sets() whose Jaccard similarity is at least threshold, counted out from the tokens.
+
+    Tokens are sent out only for pairs whose parities leave it open.
+    """
+    meet = checkpointed(candidate_sets(rows, threshold))
+    asked = meet.select("ticker", F.explode(F.array("x", "y")).alias("same")).distinct()
+    sets = rows.join(asked, ["ticker", "same"], "left_semi").groupBy("ticker", "same").agg(F.first("tokens").alias("tokens"))
+    sets = checkpointed(sets.select("*", F.size("tokens").alias("n"), _parities(F.col("tokens")).alias("bits")))
+    side = lambda s, *held: sets.select("ticker", F.col("same").alias(s), *(F.col(k).alias(f"{k}_{s}") for k in held))
+    apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    open_ = meet.join(side("x", "n", "bits"), ["ticker", "x"]).join(side("y", "n", "bits"), ["ticker", "y"])
+    open_ = checkpointed(open_.filter(apart <= (1 - threshold) / (1 + threshold) * (F.col("n_x") + F.col("n_y")) + 1e-6).select("ticker", "x", "y"))
+    common = F.size(F.array_intersect("tokens_x", "tokens_y"))
+    both = open_.join(side("x", "tokens"), ["ticker", "x"]).join(side("y", "tokens"), ["ticker", "y"])
+    return both.filter(common / (F.size("tokens_x") + F.size("tokens_y") - common) >= threshold).select("ticker", "x", "y")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.92, days: int = 7) -> DataFrame:
     """doc_id, duplicate for docs (doc_id, ticker, date, text), in order of date and doc_id.
 
     A document is a duplicate if an earlier kept one of its ticker, at most days back, has a token-set Jaccard of threshold.
-    Candidates share one of their rarest tokens (prefix filter: exact for Jaccard); then rounds settle the order: a
-    document goes if an earlier neighbour is kept and stays if all of them are gone. Of documents with one token set and
-    one date only the first can stay (what drops it drops the others too), so copies aren't expanded into pairs; a text of
-    many dates meets those of its own span of days and of the one before. A document without tokens is never a duplicate.
+    Candidates share a whole part of their tokens (candidate_sets(): exact for Jaccard); then rounds settle the order: a document goes if an earlier
+    neighbour is kept and stays if all of them are gone. Of documents with one token set and one date only the first can
+    stay (what drops it drops the others too), so copies aren't expanded into pairs; a text of many dates meets those of
+    its own span of days and of the one before. A document without tokens is never a duplicate.
     """
-    tokens = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit("[a-z0-9]+"), 0))
-    rows = checkpointed(docs.select("doc_id", "ticker", "date", tokens.alias("tokens"), F.xxhash64(F.array_sort(tokens)).alias("same")))
-    sets = rows.groupBy("ticker", "same").agg(F.first("tokens").alias("tokens"))
-    flat = sets.select("ticker", "same", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rarity = flat.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = flat.join(rarity, "token").withColumn("i", F.row_number().over(Window.partitionBy("ticker", "same").orderBy("df", "token")))
-    prefix = ranked.filter(F.col("i") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("ticker", "same", "n", "token")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    meet = a.join(b, (F.col("a.ticker") == F.col("b.ticker")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.same") < F.col("b.same")) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9) & (F.col("a.n") >= threshold * F.col("b.n") - 1e-9))
-    meet = meet.select(F.col("a.ticker").alias("ticker"), F.col("a.same").alias("x"), F.col("b.same").alias("y")).distinct()
-    side = lambda s: sets.select("ticker", F.col("same").alias(s), F.col("tokens").alias(f"t{s}"))
-    common = F.size(F.array_intersect("tx", "ty"))
-    close = meet.join(side("x"), ["ticker", "x"]).join(side("y"), ["ticker", "y"]).filter(common / (F.size("tx") + F.size("ty") - common) >= threshold).select("ticker", "x", "y")
-    alike = close.unionByName(close.select("ticker", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(sets.filter(F.size("tokens") > 0).select("ticker", F.col("same").alias("x"), F.col("same").alias("y")))
-    firsts = checkpointed(rows.filter(F.size("tokens") > 0).groupBy("ticker", "same", "date").agg(F.min("doc_id").alias("doc_id")))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0))
+    # as a compressed table of columns: the tokens are as large as the texts, and most steps read only the others
+    rows = docs.sparkSession.read.parquet(written(docs.select("doc_id", "ticker", "date", tokens.alias("tokens")).select("*", F.xxhash64(F.array_sort("tokens")).alias("same"), F.coalesce(F.size("tokens"), F.lit(0)).alias("n")), "parquet"))
+    close = checkpointed(similar_sets(rows, threshold))
+    alike = close.unionByName(close.select("ticker", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(rows.filter("n > 0").select("ticker", F.col("same").alias("x"), F.col("same").alias("y")).distinct())
+    firsts = checkpointed(rows.filter("n > 0").groupBy("ticker", "same", "date").agg(F.min("doc_id").alias("doc_id")))
     one = firsts.select("ticker", "doc_id", "date", F.col("same").alias("x"))
     other = firsts.select("ticker", F.col("doc_id").alias("prior"), F.col("date").alias("prior_date"), F.col("same").alias("y"))
     gap = F.datediff("date", "prior_date")
@@ -121,7 +181,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.92, days: int = 7) ->
     span = lambda d: F.floor(F.unix_date(F.to_date(d)) / width)
     spans = one.join(alike, ["ticker", "x"]).withColumn("_span", F.explode(F.array(span("date"), span("date") - 1)))
     edges = checkpointed(spans.join(other.withColumn("_span", span("prior_date")), ["ticker", "y", "_span"]).filter(earlier & (gap <= days)).select("doc_id", "prior"))
-    rest = rows.join(firsts.select("doc_id"), "doc_id", "left_anti").select("doc_id", (F.size("tokens") > 0).alias("duplicate"))
+    rest = rows.join(firsts.select("doc_id"), "doc_id", "left_anti").select("doc_id", (F.col("n") > 0).alias("duplicate"))
     state = firsts.select("doc_id").join(edges.select("doc_id").distinct().withColumn("open", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(False)).cast("boolean").alias("gone"))
     while True:
         of = state.select(F.col("doc_id").alias("prior"), F.col("gone").alias("prior_gone"))
