@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (least doc_id, null first): five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays (least doc_id, null first): SimHash, then min-hashes, each link a similarity of 0.8 or more of five-word shingles."""
     return simhash.one_of_each(docs)
 
 

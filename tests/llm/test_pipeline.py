@@ -86,6 +86,25 @@ def test_stages_by_brute_force(spark, sf):
     assert max(total.values()) <= 2048
 
 
+def test_near_copies_by_fingerprints_alone(spark):
+    """Without min-hashes SimHash has to find them: of texts with one word changed all that are two bits apart at most, and no unlike text."""
+    import random
+
+    from tidepanel.llm import simhash
+
+    draw = random.Random(5)
+    texts = []
+    for _ in range(40):
+        words = [f"w{draw.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["First", *words[1:]]), " ".join(words).upper()]
+    docs = durable(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.component for r in simhash.similar_documents(docs, bands=0).collect()}
+    fps, sets = [simhash.fingerprint(t, 5) for t in texts], [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 2 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 60 and all(got[i] == got[j] for i, j in near)
+    assert all(i // 4 == j // 4 for i in got for j in got if got[i] == got[j])
+
+
 def test_stages_of_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:

@@ -147,17 +147,18 @@ def min_hashes(own: np.ndarray) -> np.ndarray:
     return least
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, same, keys = [], [], []
+        n, same, keys, fp = [], [], [], []
         for text in batch.column(1).to_pylist():
             own = shingle_hashes(text, shingle)
             least = min_hashes(own)
             n.append(len(own))
             same.append(xxhash.xxh128_digest(own.tobytes()))
-            keys.append([xxhash.xxh64_intdigest(least[t * ROWS : (t + 1) * ROWS].tobytes(), seed=t) - (1 << 63) for t in range(BANDS)])
-        arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n", "same", "keys"])
+            keys.append([xxhash.xxh64_intdigest(least[t * ROWS : (t + 1) * ROWS].tobytes(), seed=t) - (1 << 63) for t in range(bands)])
+            fp.append(fingerprint(text, shingle))
+        arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(fp, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n", "same", "keys", "fp"])
 
 
 #: Texts, and shingles of them, of a bucket that make a block; a task compares two blocks at once.
@@ -257,12 +258,24 @@ def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity:
     return both.mapInArrow(partial(_similar, shingle=shingle, similarity=similarity), "a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """a > b: candidates among texts (id, fp) by SimHash: each with the first of its fingerprint, and the firsts of fingerprints that links() joins."""
+    first = durable(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    same = prints.join(first, "fp").filter("id > least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    of = lambda s: first.select(F.col("fp").alias(s), F.col("least").alias(f"{s}_id"))
+    near = links(first.select("fp"), distance).join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(near.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, bands: int = BANDS) -> DataFrame:
     """doc_id, row, component of each row of docs: near copies by word shingles, component the least row among them.
 
     Two texts are linked if the Jaccard similarity of their shingle sets, counted out from the texts, is at least the one
-    asked for. Candidates share a bucket, a key of ROWS min-hashes: a pair at 0.8 shares one of BANDS with a probability
-    of 0.997, a more similar one more surely. First each text meets the bucket's first that it shares most buckets with;
+    asked for. SimHash comes first: fingerprints at most distance bits apart, found by blocks and compared bit by bit
+    (links()), give pairs, which the texts confirm, and components. Texts at that similarity can be further apart (some ten
+    bits at 0.8, where blocks would be too short to tell texts apart); they are found among what SimHash left in several
+    components: candidates share a bucket, a key of ROWS min-hashes: a pair at 0.8 shares one of BANDS with a probability
+    of 0.997, a more similar one more surely. There each text meets the bucket's first that it shares most buckets with;
     then all pairs of all buckets whose texts are not in one component yet are counted out where the bucket is, whatever
     its size (links_in_buckets), and give as many links as join them. Equal shingle sets count as one. Null and empty
     texts and those without words are each other's copies; repeated rows and ids are told apart; an empty table gives an
@@ -270,17 +283,23 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = numbered(docs.select("doc_id", "text"), "row")
-    found = durable(rows.mapInArrow(partial(_sketches, shingle=shingle), f"doc_id {kind}, row long, n long, same binary, keys array<long>"))
+    found = durable(rows.mapInArrow(partial(_sketches, shingle=shingle, bands=bands), f"doc_id {kind}, row long, n long, same binary, keys array<long>, fp long"))
     least = found.groupBy("same").agg(F.min("row").alias("id"))
     distinct = found.join(least.select(F.col("id").alias("row")), "row", "left_semi").filter("n > 0")
     keyed = durable(distinct.select(F.col("row").alias("id"), "n", F.explode("keys").alias("key")))
     shared = durable(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size"))
     members = durable(keyed.join(shared, "key"))
-    texts = durable(rows.select(F.col("row").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi"))
-
-    often = members.filter("id > first").groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("times"))
-    tried = durable(often.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b")))
-    edges = durable(similar_pairs(texts, tried, shingle, similarity))
+    by_bits = durable(fingerprint_pairs(distinct.select(F.col("row").alias("id"), "fp"), distance))
+    ids = members.select("id").unionByName(by_bits.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    texts = durable(rows.select(F.col("row").alias("id"), "text").join(ids, "id", "left_semi"))
+
+    edges = durable(similar_pairs(texts, by_bits, shingle, similarity))
+    root = durable(roots(edges))
+    part = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+    apart = F.coalesce("id_root", "id") != F.coalesce("first_root", "first")
+    often = members.filter("id > first").groupBy("id", "first").agg(F.count("*").alias("times")).join(part("id"), "id", "left").join(part("first"), "first", "left").filter(apart)
+    tried = durable(often.groupBy(F.col("id").alias("a")).agg(F.max_by("first", F.struct("times", -F.col("first"))).alias("b")))
+    edges = durable(edges.unionByName(similar_pairs(texts, tried, shingle, similarity)))
     root = roots(edges)
     placed = durable(members.join(root, members["id"] == root["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("part")))
     mixed = durable(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("size")).filter("low < high").select("key", "texts", "size"))
@@ -293,7 +312,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each component the row of least doc_id, then of least scan place; all columns stay.
+    """docs without near copies (similar_documents()): of each component the row of least doc_id, then of least scan place; all columns stay.
 
     A null doc_id counts as least. Of all rows without words one stays. An empty table gives an empty one.
     """
