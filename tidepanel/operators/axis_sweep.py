@@ -77,7 +77,8 @@ def _logistic(table: DataFrame, bounds: dict, weights: dict, k: int, labels: lis
 
     Each round is one pass that sums every candidate's gradient; a step is preconditioned by a bound of the curvature, a
     quarter of the weighted products, which need no pass; steps carry momentum, begun anew when they turn back.
-    table: layer, domain, high, low, vec. weights: by version, domain and label.
+    table: layer, domain, high, low, vec. weights: by version, domain and label. The passes read matrices that are packed
+    once, without the rows that are neither high nor low in any label, whose gradients are zero.
     """
     cands = list(product(versions, range(len(labels))))
     layers = sorted({layer for layer, _ in bounds})
@@ -86,6 +87,19 @@ def _logistic(table: DataFrame, bounds: dict, weights: dict, k: int, labels: lis
     inverse = {key: np.linalg.inv(b) for key, b in bounds.items()}
     mass = {(v, j): sum(weights[v, d, j][1] for d in weights["domains"]) for v, j in cands}
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            layer, domain = np.array(b.column(0).to_pylist()), np.array(b.column(1).to_pylist())
+            high, low, x = matrix_of(b.column(2)), matrix_of(b.column(3)), matrix_of(b.column(4))
+            x, used = np.concatenate([x, np.ones((len(x), 1))], axis=1), np.maximum(high, low).any(axis=1)
+            for key in {*zip(layer[used].tolist(), domain[used].tolist(), strict=True)}:
+                rows = used & (layer == key[0]) & (domain == key[1])
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.string()), *(pa.array([m[rows].tobytes()], pa.binary()) for m in (high, low, x))], names=["layer", "domain", "high", "low", "x"])
+
+    packed = checkpointed(table.select("layer", "domain", "high", "low", "vec").mapInArrow(pack, "layer long, domain string, high binary, low binary, x binary"))
+
     def gradients(points: dict) -> dict:
         held = table.sparkSession.sparkContext.broadcast(points)
         own = {d: np.array([[weights[v, d, j][0]] for v, j in cands]) for d in weights["domains"]}
@@ -94,17 +108,11 @@ def _logistic(table: DataFrame, bounds: dict, weights: dict, k: int, labels: lis
             total: dict[int, np.ndarray] = {}
             pick = [j for _, j in cands]
             for b in batches:
-                if not len(b):
-                    continue
-                layer, domain = np.array(b.column(0).to_pylist()), np.array(b.column(1).to_pylist())
-                high, low, x = matrix_of(b.column(2)), matrix_of(b.column(3)), matrix_of(b.column(4))
-                x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-                for key in {*zip(layer.tolist(), domain.tolist(), strict=True)}:
-                    rows = (layer == key[0]) & (domain == key[1])
-                    z = x[rows] @ held.value[key[0]].T
-                    y = high[rows][:, pick]
-                    seen = np.maximum(y, low[rows][:, pick])
-                    total[key[0]] = total.get(key[0], 0.0) + ((1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * seen).T @ x[rows] * own[key[1]]
+                for key, domain, *raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    high, low = (np.frombuffer(m).reshape(-1, len(labels))[:, pick] for m in raw[:2])
+                    x = np.frombuffer(raw[2]).reshape(-1, k + 1)
+                    z = x @ held.value[key].T
+                    total[key] = total.get(key, 0.0) + ((1 / (1 + np.exp(-np.clip(z, -500, 500))) - high) * np.maximum(high, low)).T @ x * own[domain]
             for key, t in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([t.tobytes()], pa.binary())], names=["layer", "g"])
 
@@ -116,7 +124,7 @@ def _logistic(table: DataFrame, bounds: dict, weights: dict, k: int, labels: lis
             for key, t in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([t.tobytes()], pa.binary())], names=["layer", "g"])
 
-        sums = table.select("layer", "domain", "high", "low", "vec").mapInArrow(run, "layer long, g binary").repartition("layer").mapInArrow(merged, "layer long, g binary")
+        sums = packed.mapInArrow(run, "layer long, g binary").repartition("layer").mapInArrow(merged, "layer long, g binary")
         return {r["layer"]: np.frombuffer(bytes(r["g"])).reshape(len(cands), -1) for r in sums.collect()}  # a row for each layer
 
     free = np.append(np.full(k, penalty), 0.0)
