@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -375,6 +376,20 @@ def test_encoder_is_the_library(texts):
     assert encoder.texts(own) == [np.array(x.ids, "<u4").tobytes() for x in encoder.model.encode_batch(own, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("alphabet", [["<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "x", " ", "<|startoftext|>"], ["\u0338", "<", "=", ">", "é", "\u2028", "\u3000", "\xa0", " ", "A", "'S", "7", ",", "\x1d", "한", "가\u11a8", "ﬁ", "İ"]])
+def test_words_told_apart_once(monkeypatch, alphabet):
+    """Special tokens, signs that compose, wide white space: each distinct word is looked up once, with the library's ids."""
+    rng = random.Random(11)
+    own = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(2000)]
+    encoder, looked = pieces.Encoder(WORD_BPE), []
+    monkeypatch.setattr(encoder, "words", lambda words, f=encoder.words: looked.extend(words) or f(words))
+    want = [np.array(x.ids, "<u4").tobytes() for x in encoder.model.encode_batch(own, add_special_tokens=False)]
+    assert encoder.texts(own) == want and encoder.texts(pa.array([None, *own]).slice(1)) == want
+    looked.clear()
+    assert len(set(encoder.texts(["alpha beta. Alpha, beta\n"] * 500))) == 1
+    assert set(looked) == {"alpha", "beta", ".", ",", ""} and len(looked) <= 6
+
+
 def test_packing(docs):
     library = Tokenizer.from_file(WORD_BPE)
     out = packing.packed_documents(docs, WORD_BPE, 64)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import durable, numbered
-from tidepanel.llm.pieces import encoder
+from tidepanel.llm.pieces import encoder, gathered
 
 #: Rows of one length that are ranked in one task, roughly.
 RANKED = 4096
@@ -28,10 +28,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in gathered(batches):
             of, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, raw in enumerate(known.texts(texts)):
+            for i, raw in enumerate(known.texts(batch.column(1))):
                 raw += end
                 for k, s in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[s : s + 4 * capacity]

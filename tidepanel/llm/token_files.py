@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.checksums import joined
 from tidepanel.llm.common import durable, session, text_of
-from tidepanel.llm.pieces import encoder
+from tidepanel.llm.pieces import encoder, gathered
 
 #: Ids of a block.
 CHUNK = 65_536
-#: Characters of texts that are tokenised together: what they share is looked up once.
-TOGETHER = 4_000_000
 LEVEL = 3
 _FORMAT = "shard int, chunk int, first long, n_ids int, unit string, width int, crc32 long, planes array<binary>, sizes array<int>"
 _PART = "doc_id {kind}, nth: long, start: long, at: int, n: int, begins: boolean, ends: boolean"
@@ -69,21 +67,9 @@ def _chunks(tokenizer: str, end_id: int, chunk: int, unit: str):
             docs.clear()
             return pa.RecordBatch.from_arrays(columns, names=["shard", "chunk", "first", "n_ids", "unit", "width", "crc32", "planes", "sizes", "docs"])
 
-        def tokenised() -> Iterator[tuple]:
-            nonlocal kind, shard
-            ids, texts, size = [], [], 0
-            for batch in batches:
-                kind, shard = batch.schema.types[0], batch.column(2)[0].as_py() if len(batch) else shard
-                ids += batch.column(0).to_pylist()
-                texts += batch.column(1).to_pylist()
-                size += batch.column(1).nbytes
-                if size >= TOGETHER:
-                    yield ids, known.texts(texts)
-                    ids, texts, size = [], [], 0
-            yield ids, known.texts(texts)
-
-        for ids, raws in tokenised():
-            for doc_id, raw in zip(ids, raws, strict=True):
+        for batch in gathered(batches):
+            kind, shard = batch.schema.types[0], batch.column(2)[0].as_py() if len(batch) else shard
+            for doc_id, raw in zip(batch.column(0).to_pylist(), known.texts(batch.column(1)), strict=True):
                 raw += end
                 start, done = first + len(held) // 4, 0
                 while done < len(raw):
