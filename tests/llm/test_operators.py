@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import os
+import pickle
 import random
 import re
 import zlib
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidepanel.llm import bpe, licenses, packing, personal_data, pieces, repetition, simhash, suffix_dedup, token_counts, topk, url_rules
+from tidepanel.llm import bpe, licenses, packing, personal_data, pieces, queries, repetition, simhash, suffix_dedup, token_counts, topk, url_rules
 
 SPACES = r"[^\x20\x09-\x0D]+"
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -108,6 +109,39 @@ def test_bpe_round_trip(docs, known):
     assert bpe.encode(empty(docs), ranks, known).count() == 0
 
 
+def test_bpe_decodes_where_it_encodes(spark, docs):
+    """No literal of all pieces and no higher-order function over each id: the tasks that fill ids in join their pieces."""
+    ranks = bpe.read_ranks(BYTE_BPE)
+    plan = queries.op2_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "unhex" not in plan
+    known = lambda df: sorted(map(str, df.select("doc_id", "ids", "ids_le", "decoded").collect()))
+    assert known(bpe.encode(docs, ranks, 30, decoded=True)) == known(bpe.decode(bpe.encode(docs, ranks, 30), ranks))
+    rows = spark.createDataFrame([([1, 2],), (None,), ([],), ([2, None],), ([len(ranks) + 9],), ([-1],)], "ids array<int>")
+    piece = {v: k for k, v in ranks.items()}
+    assert [r.decoded and bytes(r.decoded) for r in bpe.decode(rows.limit(3), ranks).collect()] == [piece[1] + piece[2], None, b""]
+    for k in (3, 4, 5):
+        with pytest.raises(Exception, match="no piece has the id"):
+            bpe.decode(rows.limit(k + 1).offset(k), ranks).collect()
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "\u2028", "\xa0", "\u3000\n", "\x85 ", "\u1680", "\x1c", "'"])
+def test_bpe_parts_words_at_white_space_and_signs(gap):
+    """Missing pre-tokens get marks and numbers of their own in each text; wide white space is white space."""
+    ranks, rng = bpe.read_ranks(BYTE_BPE), random.Random(4)
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = ["".join(rng.choices(["alpha", "É", gap, gap, " ", "'s", "!?", ".", "12", "|", "<", "同", "\n"], k=rng.randint(0, 25))) for _ in range(400)]
+    words = sorted({p for t in own for p in bpe.PARTS.findall(t)})[::2]
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array([encoder.encode_ordinary(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+    table = [tuple(c[0].as_py() for c in r.columns) for r in bpe._compact(iter([batch]))]
+    known = pickle.loads(pickle.dumps(bpe.Known(table, ranks)))
+    # of a table that all of an executor's workers may hold: 18 bytes a word besides the words and their ids
+    assert known.hashes.nbytes + sum(x.nbytes for s in known.spans for x in s) <= 18 * len(words) and bpe.KNOWN <= 10**6
+    for _ in range(2):
+        for text, (marked, rare) in zip(own, known.texts(pa.array(["x", *own]).slice(1)), strict=True):
+            assert len(set(rare)) == len(rare) and not set(rare) & set(words)
+            assert bpe.filled(marked, [encoder.encode_ordinary(r) for r in rare]).tolist() == encoder.encode_ordinary(text)
+
+
 def test_bpe_of_very_long_pretokens(spark):
     """100,000 letters without a gap, and pre-tokens about the length from which a heap merges them."""
     ranks, rng = bpe.read_ranks(BYTE_BPE), random.Random(8)

@@ -7,7 +7,6 @@ import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -15,17 +14,16 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidepanel.llm.common import durable, session, text_of
-from tidepanel.llm.pieces import WHITE
+from tidepanel.llm.pieces import gathered, parted, spread
 
-#: Pre-tokens of at most SHORT bytes that every worker holds with their ids, some 25 bytes each, 50 once unpacked; the rest are folded beside
-#: their document, but for those over LONG bytes, where a fold's work would be the square of them.
-KNOWN, SHORT, LONG = 2_000_000, 64, 512
+#: Pre-tokens of at most SHORT bytes that every worker holds with their ids, some 25 bytes each, 40 once unpacked; all of an executor's workers
+#: may come to hold them, so the table has to be small. The rest are folded beside their document, but for those over LONG bytes, where a fold's work would be the square of them.
+KNOWN, SHORT, LONG = 1_000_000, 64, 512
 #: Words that a worker keeps for good, and until as many are gathered: a bound on its memory, not on its input.
-WARM, RECENT = 250_000, 150_000
-#: Bytes of texts whose words are looked up together.
-BATCH_BYTES = 4_000_000
+WARM, RECENT = 120_000, 60_000
 #: Multipliers that pick the two places of a key in the literal rank map.
 PLACES = (0x9E3779B1, 0x85EBCA77)
 #: Fixed pattern of pre-tokens; Java's \s is all Unicode white space under (?U).
@@ -34,8 +32,6 @@ PATTERN = f"(?U){PRE_TOKEN}"
 #: Ids from here on are marks of pre-tokens yet to be filled in.
 _MARK = 1 << 31
 PARTS = regex.compile(PRE_TOKEN)
-#: White space and what follows it up to the next: no pre-token crosses such words, and each parts the same anywhere.
-WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -193,7 +189,7 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Known:
-    """Ids of texts' words (WORD), found in a table of pre-tokens; those that it lacks are marked and listed.
+    """Ids of texts' words (parted), found in a table of pre-tokens; those that it lacks are marked and listed.
 
     The driver only strings parts of the table together; each worker makes a few flat arrays of them, sorted by hash.
     What has been found is kept for a while.
@@ -205,12 +201,14 @@ class Known:
     def __setstate__(self, state: dict) -> None:
         parts, self.ranks = state["parts"], state["ranks"]
         hashes = np.frombuffer(b"".join(p[0] for p in parts), np.uint64)
-        order = np.argsort(hashes)
+        order = np.argsort(hashes).astype(np.uint32)
         self.hashes, self.words = hashes[order], b"".join(p[1] for p in parts)
         self.ids = b"".join(np.frombuffer(p[4], f"<u{p[5]}").astype("<u4").tobytes() for p in parts)
-        sizes = [np.frombuffer(b"".join(p[k] for p in parts), np.uint8).astype(np.uint32) * unit for k, unit in ((2, 1), (3, 4))]
-        self.spans = [np.stack([np.cumsum(x, dtype=np.uint32) - x, x])[:, order] for x in sizes]
-        self.kept, self.recent = _Kept(), []
+        self.spans = []  # where each begins, and its size in a byte
+        for k in (2, 3):
+            sizes = np.frombuffer(b"".join(p[k] for p in parts), np.uint8)
+            self.spans.append(((np.cumsum(sizes, dtype=np.uint32) - sizes)[order], sizes[order]))
+        self.kept, self.recent = {}, []
 
     def look(self, parts: list[str]) -> dict[str, bytes]:
         """Those of parts that the table holds, and long ones, with their ids."""
@@ -220,55 +218,39 @@ class Known:
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = np.flatnonzero(self.hashes[at] == hashes)
-            for k, w, wn, i, n in zip(hit.tolist(), *(s[j, at[hit]].tolist() for s in self.spans for j in (0, 1)), strict=True):
+            for k, w, wn, i, n in zip(hit.tolist(), *(x[at[hit]].tolist() for s in self.spans for x in s), strict=True):
                 if self.words[w : w + wn] == raw[k]:
-                    out[parts[k]] = self.ids[i : i + n]
+                    out[parts[k]] = self.ids[4 * i : 4 * (i + n)]
         return out
 
-    def texts(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
+    def texts(self, texts: pa.Array) -> list[tuple[bytes, list[str]]]:
         """Of each text the ids in order, with a mark and a number for each pre-token that is missing, and those by number."""
         if len(self.recent) > RECENT:
             for w in self.recent:
                 del self.kept[w]
             self.recent.clear()
-        words = [WORD.findall(t) for t in texts]
-        parts = {w: _parts(w) for w in set(filterfalse(self.kept.__contains__, chain.from_iterable(words)))}
+        ends, words = parted(texts)
+        keys = words.dictionary.to_pylist()
+        own, rare = list(map(self.kept.get, keys)), {}
+        parts = {k: _parts(keys[k]) for k, ids in enumerate(own) if ids is None}
         found = self.look(list({p for ps in parts.values() for p in ps}))
-        unknown = {}
-        for w, ps in parts.items():
-            got = [found.get(p) for p in ps]
-            if None in got:
-                unknown[w] = ps
+        for k, ps in parts.items():
+            if all(p in found for p in ps):
+                own[k] = self.kept[keys[k]] = found[ps[0]] if len(ps) == 1 else b"".join(map(found.__getitem__, ps))
+                if len(self.kept) > WARM:
+                    self.recent.append(keys[k])
             else:
-                if len(self.kept) >= WARM:
-                    self.recent.append(w)
-                self.kept[w] = got[0] if len(got) == 1 else b"".join(got)
-        self.kept.found, self.kept.unknown = found, unknown
-        out = []
-        for own in words:
-            self.kept.rare = {}
-            out.append((b"".join(map(self.kept.__getitem__, own)), list(self.kept.rare)))
-        return out
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together up to some BATCH_BYTES each, so that a word is looked up once for more texts."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= BATCH_BYTES:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
-class _Kept(dict):
-    """Ids of words; of one of the batch's with unknown pre-tokens they are put together anew in each text."""
-
-    def __missing__(self, word: str) -> bytes:
-        found, rare = self.found, self.rare
-        return b"".join([found[p] if p in found else (_MARK + rare.setdefault(p, len(rare))).to_bytes(4, "little") for p in self.unknown[word]])
+                own[k] = b"".join([found[p] if p in found else (_MARK + rare.setdefault(p, len(rare))).to_bytes(4, "little") for p in ps])
+        ids, ends = spread(own, words, ends)
+        # the batch's numbers of missing pre-tokens become each text's own
+        at, starts = np.flatnonzero(ids >= _MARK), np.append(0, ends)
+        pairs, place = np.unique(np.searchsorted(ends, at, "right") << 32 | (ids[at] & (_MARK - 1)), return_inverse=True)
+        first = np.searchsorted(pairs, np.arange(len(starts)) << 32)
+        ids[at] = (place - first[pairs[place] >> 32] + _MARK).astype("<u4")
+        names = list(rare)
+        missing = [names[k] for k in (pairs & (_MARK - 1)).tolist()]
+        raw, bounds = ids.tobytes(), (4 * starts.astype(np.int64)).tolist()
+        return [(raw[s:e], missing[i:j]) for s, e, i, j in zip(bounds, bounds[1:], first.tolist(), first[1:].tolist(), strict=False)]
 
 
 def _parts(word: str) -> list[str]:
@@ -295,8 +277,17 @@ def filled(marked: bytes, rare: list) -> np.ndarray:
     return np.concatenate([*parts, ids[last:]])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> DataFrame:
-    """doc_id, ids (array) and ids_le (the same, little-endian 32-bit) of each row of docs (doc_id, text).
+def _joined(rows: list, by_id: dict[int, bytes]) -> pa.Array:
+    """The bytes that each row of ids stands for; a null stays null."""
+    try:
+        return pa.array([None if ids is None else b"".join(map(by_id.__getitem__, ids)) for ids in rows], pa.binary())
+    except KeyError as e:
+        raise ValueError(f"no piece has the id {e}") from None
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array) and ids_le (the same, little-endian 32-bit) of each row of docs (doc_id, text); with decoded
+    also the bytes that those ids stand for, joined in the tasks that fill them in.
 
     The pre-tokens of the corpus are counted; the most frequent (`known` at most, of SHORT bytes at most) are folded once
     each and sent to all workers, a table of bounded size. A document's other pre-tokens, each once, are folded in its
@@ -313,31 +304,36 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN) -> Data
     held = docs.sparkSession.sparkContext.broadcast(Known([tuple(bytes(x) if isinstance(x, bytearray) else x for x in p) for p in parts.toLocalIterator()], ranks))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches):
-            got = held.value.texts(batch.column(1).to_pylist())
+        for batch in gathered(batches):
+            got = held.value.texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["doc_id", "marked", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = {rank: token for token, rank in ranks.items()}
         for batch in batches:
             out = [filled(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             sizes = np.cumsum([0, *map(len, out)])
             ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, "<u4"), *out]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "ids", "ids_le"])
+            more = [_joined([x.tolist() for x in out], by_id)] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([x.tobytes() for x in out], pa.binary()), *more], names=["doc_id", "ids", "ids_le", *["decoded"] * decoded])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = docs.select("doc_id", text_of().alias("text")).mapInArrow(mark, f"doc_id {kind}, marked binary, rare array<string>")
-    return marked.select("doc_id", "marked", F.when(F.size("rare") > 0, folded(F.col("rare"), tables)).otherwise(F.expr("cast(array() as array<array<int>>)")).alias("rare")).mapInArrow(fill, f"doc_id {kind}, ids array<int>, ids_le binary")
+    return marked.select("doc_id", "marked", F.when(F.size("rare") > 0, folded(F.col("rare"), tables)).otherwise(F.expr("cast(array() as array<array<int>>)")).alias("rare")).mapInArrow(fill, f"doc_id {kind}, ids array<int>, ids_le binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """encoded (with ids, an array) and the bytes that the ids stand for: their pieces joined, as column decoded.
 
-    The pieces are a literal array of hexadecimal digits, of the size of the rank file. No ids are no bytes; a null stays
-    null; equal rows give equal rows; an empty table gives an empty one. An id that no piece has is an error.
+    No ids are no bytes; a null stays null; equal rows give equal rows; an empty table gives an empty one. An id that no
+    piece has is an error.
     """
-    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    table = _literal(pieces, "array<string>")
-    piece = lambda i: F.coalesce(F.get(table, i), F.raise_error(F.format_string("no piece has the id %s", i)))
-    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", piece), "")))
+    session(encoded.sparkSession)
+    rows = encoded.drop("decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = {rank: token for token, rank in ranks.items()}
+        for batch in batches:
+            yield batch.append_column("decoded", _joined(batch.column("ids").to_pylist(), by_id))
+
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", BinaryType())]))

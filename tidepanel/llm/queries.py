@@ -21,8 +21,7 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = bpe.read_ranks(BYTE_BPE)
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    out = bpe.encode(table(spark, sf_dir, "documents"), bpe.read_ranks(BYTE_BPE), decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
