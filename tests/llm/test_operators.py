@@ -142,6 +142,27 @@ def test_bpe_parts_words_at_white_space_and_signs(gap):
             assert bpe.filled(marked, [encoder.encode_ordinary(r) for r in rare]).tolist() == encoder.encode_ordinary(text)
 
 
+def test_bpe_workers_map_their_table(spark):
+    """A worker gets the name of a file and maps it: its own memory doesn't grow with the table."""
+    ranks, rng = bpe.read_ranks(BYTE_BPE), random.Random(5)
+    words = sorted({"".join(rng.choices("abcdeß同", k=rng.randint(1, 12))) for _ in range(150_000)})
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array([encoder.encode_ordinary(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+    parts = [tuple(c[0].as_py() for c in r.columns) for r in bpe._compact(iter([batch.slice(0, 9), batch.slice(9)]))]
+    name = bpe._sent(spark.createDataFrame(parts, "hashes binary, words binary, word_sizes binary, id_sizes binary, ids binary, width long"))
+
+    def held() -> int:
+        return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon"))
+
+    sent = pickle.dumps(bpe.Known(name, {}))
+    before = held()
+    known = pickle.loads(sent)
+    assert len(sent) < 1_000 and held() - before < 1_000  # KB; the table has some 7 MB
+    assert known.look(words[::7]) == {w: np.array(encoder.encode_ordinary(w), "<u4").tobytes() for w in words[::7]}
+    assert known.look(["xyz", ""]) == {} and bpe.TOGETHER <= 10**6
+    assert pickle.loads(pickle.dumps(bpe.Known(bpe._sent(spark.createDataFrame([], "a binary, b binary, c binary, d binary, e binary, f long")), {}))).look(["a"]) == {}
+
+
 def test_bpe_of_very_long_pretokens(spark):
     """100,000 letters without a gap, and pre-tokens about the length from which a heap merges them."""
     ranks, rng = bpe.read_ranks(BYTE_BPE), random.Random(8)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import base64
 import json
+import mmap
+import os
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -12,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -19,11 +24,13 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tidepanel.llm.common import durable, session, text_of
 from tidepanel.llm.pieces import gathered, parted, spread
 
-#: Pre-tokens of at most SHORT bytes that every worker holds with their ids, some 25 bytes each, 40 once unpacked; all of an executor's workers
-#: may come to hold them, so the table has to be small. The rest are folded beside their document, but for those over LONG bytes, where a fold's work would be the square of them.
+#: Pre-tokens of at most SHORT bytes whose ids are in a file that an executor's workers map, some 45 bytes each; no worker
+#: holds it in memory of its own. The rest are folded beside their document, but for those over LONG bytes, where a fold's work would be the square of them.
 KNOWN, SHORT, LONG = 1_000_000, 64, 512
 #: Words that a worker keeps for good, and until as many are gathered: a bound on its memory, not on its input.
 WARM, RECENT = 120_000, 60_000
+#: Bytes of texts whose words are looked up together: a worker's arrays are several times as large.
+TOGETHER = 1_000_000
 #: Multipliers that pick the two places of a key in the literal rank map.
 PLACES = (0x9E3779B1, 0x85EBCA77)
 #: Fixed pattern of pre-tokens; Java's \s is all Unicode white space under (?U).
@@ -188,26 +195,44 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in row), pa.array([2 if small else 4])], names=["hashes", "words", "word_sizes", "id_sizes", "ids", "width"])
 
 
+def laid_out(parts: list[tuple]) -> Iterator[np.ndarray]:
+    """The table that rows of _compact make together, as arrays to be written end to end: the number of words and of their
+    bytes, hashes in order, where each word's ids and bytes begin and their sizes in a byte, all ids, all bytes."""
+    join = lambda k: b"".join(p[k] for p in parts)
+    hashes, words = np.frombuffer(join(0), np.uint64), np.frombuffer(join(1), np.uint8)
+    order = np.argsort(hashes).astype(np.uint32)
+    yield np.array([len(hashes), len(words)], np.uint64)
+    yield hashes[order]
+    sizes = [np.frombuffer(join(k), np.uint8) for k in (2, 3)]
+    yield from ((np.cumsum(x, dtype=np.uint32) - x)[order] for x in sizes)
+    yield np.concatenate([np.frombuffer(p[4], f"<u{p[5]}").astype("<u4") for p in parts] or [np.empty(0, "<u4")])
+    yield from (x[order] for x in sizes)
+    yield words
+
+
 class Known:
     """Ids of texts' words (parted), found in a table of pre-tokens; those that it lacks are marked and listed.
 
-    The driver only strings parts of the table together; each worker makes a few flat arrays of them, sorted by hash.
-    What has been found is kept for a while.
+    The table is rows of _compact, or the name of a file (laid_out) that Spark has brought to each executor: its workers
+    map one file and share its pages, and none unpacks it. What has been found is kept for a while.
     """
 
-    def __init__(self, parts: list[tuple], ranks: dict[bytes, int]):
-        self.parts, self.ranks = parts, ranks
+    def __init__(self, table: list[tuple] | str, ranks: dict[bytes, int]):
+        self.table, self.ranks = table, ranks
 
     def __setstate__(self, state: dict) -> None:
-        parts, self.ranks = state["parts"], state["ranks"]
-        hashes = np.frombuffer(b"".join(p[0] for p in parts), np.uint64)
-        order = np.argsort(hashes).astype(np.uint32)
-        self.hashes, self.words = hashes[order], b"".join(p[1] for p in parts)
-        self.ids = b"".join(np.frombuffer(p[4], f"<u{p[5]}").astype("<u4").tobytes() for p in parts)
-        self.spans = []  # where each begins, and its size in a byte
-        for k in (2, 3):
-            sizes = np.frombuffer(b"".join(p[k] for p in parts), np.uint8)
-            self.spans.append(((np.cumsum(sizes, dtype=np.uint32) - sizes)[order], sizes[order]))
+        table, self.ranks = state["table"], state["ranks"]
+        if isinstance(table, str):
+            with open(SparkFiles.get(table), "rb") as f:
+                self.raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        else:
+            self.raw = b"".join(x.tobytes() for x in laid_out(table))
+        n, size = np.frombuffer(self.raw, np.uint64, 2).tolist()
+        self.words, self.ids = len(self.raw) - size, 16 * (n + 1)  # where they begin
+        self.hashes = np.frombuffer(self.raw, np.uint64, n, 16)
+        begins = np.frombuffer(self.raw, np.uint32, 2 * n, 8 * n + 16).reshape(2, n)
+        sizes = np.frombuffer(self.raw, np.uint8, 2 * n, self.words - 2 * n).reshape(2, n)
+        self.spans = [*zip(begins, sizes, strict=True)]  # where each begins, and its size in a byte
         self.kept, self.recent = {}, []
 
     def look(self, parts: list[str]) -> dict[str, bytes]:
@@ -218,9 +243,10 @@ class Known:
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = np.flatnonzero(self.hashes[at] == hashes)
+            table, own, ids = self.raw, self.words, self.ids
             for k, w, wn, i, n in zip(hit.tolist(), *(x[at[hit]].tolist() for s in self.spans for x in s), strict=True):
-                if self.words[w : w + wn] == raw[k]:
-                    out[parts[k]] = self.ids[4 * i : 4 * (i + n)]
+                if table[own + w : own + w + wn] == raw[k]:
+                    out[parts[k]] = table[ids + 4 * i : ids + 4 * (i + n)]
         return out
 
     def texts(self, texts: pa.Array) -> list[tuple[bytes, list[str]]]:
@@ -285,12 +311,22 @@ def _joined(rows: list, by_id: dict[int, bytes]) -> pa.Array:
         raise ValueError(f"no piece has the id {e}") from None
 
 
+def _sent(parts: DataFrame) -> str:
+    """The name of the file, with the table that rows of _compact make, which each executor gets once."""
+    path = f"{os.path.realpath(tempfile.mkdtemp(prefix='spark-'))}/words-{uuid.uuid4().hex}"
+    with open(path, "wb") as f:
+        for x in laid_out([tuple(p) for p in parts.toLocalIterator()]):
+            x.tofile(f)
+    parts.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN, decoded: bool = False) -> DataFrame:
     """doc_id, ids (array) and ids_le (the same, little-endian 32-bit) of each row of docs (doc_id, text); with decoded
     also the bytes that those ids stand for, joined in the tasks that fill them in.
 
     The pre-tokens of the corpus are counted; the most frequent (`known` at most, of SHORT bytes at most) are folded once
-    each and sent to all workers, a table of bounded size. A document's other pre-tokens, each once, are folded in its
+    each and sent to all executors as one file of bounded size, which workers map. A document's other pre-tokens, each once, are folded in its
     own row and put in their places. No text is shuffled. A pre-token of n bytes takes n merges over at most n pieces;
     one of over LONG bytes is merged by a heap instead. Null texts count as empty: no ids. Equal rows give equal rows; an
     empty table gives an empty one.
@@ -301,10 +337,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN, decoded
     often = counts.filter(F.col("uses") >= F.greatest(F.lit(_fitting(counts, known)), F.lit(2))).repartition("word")
     folds = often.select("word", F.element_at(folded(F.array("word"), tables), 1).alias("ids"))
     parts = durable(folds.mapInArrow(_compact, "hashes binary, words binary, word_sizes binary, id_sizes binary, ids binary, width long"))
-    held = docs.sparkSession.sparkContext.broadcast(Known([tuple(bytes(x) if isinstance(x, bytearray) else x for x in p) for p in parts.toLocalIterator()], ranks))
+    held = docs.sparkSession.sparkContext.broadcast(Known(_sent(parts), ranks))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, TOGETHER):
             got = held.value.texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["doc_id", "marked", "rare"])
 
