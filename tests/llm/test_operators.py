@@ -163,6 +163,23 @@ def test_bpe_workers_map_their_table(spark):
     assert pickle.loads(pickle.dumps(bpe.Known(bpe._sent(spark.createDataFrame([], "a binary, b binary, c binary, d binary, e binary, f long")), {}))).look(["a"]) == {}
 
 
+def test_bpe_fills_in_whole_batches():
+    """Marks and pieces of all rows of a batch, and of a slice of one, with no Python object for an id."""
+    rng, mark = random.Random(6), 1 << 31
+    rare = [[rng.choices(range(99), k=rng.randint(1, 4)) for _ in range(rng.choice([0, 0, 1, 3]))] for _ in range(60)]
+    ids = [rng.sample([*rng.choices(range(99), k=rng.choice([0, 1, 5])), *(mark + k for k in range(len(r))), *(mark + k for k in range(len(r)))], k=rng.choice([0, len(r)])) for r in rare]
+    marked = pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())
+    lists = pa.array(rare, pa.list_(pa.list_(pa.int32())))
+    want = [[y for x in own for y in (r[x - mark] if x >= mark else [x])] for own, r in zip(ids, rare, strict=True)]
+    pieces = bpe._pieces({bytes([k]) * (k % 3 + 1): k for k in range(99)})
+    for part in (slice(0, 60), slice(7, 31), slice(9, 9)):
+        out, bounds = bpe._inserted(marked[part], lists[part])
+        assert [out[s:e].tolist() for s, e in zip(bounds, bounds[1:], strict=False)] == want[part]
+        assert bpe._joined(out.view(np.int32), bounds, pieces).to_pylist() == [b"".join(bytes([k]) * (k % 3 + 1) for k in w) for w in want[part]]
+    with pytest.raises(ValueError, match="no piece has the id 7"):
+        bpe._joined(np.array([1, 7]), np.array([0, 2]), bpe._pieces({b"a": 1, b"b": 9}))
+
+
 def test_bpe_of_very_long_pretokens(spark):
     """100,000 letters without a gap, and pre-tokens about the length from which a heap merges them."""
     ranks, rng = bpe.read_ranks(BYTE_BPE), random.Random(8)

@@ -256,7 +256,7 @@ class Known:
                 del self.kept[w]
             self.recent.clear()
         ends, words = parted(texts)
-        keys = words.dictionary.to_pylist()
+        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # str made in C, not by a scalar each
         own, rare = list(map(self.kept.get, keys)), {}
         parts = {k: _parts(keys[k]) for k, ids in enumerate(own) if ids is None}
         found = self.look(list({p for ps in parts.values() for p in ps}))
@@ -289,26 +289,42 @@ def _parts(word: str) -> list[str]:
     return PARTS.findall(word)
 
 
+def _inserted(marked: pa.Array, rare: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows (marked) one after another, with those of rare, a list of lists for each row, in place of their marks, and where each row begins and the last ends."""
+    bounds = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1] >> 2 if len(marked) else np.zeros(1, np.int32)
+    ids = np.frombuffer(marked.buffers()[2] or b"", "<u4")[bounds[0] : bounds[-1]] if len(marked) else np.empty(0, "<u4")
+    bounds = bounds - bounds[0]
+    at = np.flatnonzero(ids >= _MARK)
+    if not len(at):
+        return ids, bounds
+    first, lists = rare.offsets.to_numpy(), rare.values
+    begins, more = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+    which = first[np.searchsorted(bounds, at, "right") - 1] + (ids[at] & (_MARK - 1))
+    source, n = np.arange(len(ids)), np.ones(len(ids), np.int64)
+    source[at], n[at] = len(ids) + begins[which], begins[which + 1] - begins[which]
+    after = np.append(0, np.cumsum(n))
+    return np.concatenate([ids, more])[np.repeat(source - after[:-1], n) + np.arange(after[-1])], after[bounds].astype(np.int32)
+
+
 def filled(marked: bytes, rare: list) -> np.ndarray:
     """marked with the ids of rare in place of their marks."""
-    ids = np.frombuffer(marked, "<u4")
-    if not len(rare):
-        return ids
-    own = [np.asarray(r, "<u4") for r in rare]
-    at = np.flatnonzero(ids >= _MARK)
-    parts, last = [], 0
-    for k in at.tolist():
-        parts += [ids[last:k], own[int(ids[k]) - _MARK]]
-        last = k + 1
-    return np.concatenate([*parts, ids[last:]])
+    return _inserted(pa.array([marked], pa.binary()), pa.array([[np.asarray(r, np.int32) for r in rare]], pa.list_(pa.list_(pa.int32()))))[0]
+
+
+def _pieces(ranks: dict[bytes, int]) -> pa.Array:
+    """The piece of each id; null where there is none."""
+    by_id = {rank: token for token, rank in ranks.items()}
+    return pa.array([by_id.get(k) for k in range(max(by_id, default=-1) + 1)], pa.binary())
 
 
-def _joined(rows: list, by_id: dict[int, bytes]) -> pa.Array:
-    """The bytes that each row of ids stands for; a null stays null."""
-    try:
-        return pa.array([None if ids is None else b"".join(map(by_id.__getitem__, ids)) for ids in rows], pa.binary())
-    except KeyError as e:
-        raise ValueError(f"no piece has the id {e}") from None
+def _joined(ids: np.ndarray, bounds: np.ndarray, pieces: pa.Array, absent: pa.Buffer | None = None) -> pa.Array:
+    """The bytes that each row's ids stand for, its pieces as they lie one after another; bounds: where each row begins and the last ends."""
+    wrong = np.flatnonzero((ids < 0) | (ids >= len(pieces)))
+    got = pieces.take(pa.array(ids)) if not len(wrong) else None
+    if got is None or got.null_count:
+        raise ValueError(f"no piece has the id {ids[wrong[0]] if got is None else ids[got.is_null().to_numpy(zero_copy_only=False)][0]}")
+    ends = np.frombuffer(got.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [absent, pa.py_buffer(ends[bounds]), got.buffers()[2] or pa.py_buffer(b"")])
 
 
 def _sent(parts: DataFrame) -> str:
@@ -345,13 +361,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], known: int = KNOWN, decoded
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["doc_id", "marked", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {rank: token for token, rank in ranks.items()}
+        pieces = _pieces(ranks) if decoded else None
         for batch in batches:
-            out = [filled(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            sizes = np.cumsum([0, *map(len, out)])
-            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, "<u4"), *out]).astype(np.int32)))
-            more = [_joined([x.tolist() for x in out], by_id)] if decoded else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([x.tobytes() for x in out], pa.binary()), *more], names=["doc_id", "ids", "ids_le", *["decoded"] * decoded])
+            out, bounds = _inserted(batch.column(1), batch.column(2))
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out.view(np.int32)))
+            raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(4 * bounds), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, raw, *([_joined(out.view(np.int32), bounds, pieces)] if decoded else [])], names=["doc_id", "ids", "ids_le", *["decoded"] * decoded])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = docs.select("doc_id", text_of().alias("text")).mapInArrow(mark, f"doc_id {kind}, marked binary, rare array<string>")
@@ -368,8 +383,12 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     rows = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {rank: token for token, rank in ranks.items()}
+        pieces = _pieces(ranks)
         for batch in batches:
-            yield batch.append_column("decoded", _joined(batch.column("ids").to_pylist(), by_id))
+            rows = batch.column("ids")
+            n = rows.value_lengths().fill_null(0).to_numpy()  # flatten() leaves a null row's ids out
+            flat = rows.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
+            known = pa.array(rows.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)).cast(pa.bool_())
+            yield batch.append_column("decoded", _joined(flat, np.append(0, np.cumsum(n)), pieces, known.buffers()[1] if rows.null_count else None))
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", BinaryType())]))
